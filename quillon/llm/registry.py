@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from quillon.llm.chunks import op10_chunk_dedup
+from quillon.llm.pieces import op2_sentencepiece
 from quillon.llm.simhash import op4_simhash
 
 QUERIES = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op4_simhash": op4_simhash,
+    "op10_chunk_dedup": op10_chunk_dedup,
 }
 
 ORACLES: dict[str, str] = {}
