@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from quillon.llm.chunks import op10_chunk_dedup
+from quillon.llm.decontaminate import op3_decontaminate
+from quillon.llm.perplexity import op8_quality
 from quillon.llm.pieces import op2_sentencepiece
 from quillon.llm.simhash import op4_simhash
 
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
+    "op8_quality": op8_quality,
     "op10_chunk_dedup": op10_chunk_dedup,
 }
 
