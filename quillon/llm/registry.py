@@ -7,12 +7,14 @@ from quillon.llm.decontaminate import op3_decontaminate
 from quillon.llm.perplexity import op8_quality
 from quillon.llm.pieces import op2_sentencepiece
 from quillon.llm.simhash import op4_simhash
+from quillon.llm.vectors import op9_embeddings
 
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
     "op8_quality": op8_quality,
+    "op9_embeddings": op9_embeddings,
     "op10_chunk_dedup": op10_chunk_dedup,
 }
 
