@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from quillon.llm.chunks import op10_chunk_dedup
 from quillon.llm.decontaminate import op3_decontaminate
+from quillon.llm.pages import op1_extract
 from quillon.llm.perplexity import op8_quality
 from quillon.llm.pieces import op2_sentencepiece
 from quillon.llm.simhash import op4_simhash
 from quillon.llm.vectors import op9_embeddings
 
 QUERIES = {
+    "op1_extract": op1_extract,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
