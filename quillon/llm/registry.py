@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillon.llm import chats, licenses
 from quillon.llm.chunks import op10_chunk_dedup
 from quillon.llm.decontaminate import op3_decontaminate
 from quillon.llm.pages import op1_extract
@@ -15,9 +16,14 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
+    "op6_licenses": licenses.op6_licenses,
+    "op7_chats": chats.op7_chats,
     "op8_quality": op8_quality,
     "op9_embeddings": op9_embeddings,
     "op10_chunk_dedup": op10_chunk_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_licenses": licenses.ORACLE,
+    "op7_chats": chats.ORACLE,
+}
