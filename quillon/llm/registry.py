@@ -8,6 +8,7 @@ from quillon.llm.decontaminate import op3_decontaminate
 from quillon.llm.pages import op1_extract
 from quillon.llm.perplexity import op8_quality
 from quillon.llm.pieces import op2_sentencepiece
+from quillon.llm.repeats import op5_repeats
 from quillon.llm.simhash import op4_simhash
 from quillon.llm.vectors import op9_embeddings
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
+    "op5_repeats": op5_repeats,
     "op6_licenses": licenses.op6_licenses,
     "op7_chats": chats.op7_chats,
     "op8_quality": op8_quality,
@@ -24,6 +26,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_repeats": op5_repeats,
     "op6_licenses": licenses.ORACLE,
     "op7_chats": chats.ORACLE,
 }
