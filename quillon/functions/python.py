@@ -9,6 +9,7 @@ import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 
 def _each(column: pa.Array, f) -> pa.Array:
@@ -19,19 +20,19 @@ def _nfkd(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def nfkd_strip(texts: pa.Array) -> pa.Array:
     """Full NFKD without combining marks."""
     return _each(texts, _nfkd)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def nfkd_fold(texts: pa.Array) -> pa.Array:
     """nfkd_strip of the lower-cased text."""
     return _each(texts, lambda t: _nfkd(t.lower()))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def unescaped(texts: pa.Array) -> pa.Array:
     """Character references decoded, white space runs to one space, trimmed."""
     return _each(texts, lambda t: re.sub(r"\s+", " ", html.unescape(t)).strip())
@@ -64,12 +65,12 @@ def lcs(a: str, b: str) -> int:
     return row[-1]
 
 
-@F.arrow_udf("int")
+@F.arrow_udf(IntegerType())
 def osa_distance(a: pa.Array, b: pa.Array, most: pa.Array) -> pa.Array:
     return pa.array([None if None in t else osa(*t) for t in zip(a.to_pylist(), b.to_pylist(), most.to_pylist(), strict=True)], pa.int32())
 
 
-@F.arrow_udf("int")
+@F.arrow_udf(IntegerType())
 def lcs_length(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([None if None in t else lcs(*t) for t in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int32())
 
@@ -99,6 +100,6 @@ def mark(text: str, query: str) -> str:
     return "".join([*out, _escape(text[at:])])
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def highlighted(texts: pa.Array, queries: pa.Array) -> pa.Array:
     return pa.array([mark(t or "", q or "") for t, q in zip(texts.to_pylist(), queries.to_pylist(), strict=True)], pa.string())

@@ -13,6 +13,7 @@ from quillon.operators import cite, evaluate, expand, index, search, typo
 from quillon.operators import query as Q
 from quillon.plans import sql as S
 from quillon.plans.corpus import CORPUS, corpus, table
+from quillon.plans.store import stored
 from quillon.schema import OTHER
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -228,7 +229,7 @@ def postings_blocks(spark, d):
 SELECT CASE WHEN s3 <= 300 THEN k3 WHEN s4 <= 300 THEN k4 ELSE k5 END AS shard, count(*) AS n_terms, CAST(sum(n) AS BIGINT) AS n_postings FROM ss GROUP BY 1"""
 )
 def adaptive_shards(spark, d):
-    return index.shards(index.build(corpus(spark, d)), 300)
+    return index.shards(_index(spark, d), 300)
 
 
 _RANGES = "rg AS (SELECT user_id % 16 AS pack, event_id * 6000 AS start, event_id * 6000 + 3000 + event_id % 9 * 1500 AS stop FROM events)"
@@ -259,6 +260,15 @@ def front_coding(spark, d):
     return index.front_coded(p)
 
 
+def _index(spark, d) -> DataFrame:
+    """The index as searches find it: built once, stored, read by every query."""
+    return stored(spark, d, "index", lambda: index.build(corpus(spark, d)))
+
+
+def _blocks(spark, d) -> DataFrame:
+    return stored(spark, d, "blocks", lambda: index.blocks(_index(spark, d), index.codes(corpus(spark, d))))
+
+
 # ---- ranked search -------------------------------------------------------------------------------------------------------------
 
 _SCORED = "sr AS (SELECT doc, sum(impact) AS score, count(*) FILTER (bit >= 0) AS hits FROM post JOIN qt USING (term) {where} GROUP BY doc HAVING count(*) FILTER (bit >= 0) >= {least})"
@@ -270,13 +280,13 @@ def _scored(terms: list[str], where: str = "") -> str:
 
 @query(_scored(PAIR) + " SELECT doc, CAST(score AS BIGINT) AS score, hits FROM sr ORDER BY score DESC, doc LIMIT 50")
 def topk_min_should_match(spark, d):
-    return search.scored(index.build(corpus(spark, d)), PAIR).orderBy(F.desc("score"), "doc").limit(50)
+    return search.scored(_index(spark, d), PAIR).orderBy(F.desc("score"), "doc").limit(50)
 
 
 @query(_scored(PAIR, "WHERE doc IN (SELECT doc FROM corpus WHERE discipline = 'English' AND year >= 1970)") + " SELECT doc, CAST(score AS DOUBLE) AS score, CAST(row_number() OVER (ORDER BY score DESC, doc) AS INTEGER) AS place FROM sr ORDER BY place LIMIT 20")
 def topk_filtered(spark, d):
     records = corpus(spark, d)
-    return search.search(index.build(records), records, Q.Request(q=" ".join(PAIR), discipline=("English",), year_min=1970), rerank=False)
+    return search.search(_index(spark, d), records, Q.Request(q=" ".join(PAIR), discipline=("English",), year_min=1970), rerank=False)
 
 
 @query(
@@ -287,21 +297,20 @@ def topk_filtered(spark, d):
 SELECT doc, score, CAST(row_number() OVER (ORDER BY score DESC, pl) AS INTEGER) AS place FROM rr"""
 )
 def topk_reranked(spark, d):
-    made = index.build(corpus(spark, d))
+    made = _index(spark, d)
     return search.reranked(made, search.scored(made, TERMS).select("doc", F.col("score").cast("double").alias("score")), TERMS, 30)
 
 
 @query(_scored(PAIR) + " SELECT doc, CAST(score AS BIGINT) AS score, hits FROM sr ORDER BY score DESC, doc LIMIT 10")
 def block_pruned_topk(spark, d):
-    records = corpus(spark, d)
-    made = index.build(records)
-    return search.pruned(made, index.blocks(made, index.codes(records)), PAIR, 10)
+    made = _index(spark, d)
+    return search.pruned(made, _blocks(spark, d), PAIR, 10)
 
 
 @query(_scored(PAIR) + " SELECT 'source' AS facet, source_id AS value, count(*) AS n FROM sr JOIN corpus USING (doc) GROUP BY ALL UNION ALL SELECT 'discipline', coalesce(discipline, ''), count(*) FROM sr JOIN corpus USING (doc) GROUP BY ALL UNION ALL SELECT 'type', coalesce(type, ''), count(*) FROM sr JOIN corpus USING (doc) GROUP BY ALL UNION ALL SELECT 'decade', coalesce((year // 10 * 10) || 's', ''), count(*) FROM sr JOIN corpus USING (doc) GROUP BY ALL")
 def result_facets(spark, d):
     records = corpus(spark, d)
-    return search.facet_counts(search.scored(index.build(records), PAIR), records)
+    return search.facet_counts(search.scored(_index(spark, d), PAIR), records)
 
 
 # ---- spelling ------------------------------------------------------------------------------------------------------------------
@@ -332,7 +341,7 @@ def typo_candidates(spark, d):
 @query()
 def typo_correct_query(spark, d):
     records = corpus(spark, d)
-    found = typo.corrected(index.build(records), typo.delete_index(typo.surfaces(records)), "thaneedble erni")
+    found = typo.corrected(_index(spark, d), typo.delete_index(typo.surfaces(records)), "thaneedble erni")
     rows = [("thaneedble erni", " ".join(found[0]) if found else None)]
     return spark.createDataFrame(rows, "q string, corrected string")
 

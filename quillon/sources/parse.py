@@ -17,7 +17,7 @@ _MAP = "map<string,array<string>>"
 
 
 def _parsed(schema: str) -> Column:
-    return F.from_xml(F.col("xml"), f"struct<{_HEADER},metadata:struct<{schema}>>".removeprefix("struct<").removesuffix(">"), _OPTIONS)
+    return F.from_xml(F.col("xml"), f"struct<{_HEADER},metadata:struct<{schema}>>", _OPTIONS)
 
 
 def _texts(c: Column) -> Column:
