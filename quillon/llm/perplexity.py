@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import TEXT_BATCH_ROWS, clashing, written
+from quillon.llm.common import clashing, written
 
 ORDER = 5
 BITS = 12
@@ -36,8 +36,8 @@ LEAST = 20
 PRIOR = 40
 SHARD_ROWS = 4_000_000
 #: Characters scored or counted at a time, and n-grams a task holds before it passes its counts on.
-SLICE = 1 << 20
-HELD = 2_000_000
+SLICE = 1 << 18
+HELD = 500_000
 UNIFORM = math.log(1 / (1 << BITS))
 
 
@@ -73,7 +73,8 @@ def trusted(documents: DataFrame, labels: DataFrame) -> DataFrame:
         return pa.array([press(x.as_py() or b"") for x in texts.cast(pa.binary())], pa.binary())
 
     good = trusted_ids(labels)
-    return documents.select("doc_id", packed("text").alias("z")).join(good, "doc_id")
+    # a merge join at every size: whether labels would fit a broadcast is a matter of the table at hand
+    return documents.select("doc_id", packed("text").alias("z")).join(good.hint("merge"), "doc_id")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -94,21 +95,32 @@ def counted(trusted_texts: DataFrame, order: int = ORDER) -> DataFrame:
             return u, np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64)
 
         unpress = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for at in range(0, batch.num_rows, TEXT_BATCH_ROWS):
-                texts = [unpress.decompress(x.as_py()).decode() for x in batch.column(0).slice(at, TEXT_BATCH_ROWS)]
-                found = [g for _, g in grams(texts, order)]
-                if not found:
-                    continue
-                u, c = np.unique(np.concatenate(found), return_counts=True)
+        waiting: list[np.ndarray] = []
+        chars = 0
+
+        def count() -> None:
+            nonlocal chars, size
+            if waiting:
+                u, c = np.unique(np.concatenate(waiting), return_counts=True)
                 held.append((u, c))
                 size += len(u)
+                waiting.clear()
+            chars = 0
+
+        for batch in batches:
+            for x in batch.column(0):
+                for _, g in grams([unpress.decompress(x.as_py()).decode()], order):
+                    waiting.append(g)
+                    chars += len(g)
+                    if chars >= SLICE:
+                        count()
                 if size > HELD:
-                    held = [merged()]
-                    size = len(held[0][0])
+                    u, c = merged()
+                    held, size = [(u, c)], len(u)
                     if size > HELD // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], names=["gram", "c"])
+                        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c)], names=["gram", "c"])
                         held, size = [], 0
+        count()
         if held:
             u, c = merged()
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c)], names=["gram", "c"])
@@ -170,13 +182,13 @@ class Scorer:
             for out, value in ((self.logp, logp), (self.back, back)):
                 at = np.flatnonzero((n == k) & ~np.isnan(value))
                 at = at[np.argsort(gram[at])]
-                out[k] = (gram[at], value[at])
+                out[k] = (gram[at], value[at].astype(np.float32))
 
     @staticmethod
     def look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         known, values = table
         if not len(known):
-            return np.zeros(len(keys), bool), np.zeros(len(keys))
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
         at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
         return known[at] == keys, values[at]
 
@@ -186,16 +198,16 @@ class Scorer:
         total, rest = 0.0, packed
         for k in range(self.order, 0, -1):
             hit, logp = self.look(self.logp[k], rest & ((1 << BITS * k) - 1))
-            total += logp[hit].sum()
+            total += logp[hit].sum(dtype=np.float64)
             rest = rest[~hit]
             if not len(rest):
                 return -total
             has, back = self.look(self.back[k - 1], rest >> BITS & ((1 << BITS * (k - 1)) - 1))
-            total += back[has].sum()
+            total += back[has].sum(dtype=np.float64)
         return -(total + UNIFORM * len(rest))
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _scorer(payload: bytes, order: int, shard: int, shards: int) -> Scorer:
     return Scorer(pa.ipc.open_stream(payload).read_all(), order, shard, shards)
 
@@ -205,11 +217,10 @@ def _scoring(sent, order: int, shard: int, shards: int):
     def score(texts: pa.Array) -> pa.Array:
         scorer = _scorer(sent.value, order, shard, shards)
         n, nll = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-        for at in range(0, len(texts), TEXT_BATCH_ROWS):
-            values = [x.as_py() or "" for x in texts.slice(at, TEXT_BATCH_ROWS)]
-            for k, packed in grams(values, order):
-                n[at + k] += len(packed)
-                nll[at + k] += scorer.nll(packed)
+        for at, x in enumerate(texts):
+            for _, packed in grams([x.as_py() or ""], order):
+                n[at] += len(packed)
+                nll[at] += scorer.nll(packed)
         return pa.StructArray.from_arrays([pa.array(n), pa.array(nll)], ["n", "nll"])
 
     return score
@@ -230,7 +241,7 @@ def scores(documents: DataFrame, table: DataFrame, order: int = ORDER, shard_row
             rows = table.where((F.col("n") <= 2) | mine | last)
         sink = pa.BufferOutputStream()
         arrow = rows.toArrow()
-        with pa.ipc.new_stream(sink, arrow.schema) as w:
+        with pa.ipc.new_stream(sink, arrow.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
             w.write_table(arrow)
         sent = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
