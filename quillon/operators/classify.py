@@ -143,8 +143,11 @@ def applied(reclassified_records: DataFrame) -> DataFrame:
 
 def transitions(reclassified_records: DataFrame, most: int = 20) -> DataFrame:
     """The most frequent changes of label."""
-    moved = reclassified_records.where("action in ('llm_to_auth', 'other_to_specific', 'reassigned')")
-    return moved.groupBy(F.coalesce(F.nullif("discipline", F.lit("")), F.lit(OTHER)).alias("from_label"), F.col("new_discipline").alias("to_label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "from_label", "to_label").limit(most)
+    moved = F.col("action").isin("llm_to_auth", "other_to_specific", "reassigned")
+    old = F.coalesce(F.nullif("discipline", F.lit("")), F.lit(OTHER))
+    # counted first and filtered after: a filter on the action would make the optimiser repeat the rules below the projection
+    counts = reclassified_records.groupBy(old.alias("from_label"), F.col("new_discipline").alias("to_label")).agg(F.count_if(moved).alias("n")).where("n > 0")
+    return counts.orderBy(F.desc("n"), "from_label", "to_label").limit(most)
 
 
 def provenance_mix(records: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions import python as P
 from quillon.operators import batch_labels, classify, merge, normalize
 from quillon.plans.corpus import CORPUS, corpus, table
-from quillon.plans.store import scratch
+from quillon.plans.store import scratch, stored
 from quillon.schema import OTHER
 from quillon.sources import parse
 from quillon.streaming import ingest
@@ -141,12 +141,16 @@ def parse_uketd(spark, d):
 def _routed(spark, d) -> DataFrame:
     records = _source(spark, d)
     xml = xml_dim(records.where("doc % 2 = 0")).withColumn("metadata_prefix", F.lit("dim")).unionByName(xml_oai_dc(records.where("doc % 2 = 1")).withColumn("metadata_prefix", F.lit("oai_dc")))
-    parsed = parse.parse_mixed(xml).join(records.select("doc", "source_id", "source_name"), "doc")
+    # parsed records are a table of their own: what is derived from them doesn't parse again
+    parsed = stored(spark, d, "parsed", lambda: parse.parse_mixed(xml)).join(records.select("doc", "source_id", "source_name"), "doc")
     done = normalize.normalized(parsed.where("not deleted and not malformed")).select("oai_identifier", "kept", "title", "type")
     return normalize.outcomes(parsed.select("doc", "oai_identifier", "source_id", "deleted").join(done, "oai_identifier", "left"))
 
 
-@query(_with("SELECT source_id, count(*) AS seen, count(*) FILTER (doc % 17 <> 0 AND doc % 2 = 0) AS kept, count(*) FILTER (doc % 17 = 0) AS deleted, count(*) FILTER (doc % 17 <> 0 AND doc % 2 = 1 AND discipline IS DISTINCT FROM 'x') AS skipped FROM corpus GROUP BY ROLLUP (source_id)"))
+_HINTED = "regexp_matches(strip_accents(lower('T ' || title || ' & more <x>' || ' ' || coalesce(discipline, 'None'))), '" + "|".join(normalize.HINTS) + "')"
+
+
+@query(_with(f"SELECT source_id, count(*) AS seen, count(*) FILTER (doc % 17 <> 0 AND (doc % 2 = 0 OR {_HINTED})) AS kept, count(*) FILTER (doc % 17 = 0) AS deleted, count(*) FILTER (doc % 17 <> 0 AND NOT (doc % 2 = 0 OR {_HINTED})) AS skipped FROM corpus GROUP BY ROLLUP (source_id)"))
 def ingest_outcomes(spark, d):
     return normalize.harvest_statistics(_routed(spark, d))
 

@@ -410,7 +410,7 @@ def _phrases(column: str, weight: float, most: int, source: str) -> str:
     return f"""SELECT doc, term, weight, '{source}' AS source FROM (
  SELECT doc, unnest([t || '_' || t1, t || '_' || t1 || '_' || t2]) AS term, unnest([{weight} * (idf + i1) / 2, {weight} * 1.12 * (idf + i1 + i2) / 3]) AS weight FROM (
   SELECT doc, t, idf, lead(t, 1) OVER w AS t1, lead(t, 2) OVER w AS t2, lead(idf, 1) OVER w AS i1, lead(idf, 2) OVER w AS i2 FROM (
-   SELECT doc, at, t, idf FROM (SELECT doc, unnest({S.tokens(column)}[1:{most}]) AS t, generate_subscripts({S.tokens(column)}[1:{most}], 1) AS at FROM corpus) JOIN band ON band.term = t) WINDOW w AS (PARTITION BY doc ORDER BY at))) WHERE term IS NOT NULL"""
+   SELECT doc, ps, t, idf FROM (SELECT doc, unnest({S.tokens(column)}[1:{most}]) AS t, generate_subscripts({S.tokens(column)}[1:{most}], 1) AS ps FROM corpus) JOIN band ON band.term = t) WINDOW w AS (PARTITION BY doc ORDER BY ps))) WHERE term IS NOT NULL"""
 
 
 def _unigrams(column: str, weight: float, source: str) -> str:
@@ -494,8 +494,8 @@ _HUMAN = f"list_filter(regexp_split_to_array({S.fold('title')}, '{T.SEPARATORS}'
 @query(
     _with(
         "SELECT doc, title, q FROM (SELECT doc, title, string_agg(w, ' ' ORDER BY place) AS q, count(*) AS c FROM kp WHERE place <= 3 GROUP BY doc, title) WHERE c >= 2 ORDER BY (doc * 1103515245 + 12345) % 2147483647, doc LIMIT 150",
-        f"hw AS (SELECT doc, title, w, min(at) AS at FROM (SELECT doc, title, unnest({_HUMAN}) AS w, generate_subscripts({_HUMAN}, 1) AS at FROM corpus WHERE length(title) > 25) GROUP BY ALL), hd AS (SELECT w, count(*) AS df FROM hw GROUP BY w), "
-        "kp AS (SELECT doc, title, w, row_number() OVER (PARTITION BY doc ORDER BY df, at) AS place FROM hw JOIN hd USING (w) WHERE df <= 700 AND NOT regexp_full_match(w, '[0-9]+'))",
+        f"hw AS (SELECT doc, title, w, min(ps) AS ps FROM (SELECT doc, title, unnest({_HUMAN}) AS w, generate_subscripts({_HUMAN}, 1) AS ps FROM corpus WHERE length(title) > 25) GROUP BY ALL), hd AS (SELECT w, count(*) AS df FROM hw GROUP BY w), "
+        "kp AS (SELECT doc, title, w, row_number() OVER (PARTITION BY doc ORDER BY df, ps) AS place FROM hw JOIN hd USING (w) WHERE df <= 700 AND NOT regexp_full_match(w, '[0-9]+'))",
     )
 )
 def known_item_queries(spark, d):
