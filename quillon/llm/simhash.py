@@ -12,10 +12,16 @@ A fingerprint is compared with reference fingerprints (pivots) instead of with o
 A key with more than `crowd` distinct fingerprints is not paired up. Each of its fingerprints reports itself and its 64 one-bit
 neighbours; fingerprints meet at a common neighbour exactly when they are at most 2 apart, and every meeting point is linked as
 a star. That is 65 rows a fingerprint whatever the size of the crowd, and exact.
+
+similar() serves similarities too low for 2 bits. Texts of shingle similarity 0.8 differ in some 15 % of fingerprint bits, which no
+exact key survives, so it takes 256 bits and many keys, each a set of masked-pivot coordinates; the keys' length grows with the
+logarithm of the rows, their number follows from the wanted recall. Spread pivots discard nothing at that distance and are left out.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -54,6 +60,29 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
+def wide_fingerprint(text: bytes, shingle: int, words_: int = 4) -> np.ndarray:
+    """A SimHash of 64 * words_ bits over the set of shingles: the hash is mixed anew for every further 64."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(words_, np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    begins = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(words) - shingle + 1)
+    last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
+    digest = xxhash.xxh64_intdigest
+    hashes = np.unique(np.fromiter((digest(line[s:e], SEED) for s, e in zip(begins[:n].tolist(), last.tolist(), strict=True)), np.uint64, n))
+    counts = np.zeros((words_, 64), np.int64)
+    for at in range(0, len(hashes), STRIDE):
+        h = hashes[at : at + STRIDE]
+        for k in range(words_):
+            if k:
+                h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+                h ^= h >> np.uint64(29)
+            counts[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view(np.uint64).reshape(-1)
+
+
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp long): the SimHash of every whole text; null and empty texts have fingerprint 0."""
 
@@ -126,6 +155,123 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, crowd: int = C
     return fps.join(named, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+#: Of similar(): share of the pairs at the least similarity that meet in some key, bits, and rows of a list compared in full.
+RECALL = 0.97
+BITS = 256
+LIST = 4096
+
+
+def _angle(similarity: float) -> float:
+    """Share of bits in which the fingerprints of texts of this shingle similarity differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def _lists(most: int):
+    """Rows sorted by (part, key) -> edges between fingerprints at most `most` bits apart, enough to connect those of a list."""
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int16) <= most
+
+    def work(ids: np.ndarray, fps: np.ndarray) -> Iterator[tuple[int, int]]:
+        order = np.argsort(ids)
+        ids, fps = ids[order], fps[order]
+        if len(ids) <= LIST:
+            for at in range(0, len(ids), 512):
+                ok = near(fps[at : at + 512], fps)
+                for i, j in zip(*np.nonzero(ok), strict=True):
+                    if j < at + i:
+                        yield int(ids[at + i]), int(ids[j])
+            return
+        heads = fps[:1]  # a crowd: rows are held against its heads; what is near none becomes one
+        names = ids[:1]
+        for at in range(1, len(ids), 512):
+            part, who = fps[at : at + 512], ids[at : at + 512]
+            ok = near(part, heads)
+            has = ok.any(axis=1)
+            for i, j in zip(np.flatnonzero(has), ok.argmax(axis=1)[has], strict=True):
+                yield int(who[i]), int(names[j])
+            for i in np.flatnonzero(~has):
+                fresh = near(part[i : i + 1], heads)[0]
+                if fresh.any():
+                    yield int(who[i]), int(names[fresh.argmax()])
+                else:
+                    heads, names = np.vstack((heads, part[i : i + 1])), np.append(names, who[i])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark, ids, fps, out = None, [], [], []
+
+        def batch() -> pa.RecordBatch:
+            pairs = np.array(list(dict.fromkeys(out)), np.int64).reshape(-1, 2)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        def flush() -> None:
+            if ids and sum(map(len, ids)) > 1:
+                out.extend(work(np.concatenate(ids), np.concatenate(fps)))
+
+        for b in batches:
+            n = b.num_rows
+            part, key, who = (b.column(k).to_numpy() for k in range(3))
+            words = np.stack([b.column(3 + k).to_numpy() for k in range(BITS // 64)], axis=1).view(np.uint64)
+            edges = np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1])) + 1
+            for s, e in zip([0, *edges.tolist()], [*edges.tolist(), n], strict=True):
+                now = (part[s], key[s])
+                if now != mark:
+                    flush()
+                    mark, ids, fps = now, [], []
+                ids.append(who[s:e])
+                fps.append(words[s:e])
+            if len(out) > 20_000:
+                yield batch()
+        flush()
+        yield batch()
+
+    return run
+
+
+def similar(documents: DataFrame, similarity: float = 0.8, shingle: int = 5, recall: float = RECALL) -> DataFrame:
+    """(doc_id, component_id): documents whose word shingles are about `similarity` alike or more share the smallest doc_id.
+
+    The likeness is read from 256 fingerprint bits: pairs are linked up to a standard deviation beyond the distance that the
+    similarity stands for, so some at 0.7 are linked too and few at 0.8 are missed. Equal fingerprints are one class. Null and empty texts have fingerprint zero and are alike; repeated rows
+    share a component; an empty table gives no rows; further columns are ignored.
+    """
+    words = BITS // 64
+    names = [f"f{k}" for k in range(words)]
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps = np.array([wide_fingerprint(x.as_py() or b"", shingle, words) for x in batch.column(1).cast(pa.binary())], np.uint64).reshape(-1, words).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(fps[:, k].copy()) for k in range(words)]], names=["doc_id", *names])
+
+    prints = written(arrow_map(clashing(documents, "doc_id", "text").where("doc_id is not null"), of, "doc_id long, " + ", ".join(f"{n} long" for n in names)), "simhash-wide")
+    classes = written(prints.groupBy(*names).agg(F.min("doc_id").alias("head")), "simhash-classes")
+    rows = max(2, classes.count())
+    bits = max(12, math.ceil(math.log2(rows)) - 2)
+    differ = _angle(similarity)
+    parts = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** bits))
+    most = int(BITS * differ + math.sqrt(BITS * differ * (1 - differ)))
+
+    def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
+        base = np.array([xxhash.xxh64_intdigest(b"base %d" % k, SEED) for k in range(words)], np.uint64)
+        fps = np.stack([batch.column(1 + k).to_numpy() for k in range(words)], axis=1).view(np.uint64)
+        side = np.unpackbits((fps ^ base).view(np.uint8), axis=1, bitorder="little")  # which side of each masked pivot
+        draw = np.random.default_rng(SEED)
+        n = batch.num_rows
+        out = []
+        for _ in range(parts):
+            chosen = side[:, draw.choice(BITS, bits, replace=False)].astype(np.int64)
+            out.append(chosen @ (np.int64(1) << np.arange(bits, dtype=np.int64)))
+        columns = [pa.array(np.repeat(np.arange(parts, dtype=np.int32), n)), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)), *[pa.array(np.tile(c.to_numpy(), parts)) for c in batch.columns]]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "key", "head", *names])
+
+    keyed = arrow_map(classes.select("head", *names), keys, "part int, key long, head long, " + ", ".join(f"{n} long" for n in names), 2000)
+    dealt = keyed.repartition("part", "key").sortWithinPartitions("part", "key")
+    roots = components(dealt.mapInArrow(_lists(most), "a long, b long"))
+    told = classes.join(roots.withColumnRenamed("node", "head"), "head", "left").select(*[F.col(n).alias(f"_{n}") for n in names], F.coalesce("root", "head").alias("component_id"))
+    same = [prints[n] == told[f"_{n}"] for n in names]
+    return prints.join(told, same).select("doc_id", "component_id")
+
+
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
