@@ -20,9 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays. Texts of fewer than five words have too few
-    shingles to be told apart by a fingerprint and stay."""
-    found = simhash.near_duplicates(docs, shingle=5).where("doc_id <> component_id").select(F.col("doc_id").alias("__doc")).distinct()
+    """Of each group of documents alike in 0.8 or more of their five-word shingles the one with the smallest doc_id stays."""
+    found = simhash.similar(docs, 0.8, 5).where("doc_id <> component_id").select(F.col("doc_id").alias("__doc")).distinct()
     return docs.join(found, docs["doc_id"] == found["__doc"], "left_anti").select(*COLUMNS)
 
 
