@@ -48,8 +48,8 @@ def linked(parsed: DataFrame) -> DataFrame:
 
 def validated(made: DataFrame, schemas: DataFrame) -> DataFrame:
     """(conv_id, turn, k, n_errors): missing required parameters, wrong types and parameters or names that no schema knows."""
-    fields = F.from_json(F.to_json(F.col("arguments")), "map<string,variant>")
-    given = made.select("conv_id", "turn", "k", "name", F.explode_outer(F.transform_values(fields, lambda k, v: F.schema_of_variant(v))).alias("parameter", "kind"))
+    kinds = F.expr("transform_values(from_json(to_json(arguments), 'map<string,variant>'), (k, v) -> schema_of_variant(v))")
+    given = made.select("conv_id", "turn", "k", "name", F.explode_outer(kinds).alias("parameter", "kind"))
     pattern = F.lit("^$")
     for name, begins in TYPES.items():
         pattern = F.when(F.col("type") == name, F.lit(f"^({begins})")).otherwise(pattern)

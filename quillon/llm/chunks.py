@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import arrow_map, clashing, text_bytes
+from quillon.llm.common import arrow_map, clashing, fresh, text_bytes
 
 MIN_BYTES = 16
 MASK_BITS = 4
@@ -125,11 +125,12 @@ def dedup(documents: DataFrame, min_run: int = MIN_RUN, min_bytes: int = MIN_BYT
             out.append({"text": b"".join(kept).decode(), "n_bytes": size, "n_removed": sum(b - a for a, b in spans), "spans": [{"at": a, "to": b} for a, b in spans]})
         return pa.array(out, pa.struct([("text", pa.string()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("at", pa.int32()), ("to", pa.int32())])))]))
 
-    names = documents.columns
-    marks = repeats(documents, min_bytes, mask_bits).select(F.col("doc_id").alias("__doc"), F.col("later").alias("__later"))
-    both = documents.join(marks, documents["doc_id"] == marks["__doc"], "left").withColumn("__cut", cut("text", "__later"))
-    fields = {"text": "__cut.text"}
-    return both.select(*[F.col(fields.get(c, f"`{c}`")).alias(c) for c in names], F.struct(F.col("__cut.n_bytes"), F.col("__cut.n_removed"), F.col("__cut.spans")).alias("dedup"))
+    names = [c for c in documents.columns if c != "dedup"]
+    doc, later, done = (fresh(documents, n) for n in ("__doc", "__later", "__cut"))
+    marks = repeats(documents, min_bytes, mask_bits).select(F.col("doc_id").alias(doc), F.col("later").alias(later))
+    both = documents.join(marks, F.col("doc_id") == F.col(doc), "left").withColumn(done, cut("text", later))
+    kept = [F.col(f"{done}.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in names]
+    return both.select(*kept, F.struct(F.col(f"{done}.n_bytes"), F.col(f"{done}.n_removed"), F.col(f"{done}.spans")).alias("dedup"))
 
 
 def op10_chunk_dedup(spark, sf_dir: str) -> DataFrame:

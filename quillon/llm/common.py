@@ -64,6 +64,13 @@ def clashing(df: DataFrame, *needed: str) -> DataFrame:
     return df.select(*needed)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have yet."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a long, b long): rows (node, root), root the smallest node reachable.
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import arrow_map, clashing
+from quillon.llm.common import arrow_map, clashing, fresh
 
 SEEDS = ((0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 8, 9), (0, 4, 5, 8, 10, 11))
 SHORT = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
@@ -170,8 +170,9 @@ def _searching(sent, ids: list):
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns; rows without doc_id stay."""
-    bad = overlaps(documents, benchmark).select(F.col("doc_id").alias("__doc")).distinct()
-    return documents.join(bad, documents["doc_id"] == bad["__doc"], "left_anti")
+    doc = fresh(documents, "__doc")
+    bad = overlaps(documents, benchmark).select(F.col("doc_id").alias(doc)).distinct()
+    return documents.join(bad, F.col("doc_id") == F.col(doc), "left_anti")
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

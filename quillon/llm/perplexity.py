@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import clashing, written
+from quillon.llm.common import clashing, fresh, written
 
 ORDER = 5
 BITS = 12
@@ -35,6 +35,8 @@ LEAST = 20
 #: Characters at the language's usual rate that every text is taken to begin with: a short text needs more to be rejected.
 PRIOR = 40
 SHARD_ROWS = 4_000_000
+#: Most languages whose thresholds are broadcast.
+LANGUAGES = 10_000
 #: Characters scored or counted at a time, and n-grams a task holds before it passes its counts on.
 SLICE = 1 << 18
 HELD = 500_000
@@ -267,22 +269,25 @@ def judged(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
     both = calm.agg((F.sum("nll") / F.sum("n")).alias("mean_all"))
     spoken = found.select("lang").distinct()
     langs = spoken.join(means, spoken["lang"].eqNullSafe(means["l"]), "left").drop("l").withColumnRenamed("lang", "l").join(F.broadcast(both), how="left")
+    # thresholds are a row a language: sent to all tasks while there are few, joined like any table beyond
+    send = F.broadcast if spoken.count() <= LANGUAGES else (lambda d: d)
     usual = langs.select("l", F.when(F.col("docs") >= LEAST, F.col("mean")).otherwise(F.col("mean_all")).alias("mean"), F.coalesce(F.col("docs") >= LEAST, F.lit(False)).alias("own"))
-    named = found.join(usual, found["lang"].eqNullSafe(usual["l"])).drop("l")
+    named = found.join(send(usual), found["lang"].eqNullSafe(usual["l"])).drop("l")
     smooth = (F.col("nll") + F.lit(PRIOR) * F.col("mean")) / (F.col("n") + F.lit(PRIOR))
     named = named.withColumn("level", F.when(F.col("n") > 0, smooth))
     levels = named.where("n > 0").join(trusted_ids(labels).where("fold = 0"), "doc_id")
     own = levels.groupBy(F.col("lang").alias("l")).agg(F.percentile_approx("level", quantile, 10000).alias("limit"))
     everyone = levels.agg(F.percentile_approx("level", quantile, 10000).alias("limit_all"))
-    limits = named.join(own, named["lang"].eqNullSafe(own["l"]), "left").join(F.broadcast(everyone), how="left")
+    limits = named.join(send(own), named["lang"].eqNullSafe(own["l"]), "left").join(F.broadcast(everyone), how="left")
     limit = F.when(F.col("own"), F.col("limit")).otherwise(F.col("limit_all"))
     return limits.select("doc_id", "th", "lang", "n", F.when(F.col("n") > 0, F.exp(F.col("nll") / F.col("n"))).alias("perplexity"), F.exp(F.col("level")).alias("level"), F.exp(limit).alias("threshold"), F.coalesce((F.col("n") > 0) & (F.coalesce(F.col("level") <= limit, F.lit(True))), F.lit(False)).alias("kept"))
 
 
 def kept(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that judged() keeps, with all their columns."""
-    good = judged(documents, labels).where("kept").select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), F.col("lang").alias("__lang"))
-    same = documents["doc_id"].eqNullSafe(good["__doc"]) & (F.xxhash64(documents["text"]) == good["__th"]) & documents["lang"].eqNullSafe(good["__lang"])
+    doc, th, lang = (fresh(documents, n) for n in ("__doc", "__th", "__lang"))
+    good = judged(documents, labels).where("kept").select(F.col("doc_id").alias(doc), F.col("th").alias(th), F.col("lang").alias(lang))
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(th)) & F.col("lang").eqNullSafe(F.col(lang))
     return documents.join(good, same, "left_semi")
 
 
