@@ -55,7 +55,7 @@ def validated(made: DataFrame, schemas: DataFrame) -> DataFrame:
         pattern = F.when(F.col("type") == name, F.lit(f"^({begins})")).otherwise(pattern)
     rules = schemas.select("name", "parameter", "required", pattern.alias("pattern"))
     checked = given.where("parameter is not null").join(rules, ["name", "parameter"], "left")
-    wrong = checked.where(F.col("pattern").isNull() | ~F.coalesce(F.col("kind").rlike(F.col("pattern")), F.lit(False))).select("conv_id", "turn", "k")
+    wrong = checked.where(F.col("pattern").isNull() | ~F.coalesce(F.rlike("kind", "pattern"), F.lit(False))).select("conv_id", "turn", "k")
     needed = made.select("conv_id", "turn", "k", "name").join(rules.where("required"), "name").select("conv_id", "turn", "k", "parameter")
     missing = needed.join(given.select("conv_id", "turn", "k", "parameter"), ["conv_id", "turn", "k", "parameter"], "left_anti").select("conv_id", "turn", "k")
     unknown = made.join(rules.select("name").distinct(), "name", "left_anti").select("conv_id", "turn", "k")
