@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -64,6 +67,20 @@ def clashing(df: DataFrame, *needed: str) -> DataFrame:
     return df.select(*needed)
 
 
+_HELD: dict = {}
+
+
+def held(key, build: Callable):
+    """A worker's one large model. Workers outlive stages; a stage that brings another model, or none (key None), frees the last."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library can give memory back
+            ctypes.CDLL(None).malloc_trim(0)
+        _HELD[key] = build()
+    return _HELD[key]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have yet."""
     while name in df.columns:

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import clashing, fresh, written
+from quillon.llm.common import clashing, fresh, held, written
 
 ORDER = 5
 BITS = 12
@@ -67,7 +66,7 @@ def grams(texts: list[str], order: int = ORDER) -> Iterator[tuple[int, np.ndarra
 
 
 def trusted(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, fold, z) of trusted documents; z is the text compressed, since all texts pass the join's shuffle."""
+    """(doc_id, lang, fold, z) of trusted documents; z is the text compressed, since all texts pass the join's shuffle."""
 
     @F.arrow_udf("binary")
     def packed(texts: pa.Array) -> pa.Array:
@@ -76,7 +75,7 @@ def trusted(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     good = trusted_ids(labels)
     # a merge join at every size: whether labels would fit a broadcast is a matter of the table at hand
-    return documents.select("doc_id", packed("text").alias("z")).join(good.hint("merge"), "doc_id")
+    return documents.select("doc_id", "lang", packed("text").alias("z")).join(good.hint("merge"), "doc_id")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -89,12 +88,13 @@ def counted(trusted_texts: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram long, c long) over all training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held(None, dict)
+        counts: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            u, at = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
-            return u, np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64)
+            u, at = np.unique(np.concatenate([g for g, _ in counts]), return_inverse=True)
+            return u, np.bincount(at, np.concatenate([c for _, c in counts])).astype(np.int64)
 
         unpress = zstandard.ZstdDecompressor()
         waiting: list[np.ndarray] = []
@@ -104,7 +104,7 @@ def counted(trusted_texts: DataFrame, order: int = ORDER) -> DataFrame:
             nonlocal chars, size
             if waiting:
                 u, c = np.unique(np.concatenate(waiting), return_counts=True)
-                held.append((u, c))
+                counts.append((u, c))
                 size += len(u)
                 waiting.clear()
             chars = 0
@@ -118,12 +118,12 @@ def counted(trusted_texts: DataFrame, order: int = ORDER) -> DataFrame:
                         count()
                 if size > HELD:
                     u, c = merged()
-                    held, size = [(u, c)], len(u)
+                    counts, size = [(u, c)], len(u)
                     if size > HELD // 2:
                         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c)], names=["gram", "c"])
-                        held, size = [], 0
+                        counts, size = [], 0
         count()
-        if held:
+        if counts:
             u, c = merged()
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c)], names=["gram", "c"])
 
@@ -209,9 +209,16 @@ class Scorer:
         return -(total + UNIFORM * len(rest))
 
 
-@lru_cache(1)
 def _scorer(payload: bytes, order: int, shard: int, shards: int) -> Scorer:
-    return Scorer(pa.ipc.open_stream(payload).read_all(), order, shard, shards)
+    return held(("kn", hash(payload), shard), lambda: Scorer(pa.ipc.open_stream(payload).read_all(), order, shard, shards))
+
+
+def _sent(rows: DataFrame):
+    """Rows of the model as a broadcast value; at most SHARD_ROWS and those of orders 1 and 2."""
+    sink, arrow = pa.BufferOutputStream(), rows.toArrow()
+    with pa.ipc.new_stream(sink, arrow.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(arrow)
+    return rows.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
 
 def _scoring(sent, order: int, shard: int, shards: int):
@@ -230,7 +237,6 @@ def _scoring(sent, order: int, shard: int, shards: int):
 
 def scores(documents: DataFrame, table: DataFrame, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, th, lang, n, nll): one row per doc_id, hash of the text and language; n counts characters."""
-    spark = documents.sparkSession
     shards = max(1, math.ceil(table.where("n > 2").count() / shard_rows))
     parts = None
     for s in range(shards):
@@ -241,12 +247,7 @@ def scores(documents: DataFrame, table: DataFrame, order: int = ORDER, shard_row
             # a row with both figures serves its n-gram's shard and, as a context, the shard of its own last two characters
             last = F.pmod(F.shiftright(F.col("gram").bitwiseAND(F.lit((1 << 2 * BITS) - 1)) * 0x9E3779B1, 13), F.lit(shards)) == s
             rows = table.where((F.col("n") <= 2) | mine | last)
-        sink = pa.BufferOutputStream()
-        arrow = rows.toArrow()
-        with pa.ipc.new_stream(sink, arrow.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-            w.write_table(arrow)
-        sent = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
-
+        sent = _sent(rows)
         score = _scoring(sent, order, s, shards)
         part = documents.select("doc_id", F.xxhash64("text").alias("th"), "lang", score("text").alias("s")).select("doc_id", "th", "lang", "s.n", "s.nll")
         part = part.groupBy("doc_id", "th", "lang").agg(F.max("n").alias("n"), F.max("nll").alias("nll"))
@@ -283,12 +284,43 @@ def judged(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
     return limits.select("doc_id", "th", "lang", "n", F.when(F.col("n") > 0, F.exp(F.col("nll") / F.col("n"))).alias("perplexity"), F.exp(F.col("level")).alias("level"), F.exp(limit).alias("threshold"), F.coalesce((F.col("n") > 0) & (F.coalesce(F.col("level") <= limit, F.lit(True))), F.lit(False)).alias("kept"))
 
 
-def kept(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that judged() keeps, with all their columns."""
-    doc, th, lang = (fresh(documents, n) for n in ("__doc", "__th", "__lang"))
-    good = judged(documents, labels).where("kept").select(F.col("doc_id").alias(doc), F.col("th").alias(th), F.col("lang").alias(lang))
-    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(th)) & F.col("lang").eqNullSafe(F.col(lang))
-    return documents.join(good, same, "left_semi")
+def _unpressed(column: str):
+    @F.arrow_udf("string")
+    def text(zs: pa.Array) -> pa.Array:
+        unpress = zstandard.ZstdDecompressor().decompress
+        return pa.array([unpress(z.as_py()).decode() for z in zs], pa.string())
+
+    return text(column)
+
+
+def kept(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order: int = ORDER) -> DataFrame:
+    """The documents that judged() keeps, with all their columns.
+
+    Thresholds come from the calibration documents, then every document is scored and decided on where it is read: whole texts pass no
+    shuffle but that of the trusted ones. A model of several shards, or more than LANGUAGES languages, takes a join with judged().
+    """
+    doc, th, lang, s = (fresh(documents, n) for n in ("__doc", "__th", "__lang", "__s"))
+    columns, labels = clashing(documents, "doc_id", "text", "lang"), clashing(labels, "doc_id", "quality", "toxic")
+    good = written(trusted(columns, labels), "kn-trusted")
+    table = model(good.where("fold <> 0"), order)
+    if table.where("n > 2").count() > SHARD_ROWS:
+        named = judged(documents, labels, quantile, order).where("kept").select(F.col("doc_id").alias(doc), F.col("th").alias(th), F.col("lang").alias(lang))
+        same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(th)) & F.col("lang").eqNullSafe(F.col(lang))
+        return documents.join(named, same, "left_semi")
+    calm = written(scores(good.where("fold = 0").select("doc_id", "lang", _unpressed("z").alias("text")), table, order).where("n > 0"), "kn-calibration")
+    means = calm.groupBy(F.col("lang").alias("l")).agg((F.sum("nll") / F.sum("n")).alias("mean"), F.count("*").alias("docs")).where(F.col("docs") >= LEAST)
+    both = calm.agg((F.sum("nll") / F.sum("n")).alias("mean_all"))
+    level = lambda nll, n, mean: (nll + F.lit(PRIOR) * mean) / (n + F.lit(PRIOR))
+    leveled = calm.join(F.broadcast(both)).join(means, calm["lang"].eqNullSafe(means["l"]), "left").withColumn("level", level(F.col("nll"), F.col("n"), F.coalesce("mean", "mean_all")))
+    own = leveled.where("docs is not null").groupBy("l").agg(F.first("mean").alias("mean"), F.percentile_approx("level", quantile, 10000).alias("limit"))
+    every = leveled.agg(F.first("mean_all").alias("mean_all"), F.percentile_approx("level", quantile, 10000).alias("limit_all")).first()  # one row
+    limits = written(own.select(F.col("l").alias(lang), F.struct("mean", "limit").alias(th)), "kn-limits")
+    send = F.broadcast if limits.count() <= LANGUAGES else (lambda d: d)
+    scored = documents.withColumn(s, _scoring(_sent(table), order, 0, 1)("text"))
+    found = scored.join(send(limits), F.col("lang").eqNullSafe(F.col(lang)), "left")
+    mean, limit = (F.coalesce(F.col(f"{th}.{c}"), F.lit(v)) for c, v in (("mean", every.mean_all), ("limit", every.limit_all)))
+    n, nll = F.col(f"{s}.n"), F.col(f"{s}.nll")
+    return found.where((n > 0) & F.coalesce(level(nll, n, mean) <= limit, F.lit(True))).select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:

@@ -17,17 +17,19 @@ keeps the paths of frequent parts.
 from __future__ import annotations
 
 import re
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import held
+
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Entries of each of the two generations of the memo of solved parts, a worker; some 40 MB each.
-MEMO = 200_000
+#: Entries of each of the two generations of the memo of solved parts, a worker; some 25 MB each.
+MEMO = 120_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -105,7 +107,7 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def may_follow(self, a: int, b: int) -> bool:
-        if len(self.follows) > 500_000:
+        if len(self.follows) > 300_000:
             self.follows.clear()
         fits = self.follows[a << 32 | b] = self.merged(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
         return fits
@@ -261,9 +263,8 @@ class Transducer:
         return text[1:] if self.norm.add_dummy_prefix and text.startswith(" ") else text
 
 
-@lru_cache(2)
 def compiled(model: bytes) -> Transducer:
-    return Transducer(model)
+    return held(("pieces", hash(model)), lambda: Transducer(model))
 
 
 def model_bytes(path: str = MODEL) -> bytes:
