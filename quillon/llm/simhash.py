@@ -16,6 +16,7 @@ a star. That is 65 rows a fingerprint whatever the size of the crowd, and exact.
 similar() serves similarities too low for 2 bits. Texts of shingle similarity 0.8 differ in some 15 % of fingerprint bits, which no
 exact key survives, so it takes 256 bits and many keys, each a set of masked-pivot coordinates; the keys' length grows with the
 logarithm of the rows, their number follows from the wanted recall. Spread pivots discard nothing at that distance and are left out.
+The bits only name candidates: each pair is verified by the shingle sets themselves before it is linked.
 """
 
 from __future__ import annotations
@@ -60,18 +61,22 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def wide_fingerprint(text: bytes, shingle: int, words_: int = 4) -> np.ndarray:
-    """A SimHash of 64 * words_ bits over the set of shingles: the hash is mixed anew for every further 64."""
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Hashes of a text's distinct shingles in ascending order; a text shorter than a shingle is one."""
     words = text.lower().split()
     if not words:
-        return np.zeros(words_, np.uint64)
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.unique(np.fromiter((digest(line[s:e], SEED) for s, e in zip(begins[:n].tolist(), last.tolist(), strict=True)), np.uint64, n))
+    return np.unique(np.fromiter((digest(line[s:e], SEED) for s, e in zip(begins[:n].tolist(), last.tolist(), strict=True)), np.uint64, n))
+
+
+def wide_fingerprint(hashes: np.ndarray, words_: int = 4) -> np.ndarray:
+    """A SimHash of 64 * words_ bits over a set of shingles: the hash is mixed anew for every further 64."""
     counts = np.zeros((words_, 64), np.int64)
     for at in range(0, len(hashes), STRIDE):
         h = hashes[at : at + STRIDE]
@@ -156,9 +161,13 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, crowd: int = C
 
 
 #: Of similar(): share of the pairs at the least similarity that meet in some key, bits, and rows of a list compared in full.
-RECALL = 0.97
+RECALL = 0.99
 BITS = 256
 LIST = 4096
+#: Standard deviations that a candidate's distance may lie beyond the nominal one; 1 in 700 pairs at the least similarity is beyond 3.
+SLACK = 3
+#: Keys of the first round, which ties the closest, so that the second need not verify all pairs of a crowd.
+FIRST = 8
 
 
 def _angle(similarity: float) -> float:
@@ -166,110 +175,149 @@ def _angle(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def _lists(most: int):
-    """Rows sorted by (part, key) -> edges between fingerprints at most `most` bits apart, enough to connect those of a list."""
+def _near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    apart = np.zeros((len(a), len(b)), np.int16)
+    for k in range(a.shape[1]):
+        apart += np.bitwise_count(a[:, None, k] ^ b[None, :, k])
+    return apart <= most
+
 
-    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int16) <= most
+def _lists(most: int, one: bool):
+    """Rows sorted by (part, key) -> candidates: pairs of other roots at most `most` bits apart; with `one` only a row's first."""
 
-    def work(ids: np.ndarray, fps: np.ndarray) -> Iterator[tuple[int, int]]:
+    def work(ids: np.ndarray, roots: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if (roots == roots[0]).all():
+            return
         order = np.argsort(ids)
-        ids, fps = ids[order], fps[order]
+        ids, roots, fps = ids[order], roots[order], fps[order]
         if len(ids) <= LIST:
             for at in range(0, len(ids), 512):
-                ok = near(fps[at : at + 512], fps)
-                for i, j in zip(*np.nonzero(ok), strict=True):
-                    if j < at + i:
-                        yield int(ids[at + i]), int(ids[j])
+                to = min(len(ids), at + 512)
+                ok = _near(fps[at:to], fps[:to], most) & (roots[at:to, None] != roots[None, :to])
+                ok &= np.arange(to)[None, :] < np.arange(at, to)[:, None]
+                if one:
+                    i = np.flatnonzero(ok.any(axis=1))
+                    j = ok[i].argmax(axis=1)
+                else:
+                    i, j = np.nonzero(ok)
+                yield ids[at + i], ids[j]
             return
-        heads = fps[:1]  # a crowd: rows are held against its heads; what is near none becomes one
-        names = ids[:1]
+        heads, names = fps[:1], ids[:1]  # a crowd: rows are held against its heads; what is near none becomes one
         for at in range(1, len(ids), 512):
             part, who = fps[at : at + 512], ids[at : at + 512]
-            ok = near(part, heads)
+            ok = _near(part, heads, most)
             has = ok.any(axis=1)
-            for i, j in zip(np.flatnonzero(has), ok.argmax(axis=1)[has], strict=True):
-                yield int(who[i]), int(names[j])
+            yield who[has], names[ok.argmax(axis=1)[has]]
             for i in np.flatnonzero(~has):
-                fresh = near(part[i : i + 1], heads)[0]
+                fresh = _near(part[i : i + 1], heads, most)[0]
                 if fresh.any():
-                    yield int(who[i]), int(names[fresh.argmax()])
+                    yield who[i : i + 1], names[fresh.argmax()][None]
                 else:
                     heads, names = np.vstack((heads, part[i : i + 1])), np.append(names, who[i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark, ids, fps, out = None, [], [], []
+        mark, rows = None, []
 
-        def batch() -> pa.RecordBatch:
-            pairs = np.array(list(dict.fromkeys(out)), np.int64).reshape(-1, 2)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-        def flush() -> None:
-            if ids and sum(map(len, ids)) > 1:
-                out.extend(work(np.concatenate(ids), np.concatenate(fps)))
+        def flush() -> Iterator[pa.RecordBatch]:
+            if sum(len(r[0]) for r in rows) > 1:
+                for a, b in work(*(np.concatenate(c) for c in zip(*rows, strict=True))):
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for b in batches:
-            n = b.num_rows
-            part, key, who = (b.column(k).to_numpy() for k in range(3))
-            words = np.stack([b.column(3 + k).to_numpy() for k in range(BITS // 64)], axis=1).view(np.uint64)
+            part, key, who, root = (b.column(k).to_numpy() for k in range(4))
+            words = np.stack([b.column(4 + k).to_numpy() for k in range(BITS // 64)], axis=1).view(np.uint64)
             edges = np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1])) + 1
-            for s, e in zip([0, *edges.tolist()], [*edges.tolist(), n], strict=True):
+            for s, e in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows], strict=True):
                 now = (part[s], key[s])
                 if now != mark:
-                    flush()
-                    mark, ids, fps = now, [], []
-                ids.append(who[s:e])
-                fps.append(words[s:e])
-            if len(out) > 20_000:
-                yield batch()
-        flush()
-        yield batch()
+                    yield from flush()
+                    mark, rows = now, []
+                rows.append((who[s:e], root[s:e], words[s:e]))
+        yield from flush()
 
     return run
 
 
+def _keyed(classes: DataFrame, bits: int, parts: int) -> DataFrame:
+    """classes (sig, root, f0, ...) once a key, with part and key."""
+    words, columns_ = BITS // 64, classes.columns
+
+    def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
+        base = np.array([xxhash.xxh64_intdigest(b"base %d" % k, SEED) for k in range(words)], np.uint64)
+        fps = np.stack([batch.column(2 + k).to_numpy() for k in range(words)], axis=1).view(np.uint64)
+        side = np.unpackbits((fps ^ base).view(np.uint8), axis=1, bitorder="little")  # which side of each masked pivot
+        draw = np.random.default_rng(SEED)
+        n = batch.num_rows
+        out = []
+        for _ in range(parts):
+            chosen = side[:, draw.choice(BITS, bits, replace=False)].astype(np.int64)
+            out.append(chosen @ (np.int64(1) << np.arange(bits, dtype=np.int64)))
+        columns = [pa.array(np.repeat(np.arange(parts, dtype=np.int32), n)), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)), *[pa.array(np.tile(c.to_numpy(), parts)) for c in batch.columns]]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "key", *columns_])
+
+    return arrow_map(classes, keys, "part int, key long, " + ", ".join(f"{c} long" for c in columns_), 2000)
+
+
+def _candidates(classes: DataFrame, bits: int, parts: int, most: int, one: bool) -> DataFrame:
+    """(a, b): distinct candidate pairs of sigs."""
+    dealt = _keyed(classes, bits, parts).repartition("part", "key").sortWithinPartitions("part", "key")
+    return written(dealt.mapInArrow(_lists(most, one), "a long, b long").distinct(), "simhash-candidates")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Those of the pairs of sigs whose shingle sets are `similarity` alike: common shingles by all that stand in either."""
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(x.as_py() or b"", shingle) for x in batch.column(1).cast(pa.binary())]
+        sigs = pa.array([_signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)) for h in sets], pa.int64())
+        return pa.RecordBatch.from_arrays([sigs, pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["sig", "shingles"])
+
+    named = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    wanted = classes.join(named, "sig").select(F.col("head").alias("_head")).distinct()
+    sets = arrow_map(texts.join(wanted, texts["doc_id"] == wanted["_head"], "left_semi"), of, "sig long, shingles array<bigint>")
+    sets = written(sets.dropDuplicates(["sig"]), "simhash-sets")
+    side = lambda name, to: sets.select(F.col("sig").alias(name), F.col("shingles").alias(to))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    common, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    alike = (F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")) - 1e-9) & (common >= similarity * (total - common) - 1e-9)
+    return written(both.where(alike).select("a", "b"), "simhash-links")
+
+
 def similar(documents: DataFrame, similarity: float = 0.8, shingle: int = 5, recall: float = RECALL) -> DataFrame:
-    """(doc_id, component_id): documents whose word shingles are about `similarity` alike or more share the smallest doc_id.
+    """(doc_id, component_id): documents whose sets of word shingles are `similarity` alike or more share the smallest doc_id.
 
-    The likeness is read from 256 fingerprint bits: pairs are linked up to a standard deviation beyond the distance that the
-    similarity stands for, so some at 0.7 are linked too and few at 0.8 are missed. Equal fingerprints are one class. Null and empty texts have fingerprint zero and are alike; repeated rows
+    Candidates are pairs that meet in a key and differ in few of 256 fingerprint bits; only those whose shingle sets reach the
+    similarity are linked. A first round ties each row to one candidate a key, a second takes all candidates that the first left
+    in different components. Equal sets are one class. Null and empty texts have no shingles and are alike; repeated rows
     share a component; an empty table gives no rows; further columns are ignored.
     """
     words = BITS // 64
     names = [f"f{k}" for k in range(words)]
+    texts = clashing(documents, "doc_id", "text").where("doc_id is not null")
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([wide_fingerprint(x.as_py() or b"", shingle, words) for x in batch.column(1).cast(pa.binary())], np.uint64).reshape(-1, words).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(fps[:, k].copy()) for k in range(words)]], names=["doc_id", *names])
+        sets = [shingle_set(x.as_py() or b"", shingle) for x in batch.column(1).cast(pa.binary())]
+        sigs = pa.array([_signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)) for h in sets], pa.int64())
+        fps = np.array([wide_fingerprint(h, words) for h in sets], np.uint64).reshape(-1, words).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), sigs, *[pa.array(fps[:, k].copy()) for k in range(words)]], names=["doc_id", "sig", *names])
 
-    prints = written(arrow_map(clashing(documents, "doc_id", "text").where("doc_id is not null"), of, "doc_id long, " + ", ".join(f"{n} long" for n in names)), "simhash-wide")
-    classes = written(prints.groupBy(*names).agg(F.min("doc_id").alias("head")), "simhash-classes")
+    prints = written(arrow_map(texts, of, "doc_id long, sig long, " + ", ".join(f"{n} long" for n in names)), "simhash-wide")
+    classes = written(prints.groupBy("sig").agg(F.min("doc_id").alias("head"), *[F.first(n).alias(n) for n in names]), "simhash-classes")
     rows = max(2, classes.count())
     bits = max(12, math.ceil(math.log2(rows)) - 2)
     differ = _angle(similarity)
     parts = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** bits))
-    most = int(BITS * differ + math.sqrt(BITS * differ * (1 - differ)))
-
-    def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
-        base = np.array([xxhash.xxh64_intdigest(b"base %d" % k, SEED) for k in range(words)], np.uint64)
-        fps = np.stack([batch.column(1 + k).to_numpy() for k in range(words)], axis=1).view(np.uint64)
-        side = np.unpackbits((fps ^ base).view(np.uint8), axis=1, bitorder="little")  # which side of each masked pivot
-        draw = np.random.default_rng(SEED)
-        n = batch.num_rows
-        out = []
-        for _ in range(parts):
-            chosen = side[:, draw.choice(BITS, bits, replace=False)].astype(np.int64)
-            out.append(chosen @ (np.int64(1) << np.arange(bits, dtype=np.int64)))
-        columns = [pa.array(np.repeat(np.arange(parts, dtype=np.int32), n)), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)), *[pa.array(np.tile(c.to_numpy(), parts)) for c in batch.columns]]
-        return pa.RecordBatch.from_arrays(columns, names=["part", "key", "head", *names])
-
-    keyed = arrow_map(classes.select("head", *names), keys, "part int, key long, head long, " + ", ".join(f"{n} long" for n in names), 2000)
-    dealt = keyed.repartition("part", "key").sortWithinPartitions("part", "key")
-    roots = components(dealt.mapInArrow(_lists(most), "a long, b long"))
-    told = classes.join(roots.withColumnRenamed("node", "head"), "head", "left").select(*[F.col(n).alias(f"_{n}") for n in names], F.coalesce("root", "head").alias("component_id"))
-    same = [prints[n] == told[f"_{n}"] for n in names]
-    return prints.join(told, same).select("doc_id", "component_id")
+    most = int(BITS * differ + SLACK * math.sqrt(BITS * differ * (1 - differ)))
+    first = _candidates(classes.select("sig", F.col("sig").alias("root"), *names), bits, min(FIRST, parts), most, True)
+    links = _verified(first, classes, texts, similarity, shingle)
+    tied = components(links).withColumnRenamed("node", "sig")
+    rest = _candidates(classes.join(tied, "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), *names), bits, parts, most, False)
+    rest = rest.join(first, ["a", "b"], "left_anti")
+    roots = components(links.unionByName(_verified(rest, classes, texts, similarity, shingle))).withColumnRenamed("node", "sig")
+    told = classes.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    firsts = told.groupBy("root").agg(F.min("head").alias("component_id"))
+    return prints.select("doc_id", "sig").join(told.select("sig", "root").join(firsts, "root").select("sig", "component_id"), "sig").select("doc_id", "component_id")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

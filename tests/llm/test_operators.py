@@ -103,6 +103,24 @@ def test_similar_finds_near_copies_and_leaves_others(spark):
     assert all(got[i] == i and got[100 + i] == i for i in range(30))
 
 
+def test_similar_decides_by_shingle_sets(spark):
+    """Pairs at 0.71 to 0.76 stay apart and pairs at 0.82 are linked, whatever their fingerprints say."""
+    rnd = random.Random(10)
+    rows = []
+    for i in range(90):
+        w = prose(rnd, 300).split()
+        rows.append((i, " ".join(w)))
+        for k in range((6, 8, 10)[i % 3]):
+            w[10 + 28 * k] = f"changed{k}"
+        rows.append((100 + i, " ".join(w)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(296)} for i, t in rows}
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(90):
+        alike = len(sets[i] & sets[100 + i]) / len(sets[i] | sets[100 + i])
+        assert 0.7 < alike < 0.83 and got[i] == i
+        assert got[100 + i] == (i if alike >= 0.8 else 100 + i), alike
+
+
 def brute_repeats(texts, span):
     places = defaultdict(list)
     for k, d in enumerate(texts):
