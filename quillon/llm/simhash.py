@@ -160,7 +160,7 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, crowd: int = C
     return fps.join(named, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-#: Of similar(): share of the pairs at the least similarity that meet in some key, bits, and rows of a list compared in full.
+#: Of similar(): share of the pairs at the least similarity that meet in some key, bits, and rows of a list compared in one piece.
 RECALL = 0.99
 BITS = 256
 LIST = 4096
@@ -183,57 +183,48 @@ def _near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
 
 
 def _lists(most: int, one: bool):
-    """Rows sorted by (part, key) -> candidates: pairs of other roots at most `most` bits apart; with `one` only a row's first."""
+    """Rows sorted by unit (part, key, b1, b2) -> candidates: pairs of other roots at most `most` bits apart; with `one` only a row's
+    first in the unit. A unit holds two blocks of a list, or one block twice, and compares all rows of one with all of the other."""
 
-    def work(ids: np.ndarray, roots: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def work(block: np.ndarray, ids: np.ndarray, roots: np.ndarray, fps: np.ndarray, b1: int, b2: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if (roots == roots[0]).all():
             return
         order = np.argsort(ids)
-        ids, roots, fps = ids[order], roots[order], fps[order]
-        if len(ids) <= LIST:
-            for at in range(0, len(ids), 512):
-                to = min(len(ids), at + 512)
-                ok = _near(fps[at:to], fps[:to], most) & (roots[at:to, None] != roots[None, :to])
-                ok &= np.arange(to)[None, :] < np.arange(at, to)[:, None]
-                if one:
-                    i = np.flatnonzero(ok.any(axis=1))
-                    j = ok[i].argmax(axis=1)
-                else:
-                    i, j = np.nonzero(ok)
-                yield ids[at + i], ids[j]
-            return
-        heads, names = fps[:1], ids[:1]  # a crowd: rows are held against its heads; what is near none becomes one
-        for at in range(1, len(ids), 512):
-            part, who = fps[at : at + 512], ids[at : at + 512]
-            ok = _near(part, heads, most)
-            has = ok.any(axis=1)
-            yield who[has], names[ok.argmax(axis=1)[has]]
-            for i in np.flatnonzero(~has):
-                fresh = _near(part[i : i + 1], heads, most)[0]
-                if fresh.any():
-                    yield who[i : i + 1], names[fresh.argmax()][None]
-                else:
-                    heads, names = np.vstack((heads, part[i : i + 1])), np.append(names, who[i])
+        block, ids, roots, fps = block[order], ids[order], roots[order], fps[order]
+        left, right = np.flatnonzero(block == b1), np.flatnonzero(block == b2)
+        for at in range(0, len(left), 512):
+            mine = left[at : at + 512]
+            ok = _near(fps[mine], fps[right], most) & (roots[mine, None] != roots[None, right])
+            if b1 == b2:
+                ok &= right[None, :] < mine[:, None]
+            if one:
+                i = np.flatnonzero(ok.any(axis=1))
+                j = ok[i].argmax(axis=1)
+            else:
+                i, j = np.nonzero(ok)
+            a, b = ids[mine[i]], ids[right[j]]
+            yield np.maximum(a, b), np.minimum(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark, rows = None, []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if sum(len(r[0]) for r in rows) > 1:
-                for a, b in work(*(np.concatenate(c) for c in zip(*rows, strict=True))):
+                for a, b in work(*(np.concatenate(c) for c in zip(*rows, strict=True)), *mark[2:]):
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for b in batches:
-            part, key, who, root = (b.column(k).to_numpy() for k in range(4))
-            words = np.stack([b.column(4 + k).to_numpy() for k in range(BITS // 64)], axis=1).view(np.uint64)
-            edges = np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1])) + 1
+            unit = [b.column(k).to_numpy() for k in range(4)]
+            block, who, root = (b.column(k).to_numpy() for k in range(4, 7))
+            words = np.stack([b.column(7 + k).to_numpy() for k in range(BITS // 64)], axis=1).view(np.uint64)
+            edges = np.flatnonzero(np.logical_or.reduce([u[1:] != u[:-1] for u in unit])) + 1
             for s, e in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows], strict=True):
-                now = (part[s], key[s])
+                now = tuple(u[s] for u in unit)
                 if now != mark:
                     yield from flush()
                     mark, rows = now, []
-                rows.append((who[s:e], root[s:e], words[s:e]))
+                rows.append((block[s:e], who[s:e], root[s:e], words[s:e]))
         yield from flush()
 
     return run
@@ -260,8 +251,15 @@ def _keyed(classes: DataFrame, bits: int, parts: int) -> DataFrame:
 
 
 def _candidates(classes: DataFrame, bits: int, parts: int, most: int, one: bool) -> DataFrame:
-    """(a, b): distinct candidate pairs of sigs."""
-    dealt = _keyed(classes, bits, parts).repartition("part", "key").sortWithinPartitions("part", "key")
+    """(a, b): distinct candidate pairs of sigs. Lists of more than LIST rows are compared in pairs of blocks, each a unit of its own."""
+    keyed = _keyed(classes, bits, parts)
+    crowds = written(keyed.groupBy("part", "key").agg(F.count("*").alias("m")).where(F.col("m") > LIST), "simhash-crowds")
+    blocks = F.coalesce(F.ceil(F.col("m") / F.lit(LIST)).cast("int"), F.lit(1))
+    split = keyed.join(crowds, ["part", "key"], "left").withColumn("n", blocks).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("n")).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    unit = ["part", "key", "b1", "b2"]
+    split = split.select("part", "key", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", *classes.columns)
+    dealt = split.repartition(*unit).sortWithinPartitions(*unit)
     return written(dealt.mapInArrow(_lists(most, one), "a long, b long").distinct(), "simhash-candidates")
 
 

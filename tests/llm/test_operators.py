@@ -121,6 +121,23 @@ def test_similar_decides_by_shingle_sets(spark):
         assert got[100 + i] == (i if alike >= 0.8 else 100 + i), alike
 
 
+def test_crowded_lists_keep_every_link(spark, monkeypatch):
+    """Blocks of a crowded list name the pairs that comparing the whole list does: a row near two heads, and rows near one another under different ones."""
+    rnd = np.random.default_rng(3)
+    flip = lambda fp, places: fp ^ np.packbits(np.isin(np.arange(256), places), bitorder="little").view(np.uint64)
+    base = rnd.integers(0, 1 << 63, 4).astype(np.uint64)
+    fps = [flip(base, rnd.choice(np.arange(40, 256), 30, replace=False)) for _ in range(60)]
+    names = [f"f{k}" for k in range(4)]
+    rows = [(i, i, *map(int, fp.view(np.int64))) for i, fp in enumerate(fps)]
+    want = {(i, j) for i in range(60) for j in range(i) if np.bitwise_count(fps[i] ^ fps[j]).sum() <= 48}
+    assert 100 < len(want) < 1700
+    monkeypatch.setattr(simhash, "LIST", 16)
+    monkeypatch.setattr(simhash, "_keyed", lambda classes, bits, parts: classes.select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("key"), "*"))
+    classes = spark.createDataFrame(rows, "sig long, root long, " + ", ".join(f"{n} long" for n in names))
+    got = [(r.a, r.b) for r in simhash._candidates(classes, 12, 1, 48, False).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def brute_repeats(texts, span):
     places = defaultdict(list)
     for k, d in enumerate(texts):
