@@ -1,13 +1,13 @@
 """Benchmark decontamination by spaced seeds.
 
 A seed reads SEEDS[k] words at fixed places and ignores those between, so a substituted word there does not hide a passage. The
-three seeds of six words are lossless for the rule below: wherever 4 of 20 aligned words differ, one of them fits between the
-differences. Benchmark seeds are hashed into an index; every place of every training document is looked up; around each hit the
+three seeds of six words are lossless for the rule below in items of 16 words and more: wherever 4 of 20 aligned words differ, one of
+them fits between the differences. Benchmark seeds are hashed into an index; every place of every training document is looked up; around each hit the
 document is laid over the item on that diagonal and the aligned words are compared.
 
-A document holds an item if WINDOW aligned words (all of a shorter item), at least SIMILARITY of them equal, are found. Items of
-fewer than 12 words, for which the seeds are too long, are sought by SHORT seeds; those of fewer than LEAST words cannot be told
-from common phrases and are found in no document.
+A document holds an item if WINDOW aligned words (all of a shorter item), at least SIMILARITY of them equal, are found. Items of at
+most SHORT_WORDS words, for which the seeds are too long or miss some differences, are sought by SHORT seeds; those of fewer than LEAST
+words cannot be told from common phrases and are found in no document.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from quillon.llm.common import arrow_map, clashing, fresh
 
 SEEDS = ((0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 8, 9), (0, 4, 5, 8, 10, 11))
 SHORT = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
+SHORT_WORDS = 15
 WINDOW = 20
 SIMILARITY = 0.8
 LEAST = 5
@@ -68,14 +69,14 @@ class Index:
         known = _Hashes()
         self.items = [words(t, known) for t in texts]
         self.seeds = [(s, k) for k, s in enumerate(SEEDS)]
-        if any(LEAST <= len(t) <= SEEDS[-1][-1] for t in self.items):
+        if any(LEAST <= len(t) <= SHORT_WORDS for t in self.items):
             self.seeds += [(s, len(SEEDS) + k) for k, s in enumerate(SHORT)]
         hashes, owners, places = [], [], []
         for i, t in enumerate(self.items):
             if len(t) < LEAST:
                 continue
             for seed, salt in self.seeds:
-                if (salt >= len(SEEDS)) == (len(t) <= SEEDS[-1][-1]):
+                if (salt >= len(SEEDS)) == (len(t) <= SHORT_WORDS):
                     h = seeded(t, seed, salt)
                     hashes.append(h)
                     owners.append(np.full(len(h), i))

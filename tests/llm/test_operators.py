@@ -242,6 +242,20 @@ def test_seeds_are_lossless():
         assert any(not bad >> k & m for m, span in masks for k in range(20 - span + 1))
 
 
+@pytest.mark.parametrize("n", range(decontaminate.LEAST, decontaminate.WINDOW + 1))
+def test_items_of_every_length_are_found(n):
+    """Whatever words of an item the rule allows to differ, the document is found by the index's own seeds."""
+    item = [f"w{k}" for k in range(n)]
+    index = decontaminate.Index([" ".join(item)])
+    known = decontaminate._Hashes()
+    plain, other = decontaminate.words(" ".join(item), known), decontaminate.words("other", known)[0]
+    for gone in combinations(range(n), n - int(np.ceil(0.8 * n - 1e-9))):
+        tokens = plain.copy()
+        tokens[list(gone)] = other
+        assert index.overlaps(tokens), gone
+
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_pieces_equal_the_library(seed):
     import sentencepiece
