@@ -4,6 +4,8 @@ Every page's containers are scored by the text they hold. Pages vote, in Spark,
 their scores' shares; digits in class names are generalised, so that numbered templates vote together. Each page is then read again
 with its host's winning paths in order: the first that stands in the page and holds text gives the article. A page in which none of
 them does falls back on its own best container. Single pages that look odd are so overruled by the pages they share a template with.
+The path that won names a place in the article, not its limits: it is widened to the article or main element around it, or else to
+the largest element below the body whose further blocks are not links for the most part.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ NEVER = frozenset("nav header footer aside form menu dialog button".split())
 VOID = frozenset(("hr", "br", "img", "input", "meta", "link", "wbr", "source", "col", "base", "area", "embed", "track"))
 #: Words of class and id names that mark what is not the article.
 ASIDE = frozenset(
-    "ad ads advert adverts advertisement advertising advertorial banner banners breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promos promotion recommended related reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
+    "ad ads advert adverts advertisement advertising advertorial banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promos promotion recommended related reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form toolbar".split())
 
@@ -154,15 +156,44 @@ def best(found: dict[str, float], n: int = VOTES) -> list[tuple[str, float]]:
     return sorted(found.items(), key=lambda x: (-x[1], x[0]))[:n]
 
 
+def widened(nodes: list[Node], blocks: list[tuple[int, str, float]], path: str) -> set[int]:
+    """Elements that hold the whole article of which the elements of this path are parts."""
+    tops: set[int] = set()
+    links = [0] * len(nodes)  # blocks in an element that are links for the most part
+    for at, _, free in blocks:
+        links[at] += free < 0.5
+    for k in range(len(nodes) - 1, 0, -1):
+        links[nodes[k].above] += links[k]
+    for start in [k for k in range(1, len(nodes)) if nodes[k].path == path]:
+        up = [start]
+        while nodes[up[-1]].above > 0:
+            up.append(nodes[up[-1]].above)
+        named = next((k for k in up if nodes[k].tag in ("article", "main")), None)
+        if named is None:
+            named = start
+            for k in up[1:]:
+                if nodes[k].tag in ("body", "html") or links[k] > links[named]:
+                    break
+                named = k
+        tops.add(named)
+    return tops
+
+
+def _inside(nodes: list[Node], tops: set[int]) -> list[bool]:
+    inside = [k in tops for k in range(len(nodes))]
+    for k in range(1, len(nodes)):  # elements stand after those above them
+        inside[k] = inside[k] or inside[nodes[k].above]
+    return inside
+
+
 def article(html: str, paths: list[str]) -> str:
     nodes, blocks = parse(html)
     own = [p for p, _ in best(scored(nodes, blocks), 1)]
     for path in [*paths, *own]:
-        inside = [n.path == path for n in nodes]
-        for k in range(1, len(nodes)):  # elements stand after those above them
-            inside[k] = inside[k] or inside[nodes[k].above]
-        if texts := [text for at, text, _ in blocks if inside[at]]:
-            return "\n".join(texts)
+        inside = _inside(nodes, {k for k in range(1, len(nodes)) if nodes[k].path == path})
+        if any(inside[at] for at, _, _ in blocks):
+            inside = _inside(nodes, widened(nodes, blocks, path))
+            return "\n".join(text for at, text, _ in blocks if inside[at])
     return "\n".join(text for _, text, _ in blocks)
 
 

@@ -317,6 +317,18 @@ def test_consensus_overrules_a_page(spark):
     assert got[9] == "Short note."
 
 
+def test_whole_article_around_the_winning_path(spark):
+    """Sections, heads, leads and bylines beside the container with most of the text belong to the article."""
+    long, short = "".join(f"<p>{'many words of the larger part ' * 4}{k}</p>" for k in range(9)), "<p>A short part of its own.</p>"
+    two = f"<body><nav>Menu</nav><article><section class=a>{long}</section><section class=b>{short}</section></article><footer>f</footer></body>"
+    lead = f"<body><article><h1>Head</h1><p class=byline>By A. Writer</p><p>The lead.</p><div class=content>{long}</div></article></body>"
+    plain = f"<body><div class=post><h1>Head</h1><p>The lead.</p><div class=content>{long}</div></div><div class=more><p><a href=x>Read all of this too</a></p></div></body>"
+    rows = [(i, f"http://{i % 3}.example/p", (two, lead, plain)[i % 3]) for i in range(9)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(9):
+        assert len(got[i].split("\n")) == (10, 12, 11)[i % 3] and "Menu" not in got[i] and "Read all" not in got[i]
+
+
 def test_licenses(spark):
     rows = [
         (1, "x CC-BY y. All Rights Reserved! general PUBLIC license"), (2, "Permission is hereby granted, free of charge, to any person obtaining a copy of this fine software and associated documentation files"),
