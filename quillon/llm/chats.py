@@ -10,6 +10,8 @@ task of its own.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ MESSAGE = "struct<content:string,tool_call_id:string,tool_calls:array<struct<id:
 #: Types a schema may name, and how the types of JSON values begin.
 TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DECIMAL|DOUBLE", "boolean": "BOOLEAN", "object": "OBJECT", "array": "ARRAY"}
 SCHEMA = "name string, parameter string, type string, required boolean"
-#: Rounds of ordering; a chain of references that is longer, or runs in a circle, is reported as unordered.
-DEPTH = 50
+#: Rounds of ordering after which the levels found so far are written as one table, so that the plan doesn't grow with the chain.
+GATHERED = 16
 
 
 def messages(conversations: DataFrame) -> DataFrame:
@@ -65,7 +67,7 @@ def validated(made: DataFrame, schemas: DataFrame) -> DataFrame:
 
 def ordered(made: DataFrame) -> DataFrame:
     """(conv_id, turn, k, level int): 0 for calls that refer to no other, else one more than the highest they refer to; null where
-    the references run in a circle, lead nowhere or are longer than DEPTH."""
+    the references run in a circle or lead nowhere. Ends when a round finds no new level, however long the chain."""
     made = made.select("conv_id", "turn", "k", "id", F.to_json(F.col("arguments")).alias("a"))
     uses = made.select("conv_id", "turn", "k", F.explode(F.array_distinct(F.regexp_extract_all("a", F.lit(r'"\$([^"\\]+)"'), F.lit(1)))).alias("ref"))
     if uses.isEmpty():
@@ -74,7 +76,7 @@ def ordered(made: DataFrame) -> DataFrame:
     at = ["conv_id", "turn", "k"]
     done = written(made.join(uses, at, "left_anti").select(*at, "id", F.lit(0).alias("level")), "chat-level")
     wanted = uses.groupBy(*at).agg(F.count("*").alias("n"))
-    for level in range(1, DEPTH):
+    for level in itertools.count(1):
         ids = done.groupBy("conv_id", "id").agg(F.max("level").alias("level"))
         ready = uses.join(ids, (uses["conv_id"] == ids["conv_id"]) & (uses["ref"] == ids["id"])).groupBy(*[uses[c] for c in at]).agg(F.count("*").alias("m"))
         new = made.select(*at, "id").join(wanted, at).join(ready, at).where("n = m").join(done.select(*at), at, "left_anti").select(*at, "id", F.lit(level).alias("level"))
@@ -82,6 +84,8 @@ def ordered(made: DataFrame) -> DataFrame:
         if new.isEmpty():
             break
         done = done.unionByName(new)
+        if level % GATHERED == 0:
+            done = written(done, "chat-level")
     return made.select(*at).join(done.select(*at, "level"), at, "left")
 
 

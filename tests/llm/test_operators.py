@@ -366,6 +366,13 @@ def test_chats(spark):
     assert chats.formatted(frame.limit(0)).count() == 0
 
 
+def test_calls_are_ordered_to_the_end_of_a_chain(spark):
+    made = [{"id": f"c{k}", "name": "add", "arguments": {"a": f"$c{k - 1}" if k else 1}} for k in range(53)]
+    rows = [(1, 0, "assistant", json.dumps({"tool_calls": made}))]
+    levels = chats.ordered(chats.calls(chats.messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))
+    assert {r.k: r.level for r in levels.collect()} == {k: k for k in range(53)}
+
+
 def test_kneser_ney_sums_to_one(spark):
     rnd = random.Random(0)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
