@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,36 +15,90 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that carries whole texts. Spark's default of 10,000 long texts would not fit a worker.
+#: Most rows and bytes of an Arrow batch that carries whole texts: Spark's defaults of 10,000 rows and 256 MB would not fit a worker.
 TEXT_BATCH_ROWS = 500
+TEXT_BATCH_BYTES = 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(spark: SparkSession) -> None:
+    """From now on Arrow batches of the session stay under TEXT_BATCH_BYTES; a lower setting of the user's stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(name) or "")
+    if now is None or int(now[1]) > TEXT_BATCH_BYTES:
+        spark.conf.set(name, TEXT_BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir where the cluster names one, a local one only where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where the cluster names none, a local one in local mode (tests), else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = os.path.join(tempfile.gettempdir(), "quillon-checkpoints")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: its lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.options(compression="zstd", **options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.quillon_path = path
+    return out
+
+
+def discarded(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that written() made, in whatever store they are."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        with contextlib.suppress(ValueError):
+            _WRITTEN[spark.sparkContext.applicationId].remove(path)
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what was written within, but for tables passed to the function it gives. What is read later must be passed."""
+    mine = _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    before, kept = set(mine), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.quillon_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        discarded(spark, [p for p in mine if p not in before | kept])
+
+
+def released() -> None:
+    """Frees a worker's large model and gives free memory back: workers outlive stages, and the next may need the room."""
+    _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can give memory back
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str, rows: int = TEXT_BATCH_ROWS) -> DataFrame:
     """mapInArrow with f called on slices of at most `rows` rows, which bounds a worker's memory whatever the batch size is set to."""
+    bounded(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 out = f(batch.slice(at, rows))
@@ -71,12 +126,9 @@ _HELD: dict = {}
 
 
 def held(key, build: Callable):
-    """A worker's one large model. Workers outlive stages; a stage that brings another model, or none (key None), frees the last."""
+    """A worker's one large model; a task that brings another frees the last."""
     if key not in _HELD:
-        _HELD.clear()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # only where the C library can give memory back
-            ctypes.CDLL(None).malloc_trim(0)
+        released()
         _HELD[key] = build()
     return _HELD[key]
 
@@ -105,7 +157,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        now = written(small, "edges")
+        last, now = now, written(small, "edges")
+        discarded(now.sparkSession, [last.quillon_path])  # `now` has been made of it and stands on its own
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
         if seen == before:
             break

@@ -26,7 +26,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
-    "op5_repeats": op5_repeats,
     "op6_licenses": licenses.ORACLE,
     "op7_chats": chats.ORACLE,
 }
