@@ -1,13 +1,14 @@
 """SimHash near-duplicates found through pivot distance tables.
 
-A fingerprint is compared with reference fingerprints (pivots) instead of with other fingerprints. Two kinds are used:
+Every fingerprint's Hamming distances to many reference fingerprints (pivots) are computed once; fingerprints are then compared
+through these distances, and only what they cannot tell apart is compared bit by bit. Two kinds of pivots are used:
 
-* `MASKED` pivots are one base fingerprint with a single bit turned. d(x, base) - d(x, base with bit j turned) is +1 or -1 and
-  tells on which side of pivot j a fingerprint lies. Coordinates of fingerprints at most 2 apart differ in at most 2 of these 64
-  places, so of the 4 quarters of the table two agree exactly. The 6 pairs of quarters are the keys candidates are joined on:
-  the pivot table read as an exact index, 32 coordinates a key, in place of a scan over all pairs.
-* `SPREAD` pivots are unrelated fingerprints. By the triangle inequality |d(x,p) - d(y,p)| <= d(x,y), a pair whose largest
-  coordinate difference is over 2 is discarded in the join's condition, and the survivors are verified bit by bit.
+* Block pivots: one base fingerprint, and it with one of `blocks` blocks of bits turned. Half the difference of a fingerprint's
+  distances to the base and to a block pivot is its distance from the base within that block. Fingerprints at most 2 apart differ in
+  the distances of at most 2 blocks, so of 4 quarters of the blocks two agree in all. Candidates are pairs that agree in the distances
+  of one of the 6 pairs of quarters. Blocks have 4 bits, or 2 or 1 where the table is so large that a key's lists would grow too long.
+* Spread pivots are unrelated fingerprints. By the triangle inequality |d(x,p) - d(y,p)| <= d(x,y), a candidate pair whose largest
+  coordinate difference is over 2 is discarded. What survives is verified bit by bit.
 
 A key with more than `crowd` distinct fingerprints is not paired up. Each of its fingerprints reports itself and its 64 one-bit
 neighbours; fingerprints meet at a common neighbour exactly when they are at most 2 apart, and every meeting point is linked as
@@ -36,7 +37,8 @@ from quillon.llm.common import arrow_map, clashing, components, written
 SEED = 42
 SHINGLE = 3
 DISTANCE = 2
-CROWD = 48
+#: Distinct fingerprints of a key that are paired up.
+CROWD = 256
 #: Shingles hashed at a time; bounds the memory a very long text takes.
 STRIDE = 1 << 16
 BASE = 0x9E3779B97F4A7C15
@@ -104,38 +106,56 @@ def _signed(x: int) -> int:
 
 
 def _spread(n: int) -> list[int]:
-    return [_signed(xxhash.xxh64_intdigest(b"pivot %d" % i, SEED)) for i in range(n)]
+    return [xxhash.xxh64_intdigest(b"pivot %d" % i, SEED) for i in range(n)]
 
 
-def pivot_table(fps: DataFrame, spread: int = 16) -> DataFrame:
-    """fp with `side` (bit j: the side of masked pivot j) and p0, p1, ... (distances to the spread pivots)."""
-    distance = lambda p: F.bit_count(F.col("fp").bitwiseXOR(F.lit(p)))
-    base = distance(_signed(BASE))
-    side = F.lit(0).cast("long")
-    for j in range(64):
-        nearer = base > distance(_signed(BASE ^ (1 << j)))
-        side = side.bitwiseOR(F.when(nearer, F.lit(_signed(1 << j))).otherwise(F.lit(0).cast("long")))
-    return fps.select("fp", side.alias("side"), *[distance(p).cast("tinyint").alias(f"p{i}") for i, p in enumerate(_spread(spread))])
+def blocks_for(rows: int, crowd: int = CROWD) -> int:
+    """Blocks whose fullest expected list (all distances at their most frequent value) has at most `crowd` of so many fingerprints."""
+    usual = lambda width: math.comb(width, width // 2) / 2**width
+    return next((m for m in (16, 32) if rows * usual(64 // m) ** (m // 2) <= crowd), 64)
 
 
-def _keys(side: Column) -> Column:
-    quarter = [0xFFFF << (16 * i) for i in range(4)]
-    return F.array(*[F.struct(F.lit(n).cast("tinyint").alias("part"), side.bitwiseAND(F.lit(_signed(quarter[a] | quarter[b]))).alias("key")) for n, (a, b) in enumerate(combinations(range(4), 2))])
+def pivot_table(fps: DataFrame, spread: int = 16, blocks: int = 16) -> DataFrame:
+    """fp with b0, b1, ... (distances from the base within each block) and p0, p1, ... (distances to the spread pivots)."""
+    distance = lambda p: F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p))))
+    width = 64 // blocks
+    turned = [BASE ^ (((1 << width) - 1) << (width * j)) for j in range(blocks)]
+    first = fps.select("fp", distance(BASE).alias("base"), *[distance(p).alias(f"t{j}") for j, p in enumerate(turned)], *[distance(p).cast("tinyint").alias(f"p{i}") for i, p in enumerate(_spread(spread))])
+    within = lambda j: F.shiftright(F.col("base") - F.col(f"t{j}") + width, 1).cast("tinyint").alias(f"b{j}")
+    return first.select("fp", *[within(j) for j in range(blocks)], *[f"p{i}" for i in range(spread)])
 
 
-def links(fps: DataFrame, crowd: int = CROWD, spread: int = 16) -> DataFrame:
+def _keys(blocks: int) -> Column:
+    """The 6 pairs of quarters of the block distances, each packed into one long."""
+    bits, quarter = (64 // blocks).bit_length(), blocks // 4
+
+    def packed(a: int, b: int) -> Column:
+        chosen = [*range(a * quarter, (a + 1) * quarter), *range(b * quarter, (b + 1) * quarter)]
+        key = F.lit(0).cast("long")
+        for at, j in enumerate(chosen):
+            key = key.bitwiseOR(F.shiftleft(F.col(f"b{j}").cast("long"), bits * at))
+        return key
+
+    return F.array(*[F.struct(F.lit(n).cast("tinyint").alias("part"), packed(a, b).alias("key")) for n, (a, b) in enumerate(combinations(range(4), 2))])
+
+
+def candidates(few: DataFrame, spread: int) -> DataFrame:
+    """(a, b): pairs of fingerprints of one key (few: part, key, fp, p0, ...) whose largest difference of pivot distances is at most 2."""
+    pivots = [f"p{i}" for i in range(spread)]
+    right = few.select("part", "key", *[F.col(c).alias(f"r_{c}") for c in ("fp", *pivots)])
+    same = (F.col("l.part") == F.col("r.part")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.r_fp"))
+    for p in pivots:
+        same &= F.abs(F.col(f"l.{p}") - F.col(f"r.r_{p}")) <= DISTANCE
+    return few.alias("l").join(right.alias("r"), same).select(F.col("l.fp").alias("a"), F.col("r.r_fp").alias("b"))
+
+
+def links(fps: DataFrame, crowd: int = CROWD, spread: int = 16, blocks: int = 16) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) that are at most 2 bits apart, enough to connect all such pairs."""
-    table = pivot_table(fps, spread)
-    keyed = table.select("*", F.explode(_keys(F.col("side"))).alias("k")).select("*", "k.part", "k.key").drop("k", "side")
-    sizes = keyed.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
+    pivots = [f"p{i}" for i in range(spread)]
+    keyed = pivot_table(fps, spread, blocks).select("fp", *pivots, F.explode(_keys(blocks)).alias("k")).select("fp", *pivots, "k.part", "k.key")
+    sizes = written(keyed.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
     met = written(keyed.join(sizes, ["part", "key"]), "simhash-keys")
-    few = met.where(F.col("n") <= crowd)
-    left, right = few.alias("l"), few.select("part", "key", *[F.col(c).alias(f"r_{c}") for c in table.columns if c != "side"]).alias("r")
-    near = F.col("l.fp") < F.col("r.r_fp")
-    for i in range(spread):
-        near &= F.abs(F.col(f"l.p{i}") - F.col(f"r.r_p{i}")) <= DISTANCE
-    near &= F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.r_fp"))) <= DISTANCE
-    pairs = left.join(right, (F.col("l.part") == F.col("r.part")) & (F.col("l.key") == F.col("r.key")) & near).select(F.col("l.fp").alias("a"), F.col("r.r_fp").alias("b"))
+    pairs = candidates(met.where(F.col("n") <= crowd), spread).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
     many = met.where(F.col("n") > crowd).select("fp").distinct()
     turned = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << j))) for j in range(64)])
     points = many.select("fp", F.explode(turned).alias("point"))
@@ -151,8 +171,8 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, crowd: int = C
     empty table gives no rows; further columns are ignored.
     """
     fps = written(fingerprints(documents, shingle), "simhash")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
-    roots = components(links(classes.select("fp"), crowd)).withColumnRenamed("node", "fp")
+    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")), "simhash-classes")
+    roots = components(links(classes.select("fp"), crowd, blocks=blocks_for(classes.count(), crowd))).withColumnRenamed("node", "fp")
     # classes of one document that nothing is linked to need no row here
     told = classes.join(roots, "fp", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "fp"))
     firsts = told.groupBy("root").agg(F.min("first_doc").alias("component_id"))
@@ -253,7 +273,9 @@ def _keyed(classes: DataFrame, bits: int, parts: int) -> DataFrame:
 def _candidates(classes: DataFrame, bits: int, parts: int, most: int, one: bool) -> DataFrame:
     """(a, b): distinct candidate pairs of sigs. Lists of more than LIST rows are compared in pairs of blocks, each a unit of its own."""
     keyed = _keyed(classes, bits, parts)
-    crowds = written(keyed.groupBy("part", "key").agg(F.count("*").alias("m")).where(F.col("m") > LIST), "simhash-crowds")
+    crowds = keyed.groupBy("part", "key").agg(F.count("*").alias("m")).where(F.col("m") > LIST)
+    nowhere = crowds.sparkSession.range(1).select(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("key"), F.lit(1).cast("long").alias("m"))  # keeps the plan's shape without crowds
+    crowds = written(crowds.unionByName(nowhere), "simhash-crowds")
     blocks = F.coalesce(F.ceil(F.col("m") / F.lit(LIST)).cast("int"), F.lit(1))
     split = keyed.join(crowds, ["part", "key"], "left").withColumn("n", blocks).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("n")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
