@@ -3,8 +3,9 @@
 A gear hash h = (h << 1) + GEAR[byte] rolls over a text's UTF-8 bytes; in 32 bits it forgets all but the last 32 bytes. A chunk
 ends where the hash's top bits are zero, no sooner than MIN_BYTES after the last cut and only between characters. An insertion
 moves bytes but not the cuts around it, so repeated passages fall into the same chunks wherever they stand. Chunks are told apart
-by digest. Of every chunk the first place (least doc_id, then least offset) is kept. Later places are removed when they stand in
-an unbroken run of such places of at least MIN_RUN bytes: short chunks that chance to be equal stay.
+by 96 bits of digest: of 10^13 chunks a chance collision is to be expected once in 500 such corpora. Of every chunk the first place
+(least doc_id, then least offset) is kept. Later places are removed when they stand in an unbroken run of such places of at least
+MIN_RUN bytes, so short chunks that chance to be equal stay; min_run = 0 removes every later chunk.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import arrow_map, clashing, fresh, text_bytes
+from quillon.llm.common import arrow_map, clashing, fresh, pressed, text_bytes, unpressed, written
 
 MIN_BYTES = 16
 MASK_BITS = 4
@@ -46,54 +47,62 @@ def cuts(data: bytes, min_bytes: int = MIN_BYTES, mask_bits: int = MASK_BITS) ->
     return [*found, n]
 
 
-def digests(data: bytes, ends: list[int]) -> list[int]:
-    digest, at, found = xxhash.xxh3_64_intdigest, 0, []
+def digests(data: bytes, ends: list[int]) -> list[bytes]:
+    digest, at, found = xxhash.xxh3_128_digest, 0, []
     for e in ends:
-        found.append(digest(data[at:e]))
+        found.append(digest(data[at:e])[:12])
         at = e
     return found
 
 
 def chunked(documents: DataFrame, min_bytes: int = MIN_BYTES, mask_bits: int = MASK_BITS) -> DataFrame:
-    """(digest long, doc_id, at int): every chunk of every whole text."""
+    """(d1 long, d2 int, doc_id, at int): every chunk of every whole text, once a text: its first place there."""
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         all_digests, counts, starts = [], [], []
         for data in text_bytes(batch.column(1)):
             ends = cuts(data, min_bytes, mask_bits)
-            counts.append(len(ends))
-            all_digests += digests(data, ends)
-            starts += [0, *ends[:-1]] if ends else []
+            firsts: dict[bytes, int] = {}
+            for d, at in zip(digests(data, ends), [0, *ends], strict=False):
+                firsts.setdefault(d, at)
+            counts.append(len(firsts))
+            all_digests += firsts
+            starts += firsts.values()
         ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), counts)))
-        return pa.RecordBatch.from_arrays([pa.array(np.array(all_digests, np.uint64).view(np.int64)), ids, pa.array(starts, pa.int32())], names=["digest", "doc_id", "at"])
+        told = np.frombuffer(b"".join(all_digests), np.dtype([("d1", "<i8"), ("d2", "<i4")]))
+        return pa.RecordBatch.from_arrays([pa.array(told["d1"].copy()), pa.array(told["d2"].copy()), ids, pa.array(starts, pa.int32())], names=["d1", "d2", "doc_id", "at"])
 
-    return arrow_map(clashing(documents, "doc_id", "text").where("doc_id is not null"), of, "digest long, doc_id long, at int")
+    return arrow_map(clashing(documents, "doc_id", "text").where("doc_id is not null"), of, "d1 long, d2 int, doc_id long, at int")
 
 
 def repeats(documents: DataFrame, min_bytes: int = MIN_BYTES, mask_bits: int = MASK_BITS) -> DataFrame:
-    """(doc_id, later array<struct<at, digest>>): the chunks of a document that stand somewhere before.
+    """(doc_id, later array<struct<at, d1>>): the chunks of a document that stand in an earlier one.
 
-    The first places are found by a pre-aggregated min, so a chunk that a third of all documents hold costs one row a task; the
-    join that follows is a plain one, whose hot keys Spark splits. A document's list is bounded by its own length.
+    First documents are found by a pre-aggregated min, so a chunk that a third of all documents hold costs one row a task, and are
+    written: the join that follows has a plain exchange on either side, whose hot keys Spark splits. A document's list is bounded by
+    its own length.
     """
     chunks = chunked(documents, min_bytes, mask_bits)
-    firsts = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).where("n > 1").select("digest", F.col("first.doc_id").alias("f_doc"), F.col("first.at").alias("f_at"))
-    later = chunks.join(firsts, "digest").where("doc_id <> f_doc or at <> f_at")
-    return later.groupBy("doc_id").agg(F.collect_list(F.struct("at", "digest")).alias("later"))
+    ends = chunks.groupBy("d1", "d2").agg(F.min("doc_id").alias("f_doc"), F.max("doc_id").alias("l_doc")).where("f_doc <> l_doc")
+    firsts = written(ends.select("d1", "d2", "f_doc"), "chunk-firsts")
+    later = chunks.join(firsts, ["d1", "d2"]).where("doc_id <> f_doc")
+    return later.groupBy("doc_id").agg(F.collect_list(F.struct("at", "d1")).alias("later"))
 
 
 def removed_runs(data: bytes, later: set[tuple[int, int]], min_run: int, min_bytes: int, mask_bits: int) -> list[tuple[int, int]]:
-    """Maximal runs of chunks in `later` that are at least min_run bytes long. The digests are compared again with this very text,
-    so that rows that share a doc_id but not a text are told apart."""
+    """Maximal runs, at least min_run bytes long, of chunks that are in `later` (offset, first half of the digest) or stand in this text
+    before. The digests are compared again with this very text, so that rows that share a doc_id but not a text are told apart."""
     ends = cuts(data, min_bytes, mask_bits)
     runs: list[tuple[int, int]] = []
+    seen: set[bytes] = set()
     at = 0
     for e, d in zip(ends, digests(data, ends), strict=True):
-        if (at, d) in later:
+        if d in seen or (later and (at, int.from_bytes(d[:8], "little", signed=True)) in later):
             if runs and runs[-1][1] == at:
                 runs[-1] = (runs[-1][0], e)
             else:
                 runs.append((at, e))
+        seen.add(d)
         at = e
     return [r for r in runs if r[1] - r[0] >= min_run]
 
@@ -101,34 +110,34 @@ def removed_runs(data: bytes, later: set[tuple[int, int]], min_run: int, min_byt
 def dedup(documents: DataFrame, min_run: int = MIN_RUN, min_bytes: int = MIN_BYTES, mask_bits: int = MASK_BITS) -> DataFrame:
     """documents with `text` cut and `dedup` struct<n_bytes long, n_removed long, spans array<struct<at, to>>> added (byte offsets).
 
-    Null texts stay null and count as empty; rows without doc_id stay as they are; repeated rows of one doc_id and text are one
-    document; an empty table gives no rows; columns besides doc_id and text are carried along.
+    Null texts stay null and count as empty; rows without doc_id lose only what repeats within them; rows of one doc_id are one document
+    to one another, so repeated rows are cut alike and keep what only they hold; an empty table gives no rows; a text of any length is
+    chunked whole; columns besides doc_id and text are carried along.
     """
-    kind = "struct<text:string,n_bytes:bigint,n_removed:bigint,spans:array<struct<at:int,to:int>>>"
-
-    @F.arrow_udf(kind)
-    def cut(texts: pa.Array, later: pa.Array) -> pa.Array:
-        out = []
-        for value, chunks in zip(texts.cast(pa.binary()), later, strict=True):
-            data = value.as_py()
-            size = len(data or b"")
-            if not data or not chunks.is_valid:
-                out.append({"text": None if data is None else data.decode(), "n_bytes": size, "n_removed": 0, "spans": []})
-                continue
-            known = {(x["at"], x["digest"] & 0xFFFFFFFFFFFFFFFF) for x in chunks.as_py()}
-            spans = removed_runs(data, known, min_run, min_bytes, mask_bits)
+    spans_kind = pa.list_(pa.struct([("at", pa.int32()), ("to", pa.int32())]))
+
+    @F.arrow_udf("struct<text:string,n_bytes:bigint,n_removed:bigint,spans:array<struct<at:int,to:int>>>")
+    def cut(zs: pa.Array, later: pa.Array) -> pa.Array:
+        texts, sizes, removed, spans = [], [], [], []
+        for z, chunks in zip(zs, later, strict=True):
+            data = unpressed(z.as_py())
+            known = {(x["at"], x["d1"]) for x in chunks.as_py() or ()}
+            found = removed_runs(data, known, min_run, min_bytes, mask_bits) if data else []
             kept, at = [], 0
-            for a, b in spans:
+            for a, b in found:
                 kept.append(data[at:a])
                 at = b
-            kept.append(data[at:])
-            out.append({"text": b"".join(kept).decode(), "n_bytes": size, "n_removed": sum(b - a for a, b in spans), "spans": [{"at": a, "to": b} for a, b in spans]})
-        return pa.array(out, pa.struct([("text", pa.string()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("at", pa.int32()), ("to", pa.int32())])))]))
+            texts.append(None if data is None else b"".join([*kept, data[at:]]).decode())
+            sizes.append(len(data or b""))
+            removed.append(sum(b - a for a, b in found))
+            spans.append([{"at": a, "to": b} for a, b in found])
+        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, spans_kind)], ["text", "n_bytes", "n_removed", "spans"])
 
     names = [c for c in documents.columns if c != "dedup"]
-    doc, later, done = (fresh(documents, n) for n in ("__doc", "__later", "__cut"))
+    doc, later, done, z = (fresh(documents, n) for n in ("__doc", "__later", "__cut", "__z"))
     marks = repeats(documents, min_bytes, mask_bits).select(F.col("doc_id").alias(doc), F.col("later").alias(later))
-    both = documents.join(marks, F.col("doc_id") == F.col(doc), "left").withColumn(done, cut("text", later))
+    small = documents.select(*[F.col(f"`{c}`") for c in names if c != "text"], pressed("text", documents).alias(z))
+    both = small.join(marks, F.col("doc_id") == F.col(doc), "left").withColumn(done, cut(z, later))
     kept = [F.col(f"{done}.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in names]
     return both.select(*kept, F.struct(F.col(f"{done}.n_bytes"), F.col(f"{done}.n_removed"), F.col(f"{done}.spans")).alias("dedup"))
 

@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,6 +118,22 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x if x is not None else b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def pressed(column: str, df: DataFrame):
+    """A text column of df compressed, since it passes a join's shuffle; null stays null."""
+    bounded(df.sparkSession)
+
+    @F.arrow_udf("binary")
+    def press(texts: pa.Array) -> pa.Array:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        return pa.array([None if (data := x.as_py()) is None else squeeze(data) for x in texts.cast(pa.binary())], pa.binary())
+
+    return press(column)
+
+
+def unpressed(z: bytes | None) -> bytes | None:
+    return None if z is None else zstandard.ZstdDecompressor().decompress(z)
+
+
 def clashing(df: DataFrame, *needed: str) -> DataFrame:
     """Only the named columns, whatever else the table carries: extra columns cannot clash with the operators' own names."""
     return df.select(*needed)
