@@ -13,7 +13,7 @@ Texts are so parsed into phrases: a string is a phrase's suffix (what stands bef
 3. The start places found are turned into covered bytes and cut from the texts.
 
 Keys with over CROWD different phrases at the edges don't go to one task: their strings are hashed one by one and counted, which Spark
-pre-aggregates. Texts are told apart by their XXH64.
+pre-aggregates. Texts are told apart by 96 bits of hash (th, tk), phrases by 128 (key, whole) and strings of crowded keys by 64.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import arrow_map, clashing, text_bytes, written
+from quillon.llm.common import arrow_map, clashing, pressed, text_bytes, written
 
 SPAN = 200
 W = 16
@@ -74,13 +74,13 @@ def shared(span: int) -> int:
 
 
 def dictionary(texts: DataFrame, span: int = SPAN) -> DataFrame:
-    """(key, whole, th, place): one row a phrase of every text (columns th, text)."""
+    """(key, whole, th, tk, place): one row a phrase of every text (columns th, tk, text)."""
     n = shared(span)
     digest = xxhash.xxh3_64_intdigest
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, wholes, places, counts = [], [], [], []
-        for data in text_bytes(batch.column(1)):
+        for data in text_bytes(batch.column(2)):
             before = len(keys)
             if len(data) >= span:
                 for cut, low, high in phrases(data, span):
@@ -88,40 +88,29 @@ def dictionary(texts: DataFrame, span: int = SPAN) -> DataFrame:
                     wholes.append(digest(data[low : high + span]))
                     places.append(_place(cut, low, high))
             counts.append(len(keys) - before)
-        ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), counts)))
+        at = pa.array(np.repeat(np.arange(batch.num_rows), counts))
         as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        return pa.RecordBatch.from_arrays([as_long(keys), as_long(wholes), ids, as_long(places)], names=["key", "whole", "th", "place"])
+        return pa.RecordBatch.from_arrays([as_long(keys), as_long(wholes), batch.column(0).take(at), batch.column(1).take(at), as_long(places)], names=["key", "whole", "th", "tk", "place"])
 
-    return arrow_map(texts.select("th", "text"), of, "key long, whole long, th long, place long")
-
-
-def pressed(column: str):
-    """A text column compressed, since it passes a join's shuffle."""
-
-    @F.arrow_udf("binary")
-    def press(texts: pa.Array) -> pa.Array:
-        squeeze = zstandard.ZstdCompressor(level=3).compress
-        return pa.array([squeeze(x) for x in text_bytes(texts)], pa.binary())
-
-    return press(column)
+    return arrow_map(texts.select("th", "tk", "text"), of, "key long, whole long, th long, tk int, place long")
 
 
 def _edges(span: int):
-    """Phrases of one key, sorted by key -> (th, low, high) of starts that are repeated."""
+    """Phrases of one key, sorted by key -> (th, tk, low, high) of starts that are repeated."""
     rest = span - shared(span)
 
-    def work(rows: list[tuple[int, int, bool, bytes, bytes]]) -> Iterator[tuple[int, int, int]]:
-        """rows: (th, place, settled, bytes before the cut, bytes after the shared ones)."""
+    def work(rows: list[tuple[int, int, int, bool, bytes, bytes]]) -> Iterator[tuple[int, int, int, int]]:
+        """rows: (th, tk, place, settled, bytes before the cut, bytes after the shared ones)."""
         found: dict[int, list[int]] = {}
-        ranges = [(p >> 8 & 255, p & 255) for _, p, _, _, _ in rows]
+        ranges = [(p >> 8 & 255, p & 255) for _, _, p, _, _, _ in rows]
         for a in range(min(r[1] for r in ranges), max(r[0] for r in ranges) + 1):
-            order = sorted((left[len(left) - a :], right[: rest - a], i) for i, ((_, _, _, left, right), (most, least)) in enumerate(zip(rows, ranges, strict=True)) if least <= a <= most)
+            order = sorted((left[len(left) - a :], right[: rest - a], i) for i, ((_, _, _, _, left, right), (most, least)) in enumerate(zip(rows, ranges, strict=True)) if least <= a <= most)
             for (s1, c1, i), (s2, c2, j) in zip(order, order[1:], strict=False):
                 if s1 == s2 and c1 == c2:
                     found.setdefault(i, []).append(a)
                     found.setdefault(j, []).append(a)
         for i, distances in found.items():
-            th, place, settled, _, _ = rows[i]
+            th, tk, place, settled, _, _ = rows[i]
             if settled:
                 continue
             cut = place >> 16
@@ -129,22 +118,22 @@ def _edges(span: int):
             low = before = starts[0]
             for s in [*starts[1:], None]:
                 if s != before + 1:
-                    yield th, low, before
+                    yield th, tk, low, before
                     low = s
                 before = s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[int, int, int, int]] = []
 
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) if out else [[]] * 3
-            b = pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["th", "low", "high"])
+            columns = list(zip(*out, strict=True)) if out else [[]] * 4
+            b = pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["th", "tk", "low", "high"])
             out.clear()
             return b
 
         for batch in batches:
-            for row in zip(*[batch.column(k).to_pylist() for k in range(6)], strict=True):
+            for row in zip(*[batch.column(k).to_pylist() for k in range(7)], strict=True):
                 if row[0] != now:
                     if len(rows) > 1:
                         out += work(rows)
@@ -160,45 +149,47 @@ def _edges(span: int):
 
 
 def starts(texts: DataFrame, span: int = SPAN, crowd: int = CROWD) -> DataFrame:
-    """(th, low, high): ranges of places where a string of `span` bytes starts that also starts elsewhere, for texts (th, text)."""
+    """(th, tk, low, high): ranges of places where a string of `span` bytes starts that also starts elsewhere, for texts (th, tk, text)."""
     n, rest = shared(span), span - shared(span)
     key, both = Window.partitionBy("key"), Window.partitionBy("key", "whole")
     counted = dictionary(texts, span).withColumn("c", F.count("*").over(key)).where("c > 1")
-    counted = counted.withColumn("same", F.count("*").over(both)).withColumn("first", F.row_number().over(both.orderBy("th", "place")) == 1)
+    counted = counted.withColumn("same", F.count("*").over(both)).withColumn("first", F.row_number().over(both.orderBy("th", "tk", "place")) == 1)
     edge = F.col("same") == 1
     counted = counted.withColumn("edges", F.count_if(edge).over(key)).withColumn("differ", F.count_if(edge | F.col("first")).over(key))
     # phrases to compare: those at edges, and one for each whole that they may meet
     need = edge | (F.col("first") & (F.col("edges") > 0))
-    met = written(counted.where((F.col("same") > 1) | (F.col("edges") > 0)).select("key", "th", "place", (F.col("same") > 1).alias("settled"), need.alias("need"), (F.col("differ") > crowd).alias("crowded")), "repeat-phrases")
+    met = written(counted.where((F.col("same") > 1) | (F.col("edges") > 0)).select("key", "th", "tk", "place", (F.col("same") > 1).alias("settled"), need.alias("need"), (F.col("differ") > crowd).alias("crowded")), "repeat-phrases")
     cut = F.shiftright("place", 16)
-    covered = met.where("settled").select("th", (cut - F.shiftright("place", 8).bitwiseAND(F.lit(255))).alias("low"), (cut - F.col("place").bitwiseAND(F.lit(255))).alias("high")).distinct()
-    asked = met.where("need").groupBy("th").agg(F.collect_list(F.struct("key", "place", "settled", "crowded")).alias("asked"))  # a text's own phrases
-    held = texts.select("th", pressed("text").alias("z")).join(asked, "th")
+    covered = met.where("settled").select("th", "tk", (cut - F.shiftright("place", 8).bitwiseAND(F.lit(255))).alias("low"), (cut - F.col("place").bitwiseAND(F.lit(255))).alias("high")).distinct()
+    asked = met.where("need").groupBy("th", "tk").agg(F.collect_list(F.struct("key", "place", "settled", "crowded")).alias("asked"))  # a text's own phrases
+    # of equal texts one goes on; most are dropped before the shuffle
+    once = texts.select("th", "tk", pressed("text", texts).alias("z")).groupBy("th", "tk").agg(F.first("z").alias("z"))
+    held = once.join(asked, ["th", "tk"])
 
     def contexts(batch: pa.RecordBatch) -> pa.RecordBatch:
         unpress = zstandard.ZstdDecompressor()
         rows = []
-        for th, z, phrases_ in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+        for th, tk, z, phrases_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
             data = unpress.decompress(z.as_py())
             for p in phrases_:
                 at, low, high = _parts(p["place"])
                 if not p["crowded"]:
-                    rows.append((p["key"], th, p["place"], p["settled"], data[low:at], data[at + n : high + span]))
+                    rows.append((p["key"], th, tk, p["place"], p["settled"], data[low:at], data[at + n : high + span]))
                     continue
                 for i in range(low, high + 1):
                     h = xxhash.xxh3_64_intdigest(data[i : i + span])
-                    rows.append((h - (1 << 64) if h >> 63 else h, th, i, p["settled"], None, None))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["key", "th", "place", "settled", "left", "right"])
+                    rows.append((h - (1 << 64) if h >> 63 else h, th, tk, i, p["settled"], None, None))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["key", "th", "tk", "place", "settled", "left", "right"])
 
-    rows = arrow_map(held, contexts, "key long, th long, place long, settled boolean, left binary, right binary", 100)
+    rows = arrow_map(held, contexts, "key long, th long, tk int, place long, settled boolean, left binary, right binary", 100)
     rows = written(rows, "repeat-contexts")
-    dealt = rows.where("left is not null").repartition("key").sortWithinPartitions("key", "th", "place")
-    edges = dealt.mapInArrow(_edges(span), "th long, low long, high long")
-    points = rows.where("left is null").select(F.col("key").alias("h"), "th", F.col("place").alias("i"), "settled").distinct()
+    dealt = rows.where("left is not null").repartition("key").sortWithinPartitions("key", "th", "tk", "place")
+    edges = dealt.mapInArrow(_edges(span), "th long, tk int, low long, high long")
+    points = rows.where("left is null").select(F.col("key").alias("h"), "th", "tk", F.col("place").alias("i"), "settled").distinct()
     twice = points.groupBy("h").agg(F.count("*").alias("c"), F.max("settled").alias("s")).where("c > 1 or s").select("h")
-    single = points.where("not settled").join(twice, "h").select("th", F.col("i").alias("low"), F.col("i").alias("high"))
+    single = points.where("not settled").join(twice, "h").select("th", "tk", F.col("i").alias("low"), F.col("i").alias("high"))
     return covered.unionByName(edges).unionByName(single)
 
 
@@ -222,8 +213,8 @@ def cut(documents: DataFrame, span: int = SPAN, crowd: int = CROWD, with_text: b
     Null texts count as empty; texts shorter than a string keep all; of repeated rows every string is repeated; an empty table gives
     no rows; further columns are ignored.
     """
-    texts = clashing(documents, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("th", F.xxhash64("text"))
-    ranges = starts(texts.select("th", "text"), span, crowd).groupBy("th").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    texts = clashing(documents, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("th", F.xxhash64("text")).withColumn("tk", F.hash("text"))
+    ranges = starts(texts.select("th", "tk", "text"), span, crowd).groupBy("th", "tk").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
 
     @F.arrow_udf("struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept_sha256:string,kept:binary>")
     def kept(zs: pa.Array, lists: pa.Array) -> pa.Array:
@@ -239,7 +230,7 @@ def cut(documents: DataFrame, span: int = SPAN, crowd: int = CROWD, with_text: b
             out.append({"n_bytes": len(data), "n_removed": len(data) - len(rest), "n_spans": len(runs), "kept_sha256": hashlib.sha256(rest).hexdigest(), "kept": rest if with_text else None})
         return pa.array(out, KIND)
 
-    both = texts.select("doc_id", "th", pressed("text").alias("z")).join(ranges, "th", "left").select("doc_id", kept("z", "ranges").alias("k"))
+    both = texts.select("doc_id", "th", "tk", pressed("text", texts).alias("z")).join(ranges, ["th", "tk"], "left").select("doc_id", kept("z", "ranges").alias("k"))
     return both.select("doc_id", "k.n_bytes", "k.n_removed", "k.n_spans", "k.kept_sha256", *(["k.kept"] if with_text else []))
 
 
