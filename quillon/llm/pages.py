@@ -5,7 +5,9 @@ their scores' shares; digits in class names are generalised, so that numbered te
 with its host's winning paths in order: the first that stands in the page and holds text gives the article. A page in which none of
 them does falls back on its own best container. Single pages that look odd are so overruled by the pages they share a template with.
 The path that won names a place in the article, not its limits: it is widened to the article or main element around it, or else to
-the largest element below the body whose further blocks are not links for the most part.
+the largest element below the body whose further blocks are not links for the most part, and to elements beside that one in the body
+that hold a PART of its text and more. A path is kept as a hash of its parent's and its own label, so a page's memory is in proportion
+to its elements however deep they are nested.
 """
 
 from __future__ import annotations
@@ -14,43 +16,51 @@ import re
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import TEXT_BATCH_ROWS, arrow_map, clashing, written
+from quillon.llm.common import arrow_map, bounded, clashing, written
 
 #: Paths a page votes for, and paths a host's pages are read with.
 VOTES = 3
 PATHS = 3
+#: Share of the winning element's text from which an element beside it is a part of the article.
+PART = 0.25
 
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = frozenset("article body center div main section td".split())
 #: Their content is text that no parser looks into for tags.
-RAW = frozenset("script style noscript template textarea title iframe svg math select noembed xmp object".split())
+RAW = frozenset("script style noscript template textarea title iframe svg select noembed xmp".split())
 NEVER = frozenset("nav header footer aside form menu dialog button".split())
 VOID = frozenset(("hr", "br", "img", "input", "meta", "link", "wbr", "source", "col", "base", "area", "embed", "track"))
-#: Words of class and id names that mark what is not the article.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words of class and id names that mark what is not the article, headings aside; those that mark it only outside an article element.
 ASIDE = frozenset(
-    "ad ads advert adverts advertisement advertising advertorial banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promos promotion recommended related reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
+    "ad ads advert adverts advertisement advertising advertorial banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus gdpr login menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promos promotion recommended related reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+OUTSIDE = frozenset("disclaimer footer header masthead".split())
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form toolbar".split())
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
+#: A tag; within it a quote opens a value only right after "=".
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:"[^"]*"|'[^']*')|[^>])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 PIECES = re.compile(r"[A-Za-z]+")
 
 
 class Node:
-    __slots__ = ("above", "kept", "path", "score", "tag")
+    """An element: its label path as a hash, the elements above it, the nearest container and article or main at or above it."""
 
-    def __init__(self, tag: str, path: str, above: int, kept: bool):
-        self.tag, self.path, self.above, self.kept, self.score = tag, path, above, kept, 0.0
+    __slots__ = ("above", "article", "box", "kept", "path", "tag")
 
+    def __init__(self, tag: str, path: str, above: int, kept: bool, box: int, article: int):
+        self.tag, self.path, self.above, self.kept, self.box, self.article = tag, path, above, kept, box, article
 
-def _marks(tag: str, attributes: str) -> tuple[str, bool]:
-    """Generalised name of an element, and whether its attributes say that it is not the article."""
+
+def _marks(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
+    """Generalised name of an element, and whether its attributes say that it is not the article (`inside` an article or main)."""
     if not attributes or "=" not in attributes and "hidden" not in attributes:
         return tag, False
     found = {}
@@ -59,19 +69,26 @@ def _marks(tag: str, attributes: str) -> tuple[str, bool]:
     classes = sorted(set(re.sub(r"\d+", "#", found.get("class", "")).split()))
     name = ".".join([tag, *classes])
     said = {w.lower() for w in PIECES.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-    odd = bool(said & ASIDE) and not said & {"with", "has", "no", "without"}
+    marks = frozenset() if tag in HEADINGS else ASIDE if inside else ASIDE | OUTSIDE
+    odd = bool(said & marks) and not said & {"with", "has", "no", "without"}
     odd |= found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
     return name, odd and tag not in ("html", "body", "main", "article")
 
 
 def parse(html: str) -> tuple[list[Node], list[tuple[int, str, float]]]:
     """Elements with blocks of text, and the blocks in page order: (element, text, share of it outside links)."""
-    nodes = [Node("", "", -1, True)]
+    nodes = [Node("", "", -1, True, 0, 0)]
     stack = [0]
+    opened: dict[str, int] = {}  # open elements by tag: an end tag of none needs no search
     blocks: list[tuple[int, str, float]] = []
     text: list[str] = []
     linked, in_link, at, end = 0, False, 0, len(html)
 
+    def cut(k: int) -> None:
+        for x in stack[k:]:
+            opened[nodes[x].tag] -= 1
+        del stack[k:]
+
     def close() -> None:
         nonlocal linked
         if text:
@@ -92,7 +109,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str, float]]]:
             if in_link:
                 linked += start - at
         at = m.end()
-        slash, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        slash, name, attributes = m[1], m[2], m[3]
         if name is None:
             if html.startswith("<![CDATA[", start):
                 text.append(html[start + 9 : at - 3 if html.endswith("]]>", 0, at) else at].replace("&", "&amp;"))
@@ -111,11 +128,11 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str, float]]]:
             close()
             in_link = False
             if slash:
-                if tag == "p" and nodes[stack[-1]].tag != "p":
+                if not opened.get(tag) or (tag == "p" and nodes[stack[-1]].tag != "p"):
                     continue
                 for k in range(len(stack) - 1, 0, -1):
                     if nodes[stack[k]].tag == tag:
-                        del stack[k:]
+                        cut(k)
                         break
                     if nodes[stack[k]].tag in ("article", "main", "body") and tag not in ("article", "main", "body", "html"):
                         break  # a stray end tag does not leave the article
@@ -124,31 +141,34 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str, float]]]:
                 continue
             top = nodes[stack[-1]].tag
             if top == "p" or (top == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                stack.pop()
-            if tag in ("article", "main", "footer"):  # what a menu or header left open ends here
+                cut(len(stack) - 1)
+            if tag in ("article", "main", "footer") and any(map(opened.get, ("nav", "header", "ul", "menu"))):  # what a menu or header left open ends here
                 for k in range(1, len(stack)):
                     if nodes[stack[k]].tag in ("nav", "header", "ul", "menu"):
-                        del stack[k:]
+                        cut(k)
                         break
-            above = stack[-1]
-            label, odd = _marks(tag, attributes)
-            nodes.append(Node(tag, f"{nodes[above].path}>{label}", above, nodes[above].kept and tag not in NEVER and not odd))
-            stack.append(len(nodes) - 1)
+            above, new = nodes[stack[-1]], len(nodes)
+            label, odd = _marks(tag, attributes, above.article > 0)
+            path = xxhash.xxh64_hexdigest(f"{above.path}>{label}")
+            nodes.append(Node(tag, path, stack[-1], above.kept and tag not in NEVER and not odd, new if tag in CONTAINERS else above.box, new if tag in ("article", "main") else above.article))
+            stack.append(new)
+            opened[tag] = opened.get(tag, 0) + 1
     close()
     return nodes, blocks
 
 
 def scored(nodes: list[Node], blocks: list[tuple[int, str, float]]) -> dict[str, float]:
-    """path -> score of the page's containers: a block counts fully for the nearest one and less for each one above."""
+    """path -> score of the page's containers: a block counts fully for the nearest one and less for each of the next ones above."""
     found: dict[str, float] = {}
     for at, text, free in blocks:
-        weight, k = len(text) * free * free, at
-        while k > 0 and weight > 0:
+        weight, k = len(text) * free * free, nodes[at].box
+        for _ in range(8):
+            if k == 0 or weight == 0:
+                break
             node = nodes[k]
-            if node.tag in CONTAINERS:
-                found[node.path] = found.get(node.path, 0.0) + weight * (1.5 if node.tag in ("article", "main") else 1.0)
-                weight *= 0.4
-            k = node.above
+            found[node.path] = found.get(node.path, 0.0) + weight * (1.5 if node.tag in ("article", "main") else 1.0)
+            weight *= 0.4
+            k = nodes[node.above].box
     return found
 
 
@@ -158,24 +178,24 @@ def best(found: dict[str, float], n: int = VOTES) -> list[tuple[str, float]]:
 
 def widened(nodes: list[Node], blocks: list[tuple[int, str, float]], path: str) -> set[int]:
     """Elements that hold the whole article of which the elements of this path are parts."""
-    tops: set[int] = set()
-    links = [0] * len(nodes)  # blocks in an element that are links for the most part
-    for at, _, free in blocks:
+    links, chars = [0] * len(nodes), [0] * len(nodes)  # in an element: blocks that are links for the most part, characters of others
+    for at, text, free in blocks:
         links[at] += free < 0.5
+        chars[at] += len(text) if free >= 0.5 else 0
     for k in range(len(nodes) - 1, 0, -1):
         links[nodes[k].above] += links[k]
-    for start in [k for k in range(1, len(nodes)) if nodes[k].path == path]:
-        up = [start]
-        while nodes[up[-1]].above > 0:
-            up.append(nodes[up[-1]].above)
-        named = next((k for k in up if nodes[k].tag in ("article", "main")), None)
-        if named is None:
-            named = start
-            for k in up[1:]:
-                if nodes[k].tag in ("body", "html") or links[k] > links[named]:
-                    break
-                named = k
-        tops.add(named)
+        chars[nodes[k].above] += chars[k]
+    page = ("", "body", "html")
+    top = list(range(len(nodes)))  # the largest element around each whose further blocks are no links
+    for k in range(1, len(nodes)):
+        above = nodes[k].above
+        if nodes[above].tag not in page and links[above] == links[k]:
+            top[k] = top[above]
+    tops = {nodes[k].article or top[k] for k in range(1, len(nodes)) if nodes[k].path == path}
+    if not any(nodes[k].article for k in tops):
+        least = PART * sum(chars[k] for k in tops)
+        beside = {nodes[k].above for k in tops if nodes[nodes[k].above].tag in page}
+        tops |= {k for k in range(1, len(nodes)) if nodes[k].above in beside and nodes[k].tag in CONTAINERS and nodes[k].tag not in page and links[k] == 0 and chars[k] >= least}
     return tops
 
 
@@ -222,19 +242,18 @@ def paths(pages: DataFrame, n: int = PATHS) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text): the article of every page.
 
-    Null and empty html gives an empty text; a null or odd url belongs to the host ""; repeated rows are read each; an empty table gives
-    no rows; further columns are ignored. The host table is written first, so that its size is known: Spark sends it to all tasks
+    Null and empty html gives an empty text; a null or odd url belongs to the host ""; repeated rows are read each; of paths with equal
+    votes the one with the smaller hash comes first; an empty table gives no rows; further columns are ignored. The host table is written first, so that its size is known: Spark sends it to all tasks
     if it is under its broadcast threshold and joins by host otherwise.
     """
     pages = clashing(pages, "page_id", "url", "html")
     won = written(paths(pages), "host-paths").select(F.col("host").alias("__host"), F.col("paths").alias("__paths"))
 
+    bounded(pages.sparkSession)
+
     @F.arrow_udf("string")
     def read(htmls: pa.Array, tried: pa.Array) -> pa.Array:
-        out: list[str] = []
-        for at in range(0, len(htmls), TEXT_BATCH_ROWS):
-            out += [article(h.as_py() or "", t.as_py() or []) for h, t in zip(htmls.slice(at, TEXT_BATCH_ROWS), tried.slice(at, TEXT_BATCH_ROWS), strict=True)]
-        return pa.array(out, pa.string())
+        return pa.array([article(h.as_py() or "", t.as_py() or []) for h, t in zip(htmls, tried, strict=True)], pa.string())
 
     both = pages.withColumn("__at", host()).join(won, F.col("__at") == F.col("__host"), "left")
     return both.select("page_id", "url", read("html", "__paths").alias("text"))
