@@ -1,10 +1,11 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of characters, trained on trusted text.
 
 Trusted are documents labelled quality 1 and not toxic. One in CALIBRATION of them, chosen by hashed doc_id, sets the thresholds;
-all others train the model. An n-gram is packed into a long, ORDER characters of 12 bits each. Counts of the highest order are
+all others train the model. A text is read as symbols of 12 bits: a character below OWN_IDS is one, any other two that give it without
+loss. An n-gram is packed into a long, ORDER symbols. Counts of the highest order are
 gathered from every training document, combined in the map tasks and summed in shards by n-gram; lower orders use continuation
 counts, and each order's discounts, context totals and interpolated probabilities come from joins of these count tables. A
-document's perplexity is exp of its mean negative log-probability a character. A language's threshold is the QUANTILE of its
+document's perplexity is exp of its mean negative log-probability a symbol. A language's threshold is the QUANTILE of its
 calibration documents; languages with fewer than LEAST of them use the threshold over all.
 
 The finished table is sent to the tasks in shards by the two characters before the scored one, none larger than SHARD_ROWS rows
@@ -18,16 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import clashing, fresh, held, written
+from quillon.llm.common import bounded, clashing, fresh, held, pressed, released, unpressed, written
 
 ORDER = 5
 BITS = 12
-#: Characters below have ids of their own (all alphabets of Europe, the Near East and India); others share 512 by hash.
-OWN_IDS = 3584
+#: Characters below are one symbol (all alphabets of Europe and the Near East); others are two, their upper bits and their lower LOW_BITS.
+OWN_IDS = 1984
+LOW_BITS = 10
 CALIBRATION = 5
 QUANTILE = 0.98
 LEAST = 20
@@ -43,39 +44,37 @@ UNIFORM = math.log(1 / (1 << BITS))
 
 
 def ids(text: str) -> np.ndarray:
-    cp = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     far = cp >= OWN_IDS
-    if far.any():
-        cp = np.where(far, OWN_IDS + (cp * 2654435761 >> 7) % 512, cp)
-    return cp
+    if not far.any():
+        return cp
+    at = np.arange(len(cp)) + np.concatenate(([0], np.cumsum(far[:-1])))  # where each character begins
+    out = np.empty(len(cp) + int(far.sum()), np.int64)
+    out[at] = np.where(far, OWN_IDS + (cp >> LOW_BITS), cp)
+    out[at[far] + 1] = (1 << BITS) - (1 << LOW_BITS) + (cp[far] & ((1 << LOW_BITS) - 1))
+    return out
 
 
 def grams(texts: list[str], order: int = ORDER) -> Iterator[tuple[int, np.ndarray]]:
-    """(index of the text, packed n-grams that end at each of its characters), long texts in slices; a text begins after zeros."""
+    """(index of the text, packed n-grams that end at each of its symbols), long texts in slices; a text begins after zeros."""
     for k, text in enumerate(texts):
+        last = np.zeros(order - 1, np.int64)
         for at in range(0, len(text), SLICE):
-            part = text[max(0, at - order + 1) : at + SLICE]
-            x = ids(part)
-            lead = order - 1 - min(at, order - 1)
-            x = np.concatenate((np.zeros(lead, np.int64), x))
+            x = np.concatenate((last, ids(text[at : at + SLICE])))
             n = len(x) - order + 1
             packed = np.zeros(n, np.int64)
             for j in range(order):
                 packed = packed << BITS | x[j : j + n]
+            last = x[n:]
             yield k, packed
 
 
 def trusted(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, lang, fold, z) of trusted documents; z is the text compressed, since all texts pass the join's shuffle."""
 
-    @F.arrow_udf("binary")
-    def packed(texts: pa.Array) -> pa.Array:
-        press = zstandard.ZstdCompressor(level=3).compress
-        return pa.array([press(x.as_py() or b"") for x in texts.cast(pa.binary())], pa.binary())
-
     good = trusted_ids(labels)
     # a merge join at every size: whether labels would fit a broadcast is a matter of the table at hand
-    return documents.select("doc_id", "lang", packed("text").alias("z")).join(good.hint("merge"), "doc_id")
+    return documents.where("doc_id is not null").select("doc_id", "lang", pressed("text", documents).alias("z")).join(good.hint("merge"), "doc_id")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -88,7 +87,7 @@ def counted(trusted_texts: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram long, c long) over all training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held(None, dict)
+        released()
         counts: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -96,7 +95,6 @@ def counted(trusted_texts: DataFrame, order: int = ORDER) -> DataFrame:
             u, at = np.unique(np.concatenate([g for g, _ in counts]), return_inverse=True)
             return u, np.bincount(at, np.concatenate([c for _, c in counts])).astype(np.int64)
 
-        unpress = zstandard.ZstdDecompressor()
         waiting: list[np.ndarray] = []
         chars = 0
 
@@ -111,7 +109,7 @@ def counted(trusted_texts: DataFrame, order: int = ORDER) -> DataFrame:
 
         for batch in batches:
             for x in batch.column(0):
-                for _, g in grams([unpress.decompress(x.as_py()).decode()], order):
+                for _, g in grams([(unpressed(x.as_py()) or b"").decode()], order):
                     waiting.append(g)
                     chars += len(g)
                     if chars >= SLICE:
@@ -236,7 +234,8 @@ def _scoring(sent, order: int, shard: int, shards: int):
 
 
 def scores(documents: DataFrame, table: DataFrame, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(doc_id, th, lang, n, nll): one row per doc_id, hash of the text and language; n counts characters."""
+    """(doc_id, th, lang, n, nll): one row per doc_id, hash of the text and language; n counts symbols."""
+    bounded(documents.sparkSession)
     shards = max(1, math.ceil(table.where("n > 2").count() / shard_rows))
     parts = None
     for s in range(shards):
@@ -255,7 +254,7 @@ def scores(documents: DataFrame, table: DataFrame, order: int = ORDER, shard_row
     return parts if shards == 1 else parts.groupBy("doc_id", "th", "lang").agg(F.max("n").alias("n"), F.sum("nll").alias("nll"))
 
 
-def judged(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order: int = ORDER) -> DataFrame:
+def judged(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, th, lang, n, perplexity, threshold, kept) for every document.
 
     Null and empty texts have no perplexity and are not kept. A null language is one of its own. Repeated rows (same doc_id, text and
@@ -264,7 +263,7 @@ def judged(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
     """
     documents, labels = clashing(documents, "doc_id", "text", "lang"), clashing(labels, "doc_id", "quality", "toxic")
     good = trusted(documents, labels)
-    found = written(scores(documents, model(good.where("fold <> 0"), order), order), "kn-scores")
+    found = written(scores(documents, model(good.where("fold <> 0"), order), order, shard_rows), "kn-scores")
     calm = found.where("n > 0").join(trusted_ids(labels).where("fold = 0"), "doc_id")
     means = calm.groupBy(F.col("lang").alias("l")).agg((F.sum("nll") / F.sum("n")).alias("mean"), F.count("*").alias("docs"))
     both = calm.agg((F.sum("nll") / F.sum("n")).alias("mean_all"))
@@ -284,16 +283,15 @@ def judged(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
     return limits.select("doc_id", "th", "lang", "n", F.when(F.col("n") > 0, F.exp(F.col("nll") / F.col("n"))).alias("perplexity"), F.exp(F.col("level")).alias("level"), F.exp(limit).alias("threshold"), F.coalesce((F.col("n") > 0) & (F.coalesce(F.col("level") <= limit, F.lit(True))), F.lit(False)).alias("kept"))
 
 
-def _unpressed(column: str):
+def _opened(column: str):
     @F.arrow_udf("string")
     def text(zs: pa.Array) -> pa.Array:
-        unpress = zstandard.ZstdDecompressor().decompress
-        return pa.array([unpress(z.as_py()).decode() for z in zs], pa.string())
+        return pa.array([(unpressed(z.as_py()) or b"").decode() for z in zs], pa.string())
 
     return text(column)
 
 
-def kept(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order: int = ORDER) -> DataFrame:
+def kept(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The documents that judged() keeps, with all their columns.
 
     Thresholds come from the calibration documents, then every document is scored and decided on where it is read: whole texts pass no
@@ -303,11 +301,11 @@ def kept(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, or
     columns, labels = clashing(documents, "doc_id", "text", "lang"), clashing(labels, "doc_id", "quality", "toxic")
     good = written(trusted(columns, labels), "kn-trusted")
     table = model(good.where("fold <> 0"), order)
-    if table.where("n > 2").count() > SHARD_ROWS:
-        named = judged(documents, labels, quantile, order).where("kept").select(F.col("doc_id").alias(doc), F.col("th").alias(th), F.col("lang").alias(lang))
+    if table.where("n > 2").count() > shard_rows:
+        named = judged(documents, labels, quantile, order, shard_rows).where("kept").select(F.col("doc_id").alias(doc), F.col("th").alias(th), F.col("lang").alias(lang))
         same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(th)) & F.col("lang").eqNullSafe(F.col(lang))
         return documents.join(named, same, "left_semi")
-    calm = written(scores(good.where("fold = 0").select("doc_id", "lang", _unpressed("z").alias("text")), table, order).where("n > 0"), "kn-calibration")
+    calm = written(scores(good.where("fold = 0").select("doc_id", "lang", _opened("z").alias("text")), table, order).where("n > 0"), "kn-calibration")
     means = calm.groupBy(F.col("lang").alias("l")).agg((F.sum("nll") / F.sum("n")).alias("mean"), F.count("*").alias("docs")).where(F.col("docs") >= LEAST)
     both = calm.agg((F.sum("nll") / F.sum("n")).alias("mean_all"))
     level = lambda nll, n, mean: (nll + F.lit(PRIOR) * mean) / (n + F.lit(PRIOR))
@@ -320,10 +318,12 @@ def kept(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, or
     found = scored.join(send(limits), F.col("lang").eqNullSafe(F.col(lang)), "left")
     mean, limit = (F.coalesce(F.col(f"{th}.{c}"), F.lit(v)) for c, v in (("mean", every.mean_all), ("limit", every.limit_all)))
     n, nll = F.col(f"{s}.n"), F.col(f"{s}.nll")
-    return found.where((n > 0) & F.coalesce(level(nll, n, mean) <= limit, F.lit(True))).select(*[F.col(f"`{c}`") for c in documents.columns])
+    # one expression over both sides of the join: a part of it that names the scores alone would be pushed down and score every text twice
+    fits = F.when((n > 0) & limit.isNotNull(), level(nll, n, mean) <= limit).otherwise((n > 0) & limit.isNull())
+    return found.where(F.coalesce(fits, F.lit(False))).select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
     table = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     found = judged(table("documents"), table("labels"))
-    return found.select("doc_id", "lang", F.col("n").alias("n_chars"), F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), "kept")
+    return found.select("doc_id", "lang", F.col("n").alias("n_symbols"), F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), "kept")
