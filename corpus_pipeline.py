@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import chunks, decontaminate, perplexity, pieces, simhash
-from quillon.llm.common import written
+from quillon.llm.common import discarded, temporary, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -20,9 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents alike in 0.8 or more of their five-word shingles the one with the smallest doc_id stays."""
-    found = simhash.similar(docs, 0.8, 5).where("doc_id <> component_id").select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(found, docs["doc_id"] == found["__doc"], "left_anti").select(*COLUMNS)
+    """Of each group of documents alike in 0.8 or more of their five-word shingles one row with the smallest doc_id stays."""
+    return simhash.one_of_each(docs, 0.8, 5).select(*COLUMNS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,14 +43,16 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("substrings", substrings), ("decontamination", benchmarks), ("encoding", encoded)]
 
-#: Kneser-Ney scores, chunk cuts, spaced seeds and piece lattices are beyond SQL; tests hold the stages against brute force.
+#: Kneser-Ney scores, chunk cuts, spaced seeds and piece lattices are beyond SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        with temporary(spark) as keep:  # what a stage wrote for itself goes once its result is written
+            made = keep(written(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        if hasattr(docs, "quillon_path"):
+            discarded(spark, [docs.quillon_path])
+        docs = made
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,13 +1,19 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed reads SEEDS[k] words at fixed places and ignores those between, so a substituted word there does not hide a passage. The
-three seeds of six words are lossless for the rule below in items of 16 words and more: wherever 4 of 20 aligned words differ, one of
-them fits between the differences. Benchmark seeds are hashed into an index; every place of every training document is looked up; around each hit the
-document is laid over the item on that diagonal and the aligned words are compared.
-
-A document holds an item if WINDOW aligned words (all of a shorter item), at least SIMILARITY of them equal, are found. Items of at
-most SHORT_WORDS words, for which the seeds are too long or miss some differences, are sought by SHORT seeds; those of fewer than LEAST
-words cannot be told from common phrases and are found in no document.
+A seed reads words at fixed places and ignores those between, so a substituted word there does not hide a passage. The three SEEDS of
+six words are lossless for the rule below in items of 16 words and more: wherever 4 of 20 aligned words differ, one of them fits
+between the differences. Items of at most SHORT_WORDS words are sought by three seeds of three words, those of one or two words by
+all their words.
+
+1. The seed hashes of all items are a table. Their bits are gathered in a filter of at most 2^MOST_BITS bits, which goes to all tasks.
+2. Every place of every document is hashed by the same seeds. Places that pass the filter are kept with the words around them, WINDOW on
+   either side; places close to one another share a segment. That is all that leaves the scan, so documents are read once however
+   large the benchmark is.
+3. Training and test hashes are joined. A hit puts the segment's words over the item on its diagonal, the place in the document less
+   that in the item; segment and item meet by further joins and the aligned words are compared.
+
+A document holds an item if WINDOW aligned words (all of a shorter item), at least SIMILARITY of them equal, are found. Items of fewer
+than `least` words are left out; a least of 1 leaves out none.
 """
 
 from __future__ import annotations
@@ -21,17 +27,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import arrow_map, clashing, fresh
+from quillon.llm.common import arrow_map, clashing, fresh, written
 
 SEEDS = ((0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 8, 9), (0, 4, 5, 8, 10, 11))
 SHORT = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
+TINY = ((0,), (0, 1))
+#: All seeds; a seed's number is its place here.
+ALL = SEEDS + SHORT + TINY
 SHORT_WORDS = 15
 WINDOW = 20
 SIMILARITY = 0.8
+#: Words of the shortest item that is sought: shorter ones can't be told from common phrases.
 LEAST = 5
-#: Words of benchmark text indexed at a time: some 60 MB a worker. A larger benchmark takes more scans of the documents.
-INDEX_WORDS = 1_000_000
-FILTER_BITS = 22
+#: Bits of the filter a seed hash gets, and the most bits of the filter as a power of two (16 MB).
+BITS_EACH = 32
+MOST_BITS = 27
+#: Bits of its coarse copy, which fits a core's cache.
+COARSE_BITS = 22
 WORD = re.compile(r"\w+")
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"place %d" % k) | 1 for k in range(8)], np.uint64)
 
@@ -55,125 +67,162 @@ def seeded(tokens: np.ndarray, seed: tuple[int, ...], salt: int) -> np.ndarray:
     n = len(tokens) - seed[-1]
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = np.full(n, MULTIPLIERS[7] * np.uint64(salt + 1), np.uint64)
+    h = np.full(n, int(MULTIPLIERS[7]) * (salt + 1) & 0xFFFFFFFFFFFFFFFF, np.uint64)
     for m, at in zip(MULTIPLIERS, seed, strict=False):
         h += tokens[at : at + n] * m
         h ^= h >> np.uint64(29)
     return h * MULTIPLIERS[6]
 
 
-class Index:
-    """Seed hashes of a block of items, sorted, behind a bit filter."""
-
-    def __init__(self, texts: list[str]):
-        known = _Hashes()
-        self.items = [words(t, known) for t in texts]
-        self.seeds = [(s, k) for k, s in enumerate(SEEDS)]
-        if any(LEAST <= len(t) <= SHORT_WORDS for t in self.items):
-            self.seeds += [(s, len(SEEDS) + k) for k, s in enumerate(SHORT)]
-        hashes, owners, places = [], [], []
-        for i, t in enumerate(self.items):
-            if len(t) < LEAST:
-                continue
-            for seed, salt in self.seeds:
-                if (salt >= len(SEEDS)) == (len(t) <= SHORT_WORDS):
-                    h = seeded(t, seed, salt)
-                    hashes.append(h)
-                    owners.append(np.full(len(h), i))
-                    places.append(np.arange(len(h)))
-        joined = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(joined, kind="stable")
-        self.hashes = joined[order]
-        self.owners = (np.concatenate(owners) if owners else np.zeros(0, np.int64))[order]
-        self.places = (np.concatenate(places) if places else np.zeros(0, np.int64))[order]
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[self.hashes >> np.uint64(64 - FILTER_BITS)] = True
-
-    def hits(self, tokens: np.ndarray) -> set[tuple[int, int]]:
-        """(item, diagonal) of all seed hits; the diagonal is the place in the document less that in the item."""
-        found: set[tuple[int, int]] = set()
-        for seed, salt in self.seeds:
-            h = seeded(tokens, seed, salt)
-            at = np.flatnonzero(self.filter[h >> np.uint64(64 - FILTER_BITS)])
-            if not len(at):
-                continue
-            low, high = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
-            for p, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
-                for k in range(a, b):
-                    found.add((int(self.owners[k]), p - int(self.places[k])))
-        return found
-
-    def overlaps(self, tokens: np.ndarray) -> dict[int, tuple[int, int, int]]:
-        """item -> (equal words, first word, aligned words) of its best verified window."""
-        best: dict[int, tuple[int, int, int]] = {}
-        for i, d in self.hits(tokens):
-            item = self.items[i]
-            need = min(WINDOW, len(item))
-            start, stop = max(0, -d), min(len(item), len(tokens) - d)
-            if stop - start < need:
-                continue
-            equal = np.concatenate(([0], np.cumsum(tokens[d + start : d + stop] == item[start:stop])))
-            within = equal[need:] - equal[:-need]
-            k = int(within.argmax())
-            if within[k] >= math.ceil(SIMILARITY * need - 1e-9):
-                got = (int(within[k]), d + start + k, need)
-                if i not in best or (got[0] / got[2], -got[1]) > (best[i][0] / best[i][2], -best[i][1]):
-                    best[i] = got
-        return best
-
-
-def _blocks(benchmark: DataFrame, index_words: int) -> list[DataFrame]:
-    """The items in blocks of bounded size. A single item is at most one document and is never cut."""
-    total = benchmark.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    n = max(1, math.ceil(total / index_words))
-    return [benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
-
-
-def overlaps(documents: DataFrame, benchmark: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
-    """(doc_id, item_id, similarity double, first_word int, aligned int): an item that a document holds, with its best window.
+def seeds_for(n: int) -> range:
+    """Numbers of the seeds that find an item of n words."""
+    if n > SHORT_WORDS:
+        return range(len(SEEDS))
+    if n > len(TINY):
+        return range(len(SEEDS), len(SEEDS) + len(SHORT))
+    return range(len(ALL) - len(TINY) + n - 1, len(ALL) - len(TINY) + n)
 
-    Words are runs of letters, digits and underscores, lower-cased. Null and empty texts hold nothing; repeated rows of documents or
-    items give one row; empty tables give none; further columns are ignored. The benchmark is a set of queries held against all
-    documents, in blocks of at most about `index_words` words, so what the tasks are sent does not grow with it.
-    """
-    spark = documents.sparkSession
-    items = clashing(benchmark, "item_id", "text").where("text is not null").distinct()
-    docs = clashing(documents, "doc_id", "text").where("text is not null")
-    found = None
-    for block in _blocks(items, index_words):
-        rows = [(r.item_id, r.text) for r in block.collect()]  # bounded by index_words
-        rows.sort(key=lambda r: (r[0] is None, r[0], r[1]))
-        ids = [r[0] for r in rows]
-        sent = spark.sparkContext.broadcast([r[1] for r in rows])
-        hits = arrow_map(docs, _searching(sent, ids), "doc_id long, item_id long, similarity double, first_word int, aligned int")
-        found = hits if found is None else found.unionByName(hits)
-    best = F.max_by(F.struct("similarity", "first_word", "aligned"), F.struct("similarity", -F.col("first_word"), "aligned")).alias("b")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
+def seed_table(items: DataFrame, least: int) -> DataFrame:
+    """(h, seed, ik, place): every seed of every item (ik: hash of its number and text, text)."""
 
-def _searching(sent, ids: list):
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        known, hashes, numbers, owners, places = _Hashes(), [], [], [], []
+        for k, text in enumerate(batch.column(1)):
+            tokens = words(text.as_py(), known)
+            for seed in seeds_for(len(tokens)) if len(tokens) >= max(1, least) else ():
+                h = seeded(tokens, ALL[seed], seed)
+                hashes.append(h)
+                numbers += [seed] * len(h)
+                owners += [k] * len(h)
+                places.append(np.arange(len(h), dtype=np.int32))
+        joined = [np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((hashes, np.uint64), (places, np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array(joined[0].view(np.int64)), pa.array(numbers, pa.int32()), batch.column(0).take(pa.array(owners, pa.int64())), pa.array(joined[1])], names=["h", "seed", "ik", "place"])
+
+    return arrow_map(items.select("ik", "text"), of, "h long, seed int, ik long, place int")
+
+
+def seed_filter(seeds: DataFrame) -> tuple[np.ndarray, int]:
+    """(bits as bytes, their number as a power of two) with two bits set for every hash: the upper and the lower end of it."""
+    bits = min(MOST_BITS, max(16, math.ceil(math.log2(BITS_EACH * max(1, seeds.count())))))
+    ends = F.array(F.shiftrightunsigned("h", 64 - bits), F.col("h").bitwiseAND(F.lit((1 << bits) - 1)))
+    set_ = seeds.select(F.explode(ends).alias("i")).groupBy(F.shiftright("i", 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(i & 7 as int))")).alias("b")).toArrow()  # at most 2^(MOST_BITS - 3) rows
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    out[set_.column("at").to_numpy()] = set_.column("b").to_numpy()
+    return out, bits
+
+
+def passing(h: np.ndarray, coarse: np.ndarray, fine: np.ndarray, bits: int) -> np.ndarray:
+    """Places whose hash passes the filter."""
+    at = np.flatnonzero(coarse[h >> np.uint64(64 - min(bits, COARSE_BITS))])
+    for end in (lambda x: x >> np.uint64(64 - bits), lambda x: x & np.uint64((1 << bits) - 1)):
+        i = end(h[at])
+        at = at[(fine[i >> np.uint64(3)] >> (i & np.uint64(7)).astype(np.uint8)) & 1 != 0]
+    return at
+
+
+def segments(docs: DataFrame, sent, bits: int, used: list[int]) -> DataFrame:
+    """(sk, doc_id, th, at, tokens binary, hits array<struct<h, p>>): runs of a document's words around places that pass the filter; sk
+    is a hash of the other columns."""
+    kinds = pa.list_(pa.struct([("h", pa.int64()), ("p", pa.int32())]))
     state: dict = {}
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not state:
-            state["index"], state["known"] = Index(sent.value), _Hashes()
-        index, known = state["index"], state["known"]
-        rows = []
-        for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-            tokens = words(text.as_py(), known)
-            rows += [(doc.as_py(), ids[i], equal / need, at, need) for i, (equal, at, need) in index.overlaps(tokens).items()]
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "similarity", "first_word", "aligned"])
+            fine = np.frombuffer(sent.value, np.uint8)
+            every = np.unpackbits(fine, bitorder="little")
+            state["coarse"] = every.reshape(1 << min(bits, COARSE_BITS), -1).any(axis=1)
+            state["fine"], state["known"] = fine, _Hashes()
+        keys, rows, ats, texts, lists = [], [], [], [], []
+        for k, (doc, th, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
+            tokens = words(text.as_py(), state["known"])
+            found = []
+            for seed in used:
+                h = seeded(tokens, ALL[seed], seed)
+                at = passing(h, state["coarse"], state["fine"], bits)
+                found += zip(at.tolist(), h[at].view(np.int64).tolist(), strict=True)
+            found.sort()
+            start = 0
+            for i in range(1, len(found) + 1):
+                if i < len(found) and found[i][0] - found[i - 1][0] <= 2 * WINDOW:
+                    continue
+                mine = found[start:i]
+                low = max(0, mine[0][0] - WINDOW)
+                piece = tokens[low : mine[-1][0] + WINDOW].tobytes()
+                rows.append(k)
+                ats.append(low)
+                texts.append(piece)
+                lists.append([{"h": h, "p": p} for p, h in mine])
+                keys.append(xxhash.xxh64_intdigest(piece + b"%d %d %d" % (low, th, doc if doc is not None else -1)))
+                start = i
+        at = pa.array(rows, pa.int64())
+        sk = pa.array(np.array(keys, np.uint64).view(np.int64))
+        return pa.RecordBatch.from_arrays([sk, batch.column(0).take(at), batch.column(1).take(at), pa.array(ats, pa.int32()), pa.array(texts, pa.binary()), pa.array(lists, kinds)], names=["sk", "doc_id", "th", "at", "tokens", "hits"])
+
+    return arrow_map(docs, of, "sk long, doc_id long, th long, at int, tokens binary, hits array<struct<h:long,p:int>>")
+
+
+def aligned(tokens: np.ndarray, item: np.ndarray, at: int, diagonals: list[int]) -> tuple[int, int, int] | None:
+    """(equal words, first word, aligned words) of the best window in which a segment that begins at word `at` holds the item."""
+    best = None
+    need = min(WINDOW, len(item))
+    for d in sorted(diagonals):
+        start, stop = max(0, at - d), min(len(item), at + len(tokens) - d)
+        if stop - start < need:
+            continue
+        equal = np.concatenate(([0], np.cumsum(tokens[d + start - at : d + stop - at] == item[start:stop])))
+        within = equal[need:] - equal[:-need]
+        k = int(within.argmax())
+        if within[k] >= math.ceil(SIMILARITY * need - 1e-9) and (best is None or (int(within[k]), -(d + start + k)) > (best[0], -best[1])):
+            best = (int(within[k]), d + start + k, need)
+    return best
+
+
+def _overlaps(documents: DataFrame, benchmark: DataFrame, least: int) -> DataFrame:
+    """(doc_id, th, item_id, similarity, first_word, aligned); th is the hash of the document's text."""
+    spark = documents.sparkSession
+    items = written(clashing(benchmark, "item_id", "text").where("text is not null").distinct().withColumn("ik", F.xxhash64("item_id", "text")), "seed-items")
+    docs = clashing(documents, "doc_id", "text").where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
+    seeds = written(seed_table(items, least), "seed-hashes")
+    used = sorted(r.seed for r in seeds.select("seed").distinct().collect())  # at most one row a seed
+    fine, bits = seed_filter(seeds)
+    found = written(segments(docs, spark.sparkContext.broadcast(fine.tobytes()), bits, used), "seed-segments")
+    hits = found.select("sk", F.explode("hits").alias("x")).select("sk", "x.h", "x.p").distinct()
+    met = hits.join(seeds.select("h", "ik", "place"), "h").groupBy("sk", "ik").agg(F.collect_set(F.col("p") - F.col("place")).alias("diagonals"))
+    pairs = met.join(found.drop("hits"), "sk").join(items.select("ik", "item_id", F.col("text").alias("item")), "ik")
+
+    def verified(batch: pa.RecordBatch) -> pa.RecordBatch:
+        known, at, best = _Hashes(), [], []
+        for k in range(batch.num_rows):
+            one = aligned(np.frombuffer(batch.column("tokens")[k].as_py(), np.uint64), words(batch.column("item")[k].as_py(), known), batch.column("at")[k].as_py(), batch.column("diagonals")[k].as_py())
+            if one is not None:
+                at.append(k)
+                best.append(one)
+        rows = pa.array(at, pa.int64())
+        equal, first, need = ([b[i] for b in best] for i in range(3))
+        columns = [*(batch.column(c).take(rows) for c in ("doc_id", "th", "item_id")), pa.array([e / n for e, n in zip(equal, need, strict=True)], pa.float64()), pa.array(first, pa.int32()), pa.array(need, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "item_id", "similarity", "first_word", "aligned"])
+
+    return arrow_map(pairs, verified, "doc_id long, th long, item_id long, similarity double, first_word int, aligned int")
+
+
+def overlaps(documents: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
+    """(doc_id, item_id, similarity double, first_word int, aligned int): an item that a document holds, with its best window.
 
-    return of
+    Words are runs of letters, digits and underscores, lower-cased. Null and empty texts hold nothing; repeated rows of documents or
+    items give one row, as do rows that share a doc_id but not a text; of windows equally alike the first counts; texts and items of
+    any length are read whole; empty tables give no rows; further columns are ignored.
+    """
+    best = F.max_by(F.struct("similarity", "first_word", "aligned"), F.struct("similarity", -F.col("first_word"), "aligned")).alias("b")
+    return _overlaps(documents, benchmark, least).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
 
-def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns; rows without doc_id stay."""
-    doc = fresh(documents, "__doc")
-    bad = overlaps(documents, benchmark).select(F.col("doc_id").alias(doc)).distinct()
-    return documents.join(bad, F.col("doc_id") == F.col(doc), "left_anti")
+def clean(documents: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
+    """The documents that hold no benchmark item, with all their columns; rows without doc_id stay; rows that share a doc_id are judged
+    each by its own text."""
+    doc, th = fresh(documents, "__doc"), fresh(documents, "__th")
+    bad = written(_overlaps(documents, benchmark, least).select(F.col("doc_id").alias(doc), F.col("th").alias(th)).distinct(), "seed-found")
+    return documents.join(bad, (F.col("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(th)), "left_anti")
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import arrow_map, clashing, components, written
+from quillon.llm.common import arrow_map, clashing, components, fresh, written
 
 SEED = 42
 SHINGLE = 3
@@ -294,7 +294,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, similarity
         return pa.RecordBatch.from_arrays([sigs, pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["sig", "shingles"])
 
     named = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    wanted = classes.join(named, "sig").select(F.col("head").alias("_head")).distinct()
+    wanted = classes.join(named, "sig").select(F.col("head.doc_id").alias("_head")).distinct()
     sets = arrow_map(texts.join(wanted, texts["doc_id"] == wanted["_head"], "left_semi"), of, "sig long, shingles array<bigint>")
     sets = written(sets.dropDuplicates(["sig"]), "simhash-sets")
     side = lambda name, to: sets.select(F.col("sig").alias(name), F.col("shingles").alias(to))
@@ -305,25 +305,27 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, similarity
 
 
 def similar(documents: DataFrame, similarity: float = 0.8, shingle: int = 5, recall: float = RECALL) -> DataFrame:
-    """(doc_id, component_id): documents whose sets of word shingles are `similarity` alike or more share the smallest doc_id.
+    """(doc_id, th, component_id, component_th): documents (th: hash of the text) whose sets of word shingles are `similarity` alike or
+    more share the smallest of them.
 
     Candidates are pairs that meet in a key and differ in few of 256 fingerprint bits; only those whose shingle sets reach the
     similarity are linked. A first round ties each row to one candidate a key, a second takes all candidates that the first left
     in different components. Equal sets are one class. Null and empty texts have no shingles and are alike; repeated rows
-    share a component; an empty table gives no rows; further columns are ignored.
+    share a component, texts that share a doc_id need not; rows without doc_id are left out; an empty table gives no rows; texts of any
+    length are read whole; further columns are ignored.
     """
     words = BITS // 64
     names = [f"f{k}" for k in range(words)]
-    texts = clashing(documents, "doc_id", "text").where("doc_id is not null")
+    texts = clashing(documents, "doc_id", "text").where("doc_id is not null").withColumn("th", F.xxhash64("text"))
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(x.as_py() or b"", shingle) for x in batch.column(1).cast(pa.binary())]
         sigs = pa.array([_signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)) for h in sets], pa.int64())
         fps = np.array([wide_fingerprint(h, words) for h in sets], np.uint64).reshape(-1, words).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), sigs, *[pa.array(fps[:, k].copy()) for k in range(words)]], names=["doc_id", "sig", *names])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sigs, *[pa.array(fps[:, k].copy()) for k in range(words)]], names=["doc_id", "th", "sig", *names])
 
-    prints = written(arrow_map(texts, of, "doc_id long, sig long, " + ", ".join(f"{n} long" for n in names)), "simhash-wide")
-    classes = written(prints.groupBy("sig").agg(F.min("doc_id").alias("head"), *[F.first(n).alias(n) for n in names]), "simhash-classes")
+    prints = written(arrow_map(texts, of, "doc_id long, th long, sig long, " + ", ".join(f"{n} long" for n in names)), "simhash-wide")
+    classes = written(prints.groupBy("sig").agg(F.min(F.struct("doc_id", "th")).alias("head"), *[F.first(n).alias(n) for n in names]), "simhash-classes")
     rows = max(2, classes.count())
     bits = max(12, math.ceil(math.log2(rows)) - 2)
     differ = _angle(similarity)
@@ -336,8 +338,18 @@ def similar(documents: DataFrame, similarity: float = 0.8, shingle: int = 5, rec
     rest = rest.join(first, ["a", "b"], "left_anti")
     roots = components(links.unionByName(_verified(rest, classes, texts, similarity, shingle))).withColumnRenamed("node", "sig")
     told = classes.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    firsts = told.groupBy("root").agg(F.min("head").alias("component_id"))
-    return prints.select("doc_id", "sig").join(told.select("sig", "root").join(firsts, "root").select("sig", "component_id"), "sig").select("doc_id", "component_id")
+    firsts = told.groupBy("root").agg(F.min("head").alias("first"))
+    named = told.select("sig", "root").join(firsts, "root").select("sig", F.col("first.doc_id").alias("component_id"), F.col("first.th").alias("component_th"))
+    return prints.select("doc_id", "th", "sig").join(named, "sig").select("doc_id", "th", "component_id", "component_th")
+
+
+def one_of_each(documents: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """documents without those that similar() gives another representative than themselves. Of each component the document with the
+    smallest doc_id (of texts that share it the one of least hash) stays, with rows that repeat it as a whole; rows without doc_id stay."""
+    found = similar(documents, similarity, shingle).where("doc_id <> component_id or th <> component_th")
+    doc, th = fresh(documents, "__doc"), fresh(documents, "__th")
+    gone = written(found.select(F.col("doc_id").alias(doc), F.col("th").alias(th)).distinct(), "simhash-gone")
+    return documents.join(gone, (F.col("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(th)), "left_anti")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
