@@ -1,11 +1,13 @@
 """Text analysis as Column expressions, with a plain-Python twin for query strings at plan time.
 
-Everything here stays in the JVM. fold() maps precomposed letters by a table built from Unicode data, which equals NFKD with marks
-dropped wherever a character decomposes to one base character; functions.python.nfkd_fold is the exact form for the rest.
+Everything here stays in the JVM. Folding maps characters by tables built from Unicode data: those that decompose to one base
+character in one pass, the few that decompose to several with letters or digits among them (ligatures, fractions, units) one by one,
+in texts that hold any. Both together are NFKD with marks dropped, but for what has no letter or digit in it.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from functools import lru_cache, reduce
@@ -27,24 +29,54 @@ SUFFIXES = (
 )
 MARKS = "[\\u0300-\\u036f]"
 SEPARATORS = "[^a-z0-9]+"
+#: What stands between the words of full-text search: anything but letters and digits of any script.
+WORD_SEPARATORS = "[^\\p{L}\\p{N}]+"
+
+
+def _bare(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+
+
+def _decomposed() -> list[tuple[str, str]]:
+    codes = [*range(0xA0, 0xD800), *range(0xF900, 0x20000)]
+    return [(c, base) for c in map(chr, codes) if (base := _bare(c)) != c and base]
 
 
 @lru_cache(1)
 def _plain_letters() -> tuple[str, str]:
     """Characters that decompose to one base character and marks, and those base characters."""
-    of, to = [], []
-    for code in range(0xA0, 0xFFFF):
-        c = chr(code)
-        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not "̀" <= x <= "ͯ")
-        if len(base) == 1 and base != c and ord(base) < 0xFFFF and not 0xD800 <= code < 0xE000:
-            of.append(c)
-            to.append(base)
-    return "".join(of), "".join(to)
+    one = [(c, b) for c, b in _decomposed() if len(b) == 1]
+    return "".join(c for c, _ in one), "".join(b for _, b in one)
+
+
+@lru_cache(1)
+def _several_letters() -> tuple[str, str]:
+    """Ranges around the characters that decompose to several with a letter or digit of ours, and (from, to) of each of them as JSON."""
+    many = [(c, b) for c, b in _decomposed() if len(b) > 1 and re.search("[A-Za-z0-9]", b)]
+    return _ranges([ord(c) for c, _ in many], 64), json.dumps([{"a": c, "b": b} for c, b in many], ensure_ascii=False)
+
+
+def _ranges(codes: list[int], gap: int = 1) -> str:
+    """A character class of ascending codes; those at most `gap` apart share a range."""
+    cuts = [k for k in range(1, len(codes)) if codes[k] - codes[k - 1] > gap]
+    return "[" + "".join(f"\\x{{{codes[a]:x}}}-\\x{{{codes[b - 1]:x}}}" for a, b in zip([0, *cuts], [*cuts, len(codes)], strict=True)) + "]"
+
+
+@lru_cache(1)
+def _combining() -> str:
+    """A character class of all combining marks."""
+    return _ranges([c for c in range(0x300, 0x20000) if unicodedata.combining(chr(c))])
 
 
-def strip_marks(c: Column) -> Column:
+def strip_marks(c: Column, marks: str = MARKS) -> Column:
     of, to = _plain_letters()
-    return F.regexp_replace(F.translate(c, of, to), MARKS, "")
+    some, table = _several_letters()
+    pairs = F.from_json(F.lit(table), "array<struct<a:string,b:string>>")  # a constant
+    apart = F.when(c.rlike(some), F.aggregate(pairs, c, lambda x, p: F.replace(x, p["a"], p["b"]))).otherwise(c)
+    # plain ASCII, the most of many texts, goes through as it is
+    plain = F.translate(apart, of, to)
+    bare = F.when(plain.rlike("[^\\x00-\\u02FF]"), F.regexp_replace(plain, marks, "")).otherwise(plain)
+    return F.when(c.rlike("[^\\x00-\\x7F]"), bare).otherwise(c)
 
 
 def fold(c: Column) -> Column:
@@ -54,8 +86,8 @@ def fold(c: Column) -> Column:
 
 
 def lower_fold(c: Column) -> Column:
-    """Lower case, then marks off: the folding of keyword matching."""
-    return strip_marks(F.lower(F.coalesce(c, F.lit(""))))
+    """Lower case, then all combining marks off: the folding of keyword matching."""
+    return strip_marks(F.lower(F.coalesce(c, F.lit(""))), _combining())
 
 
 def stem(t: Column) -> Column:
