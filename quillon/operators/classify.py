@@ -1,14 +1,14 @@
 """Three-pass keyword classification into disciplines, generated as CASE expressions, and batch reclassification.
 
-The rules are data: an ordered list of (label, keywords), read from a YAML or JSON file or a table (load_rules), the first match wins.
-CORE_RULES is a small set to start from; a deployment brings its own file, whose size is not limited.
+The rules are data: an ordered list of (label, keywords), read from a YAML or JSON file (load_rules), the first match wins. CORE_RULES
+has all labels in their order with their main keywords; a deployment brings its own file, whose size is not limited.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from functools import reduce
+import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,55 +18,97 @@ from quillon.schema import OTHER
 
 Rules = list[tuple[str, list[str]]]
 
-#: Labels and keywords whose order and text decide results; folded, without accents.
+#: Labels and keywords whose order and text decide results; folded, without accents. "=" is the label itself, its parts
+#: at "&" and "/" apart.
 CORE_RULES: Rules = [
-    ("Didactique", ["didactique", "didactic"]),
-    ("Sciences de l'éducation", ["education", "pedagogie", "enseignement", "teaching", "learning strategies"]),
-    ("Neurosciences", ["neurosciences", "neuroscience"]),
-    ("Psychologie", ["psychologie", "psychology"]),
-    ("Études féministes / études de genre", ["etudes feministes", "gender "]),
-    ("Sociologie", ["sociologie", "sociology", "socio-"]),
-    ("Anthropologie", ["anthropologie", "anthropology"]),
-    ("Science politique", ["science politique", "political science"]),
-    ("Économie", ["economie", "economics", "econometrics"]),
-    ("Droit", ["droit", "law ", " legal"]),
-    ("Histoire", ["histoire", " history"]),
-    ("Géographie", ["geographie", "geography"]),
-    ("Philosophie", ["philosophie", "philosophy"]),
-    ("Linguistique", ["linguistique", "linguistics"]),
-    ("Littérature", ["litterature", "literature"]),
-    ("Communication", ["communication", "journalisme"]),
-    ("Musique", ["musique", "music"]),
+    ("Didactique", ["=", "didactic"]),
+    ("Sciences de l'éducation", ["=", "education", "pedagogie", "enseignement", "teaching", "curriculum", "literacy", "learning strategies", "online learning"]),
+    ("Neurosciences", ["=", "neuroscience", "neuroimagerie", "circuits neuronaux"]),
+    ("Psychologie", ["=", "psychology", "cognitive science", "mental health"]),
+    ("Démographie", ["=", "demography"]),
+    ("Études féministes / études de genre", ["=", "gender "]),
+    ("Études autochtones", ["=", "indigenous studies", "premieres nations"]),
+    ("Études québécoises", ["=", "quebec studies"]),
+    ("Sociologie", ["=", "sociology", "socio-"]),
+    ("Anthropologie", ["=", "anthropology"]),
+    ("Archéologie", ["=", "archaeology"]),
+    ("Science politique", ["=", "political science"]),
+    ("Économie", ["=", "economics", "econometrie", "econometrics", "economique"]),
+    ("Relations industrielles", ["=", "industrial relations"]),
+    ("Travail social", ["=", "social work"]),
+    ("Criminologie", ["=", "criminology"]),
+    ("Droit", ["=", "law ", "juridique", " legal"]),
+    ("Histoire", ["=", " history", "historical"]),
+    ("Géographie", ["=", "geography"]),
+    ("Philosophie", ["=", "philosophy", "ethics"]),
+    ("Études religieuses", ["theologie", "theology", "=", "religious studies"]),
+    ("Linguistique", ["=", "linguistics"]),
+    ("Traduction", ["=", "traductologie", "translation"]),
+    ("Littérature", ["=", "literature", "literary"]),
+    ("Études cinématographiques", ["=", "film studies", "film theory"]),
+    ("Communication", ["=", "media studies", "journalisme"]),
+    ("Musique", ["=", "music"]),
+    ("Théâtre / arts de la scène", ["=", "theater"]),
+    ("Danse", ["=", "dance"]),
+    ("Design", ["design industriel", "industrial design"]),
     ("Arts visuels et médiatiques", ["arts visuels", "visual arts", "design"]),
-    ("Sciences infirmières", ["sciences infirmieres", "nursing"]),
-    ("Santé publique", ["sante publique", "public health", "epidemiology"]),
-    ("Médecine", ["medecine", "medicine", "clinical"]),
-    ("Biologie cellulaire et moléculaire", ["biochimie", "biochemistry"]),
-    ("Microbiologie", ["microbiologie", "microbiology"]),
-    ("Biologie", ["biologie", "biology"]),
-    ("Écologie", ["ecologie", "ecology"]),
-    ("Sciences de la Terre", ["geologie", "geology"]),
+    ("Sciences pharmaceutiques", ["=", "pharmacology", "pharmacologie", "drug delivery"]),
+    ("Sciences infirmières", ["=", "nursing"]),
+    ("Santé publique", ["=", "public health", "epidemiology"]),
+    ("Kinésiologie & sciences de l'activité physique", ["=", "kinesiology"]),
+    ("Nutrition", ["="]),
+    ("Sciences de la réadaptation", ["readaptation", "rehabilitation"]),
+    ("Médecine dentaire", ["=", "dentistry"]),
+    ("Médecine vétérinaire", ["=", "veterinary"]),
+    ("Médecine", ["=", "medicine", "medical", "clinical", "oncology"]),
+    ("Biologie cellulaire et moléculaire", ["molecular biology", "biochimie", "biochemistry"]),
+    ("Génétique", ["=", "genetics"]),
+    ("Microbiologie", ["=", "microbiology"]),
+    ("Biotechnologie", ["=", "biotechnology", "bioinformatics"]),
+    ("Biologie", ["=", "biology"]),
+    ("Écologie", ["=", "ecology"]),
+    ("Foresterie", ["=", "forestry"]),
+    ("Sciences de la Terre", ["=", "geology", "geologie"]),
+    ("Climatologie", ["=", "climate", "changement climatique"]),
+    ("Hydrologie & océanographie", ["=", "hydrology"]),
     ("Sciences de l'environnement", ["environnement", "environmental"]),
-    ("Astronomie & astrophysique", [" astro", "astronomy"]),
-    ("Chimie", ["chimie", "chemistry"]),
-    ("Physique", ["physique", "physics"]),
-    ("Statistique", ["statistique", "statistics"]),
+    ("Astronomie & astrophysique", [" astro", "astronomy", "="]),
+    ("Chimie", ["=", "chemistry"]),
+    ("Physique", ["=", "physics", "quantum"]),
+    ("Statistique", ["=", "statistics"]),
     ("Mathématiques", ["mathematique", "mathematics", "topology", "geometry"]),
-    ("Intelligence artificielle & apprentissage automatique", ["intelligence artificielle", "machine learning", "deep learning"]),
-    ("Informatique", ["informatique", "computer science", "algorithms"]),
-    ("Génie civil", ["genie civil", "civil engineering"]),
-    ("Génie mécanique", ["genie mecanique", "mechanical engineering"]),
-    ("Génie électrique", ["genie electrique", "electrical engineering"]),
+    ("Intelligence artificielle & apprentissage automatique", ["=", "machine learning", "deep learning", "apprentissage profond"]),
+    ("Informatique", ["=", "computer science", "algorithms"]),
+    ("Génie civil", ["=", "civil engineering"]),
+    ("Génie mécanique", ["=", "mechanical engineering"]),
+    ("Génie électrique", ["=", "electrical engineering"]),
+    ("Génie chimique", ["=", "chemical engineering"]),
+    ("Génie biomédical", ["=", "biomedical engineering"]),
+    ("Génie aérospatial", ["=", "aerospace"]),
+    ("Génie industriel", ["=", "industrial engineering"]),
+    ("Science des matériaux", ["=", "materials science"]),
     ("Génie", ["genie ", "engineering"]),
-    ("Architecture", ["architecture"]),
-    ("Finance", ["finance", "financial"]),
-    ("Marketing", ["marketing"]),
-    ("Administration & gestion", ["administration", "management", "gestion"]),
+    ("Urbanisme & études urbaines", ["=", "urban planning"]),
+    ("Architecture", ["="]),
+    ("Comptabilité", ["=", "accounting"]),
+    ("Finance", ["=", "financial"]),
+    ("Marketing", ["="]),
+    ("Ressources humaines", ["=", "human resources"]),
+    ("Administration & gestion", ["=", "management"]),
 ]
 #: Keywords too general for abstracts.
 BROAD = frozenset(
-    "education|art|history|law|design|litterature|literature|literary|topologie|topology|geometrie|geometry|algebrique|learning strategies|online learning|bioinformatics|bioinformatique|epidemiology|epidemiologie|image processing|topic modeling|recommendation systems".split("|")
-)
+    (
+        "education", "art", "history", "law", "design", "litterature", "literature", "literary", "topologie", "topology", "geometrie", "geometry", "algebrique", "learning strategies", "online learning",
+        "bioinformatics", "bioinformatique", "epidemiology", "epidemiologie", "image processing", "topic modeling", "recommendation systems",
+    )
+)
+
+
+def keywords_of(label: str, keywords: list[str]) -> list[str]:
+    """A rule's keywords with "=" resolved."""
+    folded = "".join(c for c in unicodedata.normalize("NFKD", label.lower()) if not unicodedata.combining(c))
+    return [x for k in keywords for x in (re.split(r" [&/] ", folded) if k == "=" else [k])]
 
 
 def load_rules(path: str) -> Rules:
@@ -88,18 +130,16 @@ def pattern(keyword: str) -> str:
     return plain(keyword) if " " in keyword else f"(?:^|[^a-z]){plain(keyword.strip())}s?(?:[^a-z]|$)"
 
 
-def alternatives(keywords: list[str], broad: bool = True) -> str | None:
-    kept = [pattern(k) for k in keywords if broad or k.strip() not in BROAD]
-    return "|".join(kept) if kept else None
+def kept_keywords(label: str, keywords: list[str], broad: bool = True) -> list[str]:
+    return [k for k in keywords_of(label, keywords) if broad or k.strip() not in BROAD]
 
 
 def first_label(blob: Column, rules: Rules, broad: bool = True) -> Column:
-    """The first label with a keyword in the text, one regular expression a label."""
-    found = None
-    for label, keywords in rules:
-        if (p := alternatives(keywords, broad)) is not None:
-            found = F.when(blob.rlike(p), label) if found is None else found.when(blob.rlike(p), label)
-    return found if found is not None else F.lit(None).cast("string")
+    """The first label with a keyword in the text. Rules are a constant array that is walked, so the code generated doesn't grow with them;
+    a word is looked for as it is first, and only where it stands its expression is tried."""
+    rows = [{"label": label, "k": k if " " in k else k.strip(), "p": None if " " in k else pattern(k)} for label, keywords in rules for k in kept_keywords(label, keywords, broad)]
+    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<label:string,k:string,p:string>>")
+    return F.get(F.filter(table, lambda r: blob.contains(r["k"]) & (r["p"].isNull() | F.rlike(blob, r["p"]))), 0)["label"]
 
 
 def classified(records: DataFrame, rules: Rules = CORE_RULES, to: str = "discipline", tag: str = "discipline_source", stored: bool = True) -> DataFrame:

@@ -1,4 +1,4 @@
-"""A record-shaped view of the driver's documents, and the same view as DuckDB SQL."""
+"""A record-shaped view of the driver's documents, and the same view as DuckDB SQL: the first line is the title, the whole text the abstract."""
 
 from __future__ import annotations
 
@@ -19,10 +19,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("oai:corpus:"), id_.cast("string")).alias("oai_identifier"),
         F.col("source").alias("source_id"),
         F.concat(F.lit("Repository "), F.col("source")).alias("source_name"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 120).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.concat(F.lit("src"), (id_ % 7).cast("string"), F.lit("; a"), (id_ % 13).cast("string")).alias("authors"),
         F.concat(F.lit("Guide, B"), (id_ % 5).cast("string")).alias("advisors"),
-        F.substring("text", 1, 1200).alias("abstract"),
+        F.col("text").alias("abstract"),
         F.concat(F.lit("lang "), F.col("lang"), F.lit("; group "), (id_ % 9).cast("string")).alias("subjects"),
         F.when(id_ % 11 != 0, (1950 + id_ % 75).cast("int")).alias("year"),
         F.when(F.col("quality") == 1, "thesis").when(F.col("quality") == 0, "memoire").alias("type"),
@@ -35,8 +35,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CORPUS = """corpus AS (
   SELECT d.doc_id AS doc, 'oai:corpus:' || d.doc_id AS oai_identifier, source AS source_id, 'Repository ' || source AS source_name,
-    substr(split_part(text, chr(10), 1), 1, 120) AS title, 'src' || (d.doc_id % 7) || '; a' || (d.doc_id % 13) AS authors,
-    'Guide, B' || (d.doc_id % 5) AS advisors, substr(text, 1, 1200) AS abstract, 'lang ' || lang || '; group ' || (d.doc_id % 9) AS subjects,
+    split_part(text, chr(10), 1) AS title, 'src' || (d.doc_id % 7) || '; a' || (d.doc_id % 13) AS authors,
+    'Guide, B' || (d.doc_id % 5) AS advisors, text AS abstract, 'lang ' || lang || '; group ' || (d.doc_id % 9) AS subjects,
     CASE WHEN d.doc_id % 11 <> 0 THEN CAST(1950 + d.doc_id % 75 AS INTEGER) END AS year,
     CASE WHEN quality = 1 THEN 'thesis' WHEN quality = 0 THEN 'memoire' END AS type, lang AS language, 'press ' || (d.doc_id % 3) AS publisher,
     'https://repository.example/id/' || d.doc_id AS url,

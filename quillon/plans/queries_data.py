@@ -160,7 +160,7 @@ def ingest_outcomes(spark, d):
 
 @query()
 def normalize_clean_html(spark, d):
-    return table(spark, d, "pages").select("page_id", P.unescaped(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"))
+    return table(spark, d, "pages").select("page_id", P.unescaped("html").alias("text"))
 
 
 #: Type strings of the test, by number; the last two have none.
@@ -208,21 +208,27 @@ _AUTHORITY = ("", "", "", "", "Génie civil", "Chimie organique", "unknown schoo
 
 
 def _labelled(spark, d) -> DataFrame:
+    """The records with a keyword put behind their own subjects and whole text, so that every pass has something to find."""
     pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("doc") % n + 1).cast("int"))
-    return corpus(spark, d).select("doc", "title", "publisher", "oai_identifier", pick(_SUBJECT, len(_SUBJECT)).alias("subjects"), pick(_ABSTRACT, len(_ABSTRACT)).alias("abstract"), pick(_AUTHORITY, len(_AUTHORITY)).alias("authoritative_discipline"))
+    return corpus(spark, d).select("doc", "title", "publisher", "oai_identifier", F.concat_ws(" ", "subjects", pick(_SUBJECT, len(_SUBJECT))).alias("subjects"), F.concat_ws(" ", "abstract", pick(_ABSTRACT, len(_ABSTRACT))).alias("abstract"), pick(_AUTHORITY, len(_AUTHORITY)).alias("authoritative_discipline"))
 
 
 def _pick(values: tuple[str, ...]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + f"][doc % {len(values)} + 1]"
 
 
+def _holds(blob: str, keyword: str) -> str:
+    k = keyword.replace("'", "''")
+    return f"contains({blob}, '{k}')" if " " in k else f"regexp_matches({blob}, '(^|[^a-z]){k}s?([^a-z]|$)')"
+
+
 def _first(blob: str, broad: bool = True) -> str:
-    arms = [f"WHEN regexp_matches({blob}, '{p.replace(chr(39), chr(39) * 2)}') THEN '{label.replace(chr(39), chr(39) * 2)}'" for label, words in classify.CORE_RULES if (p := classify.alternatives(words, broad)) is not None]
+    arms = [f"WHEN {' OR '.join(_holds(blob, k) for k in words)} THEN '{label.replace(chr(39), chr(39) * 2)}'" for label, keywords in classify.CORE_RULES if (words := classify.kept_keywords(label, keywords, broad))]
     return "CASE " + " ".join(arms) + " END"
 
 
 _FOLDED = "strip_accents(lower({}))"
-_CLASSIFIED = f"""lb AS (SELECT doc, {_FOLDED.format('trim(' + _pick(_AUTHORITY) + ')')} AS a, {_FOLDED.format(_pick(_SUBJECT) + " || ' ' || title || ' ' || publisher")} AS m, {_FOLDED.format(_pick(_ABSTRACT))} AS b FROM corpus),
+_CLASSIFIED = f"""lb AS (SELECT doc, {_FOLDED.format('trim(' + _pick(_AUTHORITY) + ')')} AS a, {_FOLDED.format("subjects || ' ' || " + _pick(_SUBJECT) + " || ' ' || title || ' ' || publisher")} AS m, {_FOLDED.format("abstract || ' ' || " + _pick(_ABSTRACT))} AS b FROM corpus),
  p AS (SELECT doc, CASE WHEN a <> '' THEN {_first('a')} END AS x, {_first('m')} AS y, {_first('b', False)} AS z FROM lb),
  cl AS (SELECT doc, coalesce(x, y, z, '{OTHER}') AS discipline, CASE WHEN x IS NOT NULL THEN 'auth' WHEN y IS NOT NULL THEN 'rule' WHEN z IS NOT NULL THEN 'rule_abstract' ELSE 'none' END AS discipline_source FROM p)"""
 
@@ -284,15 +290,15 @@ def upsert_rank_gated(spark, d):
 
 def _halves(spark, d) -> tuple[DataFrame, DataFrame]:
     rows = _feed(table(spark, d, "events")).select(F.col("user_id").alias("oai_identifier"), "ts", "event_id", "value", F.col("label").alias("discipline"), F.col("source").alias("discipline_source"))
-    one = lambda p: merge.latest(rows.where(f"event_id % 2 = {p} and oai_identifier % 5 <> {p}"), "oai_identifier", ["ts", "event_id"]).select("oai_identifier", "value", "discipline", "discipline_source", F.col("event_id").alias("harvested_at"))
+    one = lambda p: merge.latest(rows.where("value < 50" if p == 0 else "value >= 50"), "oai_identifier", ["ts", "event_id"]).select("oai_identifier", "value", "discipline", "discipline_source", F.col("event_id").alias("harvested_at"))
     return one(0), one(1)
 
 
-_HALF = "SELECT user_id, value, label, source, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM fd WHERE event_id % 2 = {p} AND user_id % 5 <> {p}) WHERE rn = 1"
+_HALF = "SELECT user_id, value, label, source, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM fd WHERE {p}) WHERE rn = 1"
 
 
 @query(
-    f"""WITH {_FEED}, o AS ({_HALF.format(p=0)}), n AS ({_HALF.format(p=1)}), r AS (SELECT coalesce(o.user_id, n.user_id) AS oai_identifier, CASE WHEN n.user_id IS NOT NULL THEN n.value ELSE o.value END AS value,
+    f"""WITH {_FEED}, o AS ({_HALF.format(p='value < 50')}), n AS ({_HALF.format(p='value >= 50')}), r AS (SELECT coalesce(o.user_id, n.user_id) AS oai_identifier, CASE WHEN n.user_id IS NOT NULL THEN n.value ELSE o.value END AS value,
  n.user_id IS NOT NULL AND (o.user_id IS NULL OR {_RANK.replace('source', 'n.source')} >= {_RANK.replace('source', 'o.source')}) AS gate, o.label AS ol, n.label AS nl, o.source AS os, n.source AS ns, coalesce(o.event_id, n.event_id) AS harvested_at FROM o FULL JOIN n USING (user_id))
 SELECT oai_identifier, value, CASE WHEN gate THEN nl ELSE ol END AS discipline, CASE WHEN gate THEN ns ELSE os END AS discipline_source, harvested_at FROM r"""
 )
@@ -328,19 +334,20 @@ _LABELS = ["Chimie", "Droit", OTHER]
 
 
 def _unlabelled(spark, d) -> DataFrame:
-    return corpus(spark, d).where("doc % 4 = 0").withColumn("discipline", F.lit(OTHER))
+    """All records; those in languages without a label of their own are unclassified, and are what the selector finds."""
+    return corpus(spark, d).withColumn("discipline", F.coalesce("discipline", F.lit(OTHER)))
 
 
 @query(
     _with(
-        f"""SELECT '{{"key":' || to_json(oai_identifier) || ',"request":{{"contents":[{{"role":"user","parts":[{{"text":' || to_json('Disciplines possibles : {', '.join(_LABELS)}' || chr(10) || chr(10) || 'Titre : ' || substr(title, 1, 300) || chr(10) || 'Auteur·rice·s : ' || substr(authors, 1, 200) || chr(10) || 'Université : ' || source_name || '  ·  Année : ' || coalesce(CAST(year AS VARCHAR), '—') || chr(10) || 'Mots-clés (dc:subject) : ' || substr(subjects, 1, 300) || chr(10) || 'Éditeur / département (dc:publisher) : ' || substr(publisher, 1, 200) || chr(10) || 'Résumé : ' || CASE WHEN abstract = '' THEN '—' ELSE substr(abstract, 1, 800) END || chr(10) || chr(10) || 'Choisis la discipline la plus pertinente.') || '}}]}}],"systemInstruction":{{"parts":[{{"text":"Label."}}]}},"generationConfig":{{"responseMimeType":"application/json","responseSchema":{{"type":"OBJECT","properties":{{"discipline":{{"type":"STRING","enum":["Chimie","Droit","{OTHER}"]}}}},"required":["discipline"]}},"temperature":0.0,"thinkingConfig":{{"thinkingBudget":0}},"maxOutputTokens":128}}}}}}' AS value FROM corpus WHERE doc % 4 = 0"""
+        f"""SELECT '{{"key":' || to_json(oai_identifier) || ',"request":{{"contents":[{{"role":"user","parts":[{{"text":' || to_json('Disciplines possibles : {', '.join(_LABELS)}' || chr(10) || chr(10) || 'Titre : ' || substr(title, 1, 300) || chr(10) || 'Auteur·rice·s : ' || substr(authors, 1, 200) || chr(10) || 'Université : ' || source_name || '  ·  Année : ' || coalesce(CAST(year AS VARCHAR), '—') || chr(10) || 'Mots-clés (dc:subject) : ' || substr(subjects, 1, 300) || chr(10) || 'Éditeur / département (dc:publisher) : ' || substr(publisher, 1, 200) || chr(10) || 'Résumé : ' || CASE WHEN abstract = '' THEN '—' ELSE substr(abstract, 1, 800) END || chr(10) || chr(10) || 'Choisis la discipline la plus pertinente.') || '}}]}}],"systemInstruction":{{"parts":[{{"text":"Label."}}]}},"generationConfig":{{"responseMimeType":"application/json","responseSchema":{{"type":"OBJECT","properties":{{"discipline":{{"type":"STRING","enum":["Chimie","Droit","{OTHER}"]}}}},"required":["discipline"]}},"temperature":0.0,"thinkingConfig":{{"thinkingBudget":0}},"maxOutputTokens":128}}}}}}' AS value FROM corpus WHERE discipline IS NULL"""
     )
 )
 def batch_requests_jsonl(spark, d):
     return batch_labels.requests(batch_labels.unclassified(_unlabelled(spark, d)), _LABELS, "Label.")
 
 
-@query(_with(f"SELECT oai_identifier, CASE WHEN doc % 3 = 0 THEN 'Chimie' WHEN doc % 3 = 1 THEN '{OTHER}' ELSE '{OTHER}' END AS discipline, CASE WHEN doc % 3 = 0 THEN 'llm' ELSE 'rule' END AS discipline_source FROM corpus WHERE doc % 4 = 0"))
+@query(_with(f"SELECT oai_identifier, CASE WHEN doc % 3 = 0 THEN 'Chimie' ELSE coalesce(discipline, '{OTHER}') END AS discipline, CASE WHEN doc % 3 = 0 THEN 'llm' ELSE 'rule' END AS discipline_source FROM corpus"))
 def batch_apply_labels(spark, d):
     rows = _unlabelled(spark, d).withColumn("discipline_source", F.lit("rule"))
     text = F.when(F.col("doc") % 3 == 0, '{"discipline": "Chimie"}').when(F.col("doc") % 3 == 1, '{"discipline": "No such label"}').otherwise("{oops")
