@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import held
+from quillon.llm.common import bounded, held
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -277,8 +277,10 @@ def encode(documents: DataFrame, model: str = MODEL, text: str = "text") -> Data
     """documents with `pieces` struct<ids array<int>, exact boolean> added; exact tells that decoding gives the text again.
 
     Null texts have no ids (an empty list) and are exact; U+2581 in a text reads as a space, as in the original library, and makes
-    it inexact. Nothing is shuffled. Other columns are carried along; `pieces` replaces a column of that name.
+    it inexact. Texts of any length are encoded whole; repeated rows are encoded each; an empty table gives no rows. Nothing is shuffled.
+    Other columns are carried along; `pieces` replaces a column of that name.
     """
+    bounded(documents.sparkSession)
     data = model_bytes(model)
 
     @F.arrow_udf("struct<ids:array<int>,exact:boolean>")
