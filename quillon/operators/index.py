@@ -2,17 +2,21 @@
 
 BM25F over weighted fields, title phrases and proximity features; the best terms of each record are kept, inverse document
 frequencies are taken after that cut, and postings are grouped in blocks that know their highest impact and their filters' ranges.
-Terms meet by one shuffle on the record (its own terms only) and one on the term.
+Texts are tokenised once, into a written table of which all else is made. Terms meet by one shuffle on the record (its own terms only)
+and one on the term.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.tables import written
 
 
 @dataclass(frozen=True)
@@ -54,32 +58,38 @@ def field_tokens(records: DataFrame, key: str = "doc") -> DataFrame:
     return records.select(F.col(key).alias("doc"), F.explode(rows).alias("f")).select("doc", "f.*").where(F.size("tokens") > 0)
 
 
+def _total(records: DataFrame) -> DataFrame:
+    return records.agg(F.count("*").alias("n"))
+
+
+def _mean_lengths(tokens: DataFrame, total: DataFrame) -> DataFrame:
+    sums = tokens.groupBy("field").agg(F.sum(F.size("tokens")).alias("s"))
+    return sums.crossJoin(F.broadcast(total)).select("field", F.greatest(F.lit(1.0), F.col("s") / F.col("n")).alias("avg_len"))  # total is one row
+
+
 def average_lengths(records: DataFrame, key: str = "doc") -> DataFrame:
     """(field, avg_len): mean number of tokens over all records, 1 at least."""
-    total = records.agg(F.count("*").alias("n"))
-    sums = field_tokens(records, key).groupBy("field").agg(F.sum(F.size("tokens")).alias("s"))
-    return sums.crossJoin(F.broadcast(total)).select("field", F.greatest(F.lit(1.0), F.col("s") / F.col("n")).alias("avg_len"))  # total is one row
+    return _mean_lengths(field_tokens(records, key), _total(records))
 
 
 def term_frequencies(records: DataFrame, key: str = "doc") -> DataFrame:
     return field_tokens(records, key).select("doc", "field", F.explode("tokens").alias("term")).groupBy("doc", "field", "term").agg(F.count("*").alias("tf"))
 
 
-def base_scores(records: DataFrame, key: str = "doc") -> DataFrame:
+def base_scores(tokens: DataFrame, total: DataFrame) -> DataFrame:
     """(doc, term, score): saturated field-weighted frequencies, title phrases added after saturation."""
-    fields = field_tokens(records, key)
-    means = F.broadcast(average_lengths(records, key))  # a row a field
+    means = F.broadcast(_mean_lengths(tokens, total))  # a row a field
     norm = (1 - F.col("b")) + F.col("b") * (F.size("tokens") / F.col("avg_len"))
-    scaled = fields.join(means, "field").select("doc", (F.col("weight") / F.greatest(norm, F.lit(0.01))).alias("scale"), F.explode("tokens").alias("term"))
+    scaled = tokens.join(means, "field").select("doc", (F.col("weight") / F.greatest(norm, F.lit(0.01))).alias("scale"), F.explode("tokens").alias("term"))
     x = F.sum("scale")
     words = scaled.groupBy("doc", "term").agg(((K1 + 1) * x / (K1 + x)).alias("score"))
-    phrases = records.select(F.col(key).alias("doc"), F.explode(T.shingles(T.tokenize(F.col("title")))).alias("term")).select("doc", "term", F.lit(TITLE_PHRASE).alias("score"))
+    phrases = tokens.where("field = 'title'").select("doc", F.explode(T.shingles(F.col("tokens"))).alias("term")).select("doc", "term", F.lit(TITLE_PHRASE).alias("score"))
     return words.unionByName(phrases).groupBy("doc", "term").agg(F.round(F.sum("score"), PRECISION).alias("score"))
 
 
-def pair_scores(records: DataFrame, key: str = "doc") -> DataFrame:
+def pair_scores(tokens: DataFrame) -> DataFrame:
     """(doc, term, score): proximity features of titles; of equal pairs the first place counts."""
-    pairs = records.select(F.col(key).alias("doc"), F.explode(T.proximity_pairs(T.tokenize(F.col("title")), TITLE_PAIR)).alias("p"))
+    pairs = tokens.where("field = 'title'").select("doc", F.explode(T.proximity_pairs(F.col("tokens"), TITLE_PAIR)).alias("p"))
     return pairs.groupBy("doc", F.col("p.term").alias("term")).agg(F.round(F.min_by("p.weight", "p.at"), PRECISION).alias("score"))
 
 
@@ -90,7 +100,8 @@ def _top(scores: DataFrame, most: int) -> DataFrame:
 
 def selected_terms(records: DataFrame, key: str = "doc", expansions: DataFrame | None = None) -> DataFrame:
     """(doc, term, score): each record's best terms and pairs, and given expansions (doc, term, score); the higher score of equals."""
-    parts = _top(base_scores(records, key), MOST_TERMS).unionByName(_top(pair_scores(records, key), MOST_PAIRS))
+    tokens = written(field_tokens(records, key))
+    parts = _top(base_scores(tokens, _total(records)), MOST_TERMS).unionByName(_top(pair_scores(tokens), MOST_PAIRS))
     if expansions is not None:
         parts = parts.unionByName(expansions.select("doc", "term", "score"))
     return parts.groupBy("doc", "term").agg(F.max("score").alias("score"))
@@ -110,7 +121,7 @@ def postings(terms: DataFrame, total: DataFrame) -> DataFrame:
 
 
 def build(records: DataFrame, key: str = "doc", expansions: DataFrame | None = None) -> DataFrame:
-    return postings(selected_terms(records, key, expansions), records.agg(F.count("*").alias("n")))
+    return postings(written(selected_terms(records, key, expansions)), _total(records))
 
 
 def dictionary(records: DataFrame, name: str, key: str = "doc") -> DataFrame:
@@ -127,20 +138,49 @@ def codes(records: DataFrame, key: str = "doc") -> DataFrame:
     return out.select("doc", "source_id_code", "discipline_code", "type_code", "year")
 
 
-def blocks(index: DataFrame, coded: DataFrame, size: int = BLOCK) -> DataFrame:
-    """(term, block, max_impact, n, source_mask array<long>, year_min, year_max) over each term's postings in impact order.
+def placed(index: DataFrame, coded: DataFrame, size: int = BLOCK) -> DataFrame:
+    """index with its records' codes and `block`, written in order of term, impact and record.
 
-    A mask holds 32 codes a word. Blocks are a term's rows in order: the row number is taken per term, by a window that streams.
+    A term of very many records is no task's burden: the order is made by ranges, a row's number is its number within its file and term
+    plus what the files before hold of the term.
     """
-    at = Window.partitionBy("term").orderBy(F.desc("impact"), "doc")
-    placed = index.join(coded, "doc").withColumn("block", F.floor((F.row_number().over(at) - 1) / size))
+    rows = index.join(coded, "doc")
+    sorted_ = written(rows.repartitionByRange("term", F.desc("impact"), "doc").sortWithinPartitions("term", F.desc("impact"), "doc"))
+    told = sorted_.withColumn("file", F.input_file_name())
+    held = told.groupBy("file", "term").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("term").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = held.withColumn("before", before).drop("c")
+    own = F.row_number().over(Window.partitionBy("file", "term").orderBy(F.desc("impact"), "doc"))
+    numbered = told.withColumn("own", own).join(starts, ["file", "term"])
+    return numbered.withColumn("block", F.floor((F.col("before") + F.col("own") - 1) / size)).drop("file", "own", "before")
+
+
+def in_order(placed_index: DataFrame) -> DataFrame:
+    """Postings as they are to be written: in ranges of terms and blocks, so that a query reads its terms' ranges alone."""
+    return placed_index.repartitionByRange("term", "block").sortWithinPartitions("term", "block")
+
+
+#: Facets whose codes a block's masks hold.
+MASKED = ("source_id", "discipline", "type")
+
+
+def summaries(placed_index: DataFrame) -> DataFrame:
+    """(term, block, max_impact, n, source_id_words, discipline_words, type_words, year_min, year_max): a mask is a map of words of 32
+    codes, the years are those of records that have one."""
     year = F.nullif("year", F.lit(0))
-    words = placed.groupBy("term", "block", F.floor(F.col("source_id_code") / 32).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(source_id_code % 32 as int))")).alias("bits"), F.max("impact").alias("max_impact"), F.count("*").alias("n"), F.min(year).alias("year_min"), F.max(year).alias("year_max")
-    )
-    return words.groupBy("term", "block").agg(
-        F.max("max_impact").alias("max_impact"), F.sum("n").alias("n"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "bits")))).alias("source_words"), F.min("year_min").alias("year_min"), F.max("year_max").alias("year_max")
-    )
+    whole = placed_index.groupBy("term", "block").agg(F.max("impact").alias("max_impact"), F.count("*").alias("n"), F.min(year).alias("year_min"), F.max(year).alias("year_max"), *[F.collect_set(f"{c}_code").alias(c) for c in MASKED])  # a block's codes
+
+    def words(codes: Column) -> Column:
+        numbers = F.array_sort(F.array_distinct(F.transform(codes, lambda c: F.floor(c / 32))))
+        bits = lambda w: F.aggregate(F.filter(codes, lambda c: F.floor(c / 32) == w), F.lit(0).cast("long"), lambda x, c: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (c % 32).cast("int"))))
+        return F.map_from_entries(F.transform(numbers, lambda w: F.struct(w, bits(w))))
+
+    return whole.select("term", "block", "max_impact", "n", *[words(F.col(c)).alias(f"{c}_words") for c in MASKED], "year_min", "year_max")
+
+
+def blocks(index: DataFrame, coded: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Summaries of the blocks of each term's postings in impact order."""
+    return summaries(placed(index, coded, size))
 
 
 def shards(index: DataFrame, target: int = SHARD_POSTINGS) -> DataFrame:
@@ -167,15 +207,26 @@ def coalesced_ranges(ranges: DataFrame, gap: int = 8192) -> DataFrame:
 
 def packed(items: DataFrame, group: str, target: int = PACK_BYTES) -> DataFrame:
     """(group, name, pack, offset): items (group, name, size) laid into packs one after another; an item that would pass the target
-    opens the next pack. A fold over each group's sorted sizes; a group is one writer's output."""
-    laid = F.expr(
-        f"""aggregate(items, cast(struct(0 as pack, 0L as used, array() as out) as struct<pack:int,used:bigint,out:array<struct<name:string,pack:int,offset:bigint>>>),
-          (s, x) -> case when s.used > 0 and s.used + x.size > {target}
-            then named_struct('pack', s.pack + 1, 'used', x.size, 'out', concat(s.out, array(named_struct('name', x.name, 'pack', s.pack + 1, 'offset', 0L))))
-            else named_struct('pack', s.pack, 'used', s.used + x.size, 'out', concat(s.out, array(named_struct('name', x.name, 'pack', s.pack, 'offset', s.used)))) end).out"""
-    )
-    lists = items.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("name", F.col("size").cast("long").alias("size")))).alias("items"))
-    return lists.select(group, F.explode(laid).alias("l")).select(group, "l.*")
+    opens the next pack. Where an item lies depends on all before it, so a group's items stream in order through one task, as they would
+    through its one writer; nothing is held but the open pack's fill."""
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pack, used = object(), 0, 0
+        for batch in batches:
+            packs, offsets = [], []
+            for g, size in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if g != now:
+                    now, pack, used = g, 0, 0
+                if used and used + size > target:
+                    pack, used = pack + 1, 0
+                packs.append(pack)
+                offsets.append(used)
+                used += size
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packs, pa.int32()), pa.array(offsets, pa.int64())], names=[group, "name", "pack", "offset"])
+
+    kind = dict(items.dtypes)[group]
+    rows = items.select(group, "name", F.col("size").cast("long").alias("size"))
+    return rows.repartition(group).sortWithinPartitions(group, "name").mapInArrow(lay, f"`{group}` {kind}, name string, pack int, offset long")
 
 
 def front_coded(keys: DataFrame, column: str = "key", group: str = "shard") -> DataFrame:
@@ -184,3 +235,44 @@ def front_coded(keys: DataFrame, column: str = "key", group: str = "shard") -> D
     n = F.least(F.length(column), F.length(before))
     same = F.filter(F.sequence(F.lit(0), n), lambda i: F.substring(F.col(column), F.lit(1), i) == F.substring(before, F.lit(1), i))
     return keys.withColumn("shared", F.array_max(same))
+
+
+# ---- small pieces of the stored form ---------------------------------------------------------------------------------------------
+
+
+def varint(n: Column) -> Column:
+    """The bytes (array<int>) of a whole number: seven bits each, lowest first, all but the last with the high bit set; below zero is zero."""
+    x = F.greatest(F.lit(0).cast("long"), F.floor(n).cast("long"))
+    groups = F.greatest(F.lit(1), F.ceil(F.length(F.regexp_replace(F.bin(x), "^0+", "")) / 7)).cast("int")
+    part = lambda i: F.call_function("shiftright", x, (7 * i).cast("int")).bitwiseAND(F.lit(127).cast("long"))
+    return F.transform(F.sequence(F.lit(0), groups - 1), lambda i: (part(i) + F.when(i < groups - 1, 128).otherwise(0)).cast("int"))
+
+
+def from_varint(bytes_: Column) -> Column:
+    """The number that varint() wrote."""
+    value = lambda b, i: F.call_function("shiftleft", b.bitwiseAND(F.lit(127)).cast("long"), (7 * i).cast("int"))
+    return F.aggregate(F.transform(bytes_, value), F.lit(0).cast("long"), lambda a, b: a + b)
+
+
+def fixed_width(largest: Column) -> Column:
+    """Bytes that numbers up to `largest` take: 1, 2 or 4."""
+    return F.when(largest <= 0xFF, 1).when(largest <= 0xFFFF, 2).otherwise(4)
+
+
+def document_chunks(records: DataFrame, columns: list[str], size: int = 100, key: str = "doc") -> DataFrame:
+    """(chunk, n, value): records in order of their numbers, `size` a chunk, as a JSON array. Numbers are dense, so a chunk is their quotient
+    and no order of all records is needed."""
+    row = F.struct(F.col(key), *columns)
+    return records.groupBy(F.floor(F.col(key) / size).alias("chunk")).agg(F.count("*").alias("n"), F.to_json(F.array_sort(F.collect_list(row))).alias("value"))
+
+
+def manifest(records: DataFrame, index: DataFrame, key: str = "doc") -> DataFrame:
+    """(name, value): what a reader of the index needs to know first: totals, facets with their codes as JSON, terms and postings."""
+    totals = records.agg(F.count("*").cast("string").alias("value")).select(F.lit("total").alias("name"), "value")
+    facets = [dictionary(records, c, key).agg(F.to_json(F.array_sort(F.collect_list(F.struct("code", "value", "n")))).alias("value")).select(F.lit(c).alias("name"), "value") for c in MASKED]  # facets' vocabularies
+    sizes = index.agg(F.count_distinct("term").cast("string").alias("terms"), F.count("*").cast("string").alias("postings"))
+    rows = sizes.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in ("terms", "postings")])).alias("x")).select("x.*")
+    out = totals.unionByName(rows)
+    for f in facets:
+        out = out.unionByName(f)
+    return out

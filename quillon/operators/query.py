@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
@@ -65,14 +65,14 @@ def prefix_groups(q: str) -> list[list[str]]:
     groups = []
     for raw in re.findall(r"[\w\-]+", q or ""):
         if len(raw) >= 2:
-            words = [w for w in re.split(T.SEPARATORS, T.py_fold(raw)) if w]
+            words = [w for w in re.split(r"[\W_]+", T.py_fold(raw)) if w]
             if words:
                 groups.append(words)
     return groups
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(T.fold(c), T.SEPARATORS), lambda w: w != "")
+    return F.filter(F.split(T.fold(c), T.WORD_SEPARATORS), lambda w: w != "")
 
 
 def _places(tokens: Column, phrase: list[str]) -> Column:
@@ -90,9 +90,8 @@ def _places(tokens: Column, phrase: list[str]) -> Column:
 
 
 def matched(records: DataFrame, q: str, key: str = "doc") -> DataFrame:
-    """(key, tf0, tf1, ..., len): places of each phrase of q over the text fields, for records that hold all of them.
-
-    Fields are walked apart, so no phrase runs over a field's end. One pass over the records and no shuffle.
+    """(key, tf0, tf1, ..., len): places of each phrase of q over the text fields, read from the records themselves: for tables that have no
+    full-text index. Fields are walked apart, so no phrase runs over a field's end. One pass over the records and no shuffle.
     """
     groups = prefix_groups(q)
     tokens = records.select(key, *[words(F.col(c)).alias(f"w_{c}") for c in TEXT_FIELDS])
@@ -101,26 +100,35 @@ def matched(records: DataFrame, q: str, key: str = "doc") -> DataFrame:
     return found
 
 
-def bm25(records: DataFrame, q: str, key: str = "doc") -> DataFrame:
-    """(key, score): BM25 of the phrases over all text fields as one, records that hold all phrases; higher is better."""
-    groups = prefix_groups(q)
-    found = matched(records, q, key)
-    stats = found.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(groups))])
-    both = reduce(lambda d, i: d.where(F.col(f"tf{i}") > 0), range(len(groups)), found).crossJoin(F.broadcast(stats))  # stats is one row
+def bm25_score(n: int) -> Column:
+    """BM25 of n phrases from columns tf0, df0, ..., len, n and avg_len."""
     score = F.lit(0.0)
-    for i in range(len(groups)):
+    for i in range(n):
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
         idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
         score += idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return both.select(key, score.alias("score"))
+    return score
 
 
-def hits(records: DataFrame, r: Request, key: str = "doc") -> DataFrame:
-    """Records that pass q and the filters, with `score` (null without a query)."""
+def bm25(records: DataFrame, q: str, key: str = "doc") -> DataFrame:
+    """(key, score): BM25 of the phrases over all text fields as one, records that hold all phrases; higher is better."""
+    n = len(prefix_groups(q))
+    found = matched(records, q, key)
+    stats = found.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(n)])
+    both = reduce(lambda d, i: d.where(F.col(f"tf{i}") > 0), range(n), found).crossJoin(F.broadcast(stats))  # stats is one row
+    return both.select(key, bm25_score(n).alias("score"))
+
+
+def hits(records: DataFrame, r: Request, key: str = "doc", index=None) -> DataFrame:
+    """Records that pass q and the filters, with `score` (null without a query). With a full-text index q is looked up there."""
     kept = filtered(records, r)
     if not prefix_groups(r.q):  # also a query of single letters only: there is nothing to rank by
         return kept.withColumn("score", F.lit(None).cast("double"))
-    return kept.join(bm25(records, r.q, key), key)
+    if index is None:
+        return kept.join(bm25(records, r.q, key), key)
+    from quillon.operators import fulltext
+
+    return kept.join(fulltext.bm25(index, r.q).withColumnRenamed("doc", key), key)
 
 
 def order(r: Request, key: str = "doc") -> list[Column]:
@@ -135,20 +143,27 @@ def order(r: Request, key: str = "doc") -> list[Column]:
     return [*by, F.col(key).asc()]
 
 
-def search(records: DataFrame, r: Request, key: str = "doc") -> DataFrame:
+def search(records: DataFrame, r: Request, key: str = "doc", index=None) -> DataFrame:
     """One page of results. Ranking carries the key and the sort columns only; whole rows are joined to the page."""
     size, page = max(1, min(100, r.size)), max(1, r.page)
-    ranked = hits(records, r, key).select(key, "year", "title", F.round("score", 6).alias("score")).orderBy(*order(r, key)).limit(size * page)
+    ranked = hits(records, r, key, index).select(key, "year", "title", F.round("score", 6).alias("score")).orderBy(*order(r, key)).limit(size * page)
     return ranked.offset(size * (page - 1)) if page > 1 else ranked
 
 
-def count(records: DataFrame, r: Request, key: str = "doc") -> DataFrame:
-    return hits(records, r, key).agg(F.count("*").alias("n"))
+def results(records: DataFrame, r: Request, key: str = "doc", index=None) -> DataFrame:
+    """Whole rows of a page with `place`; ranking first, rows last."""
+    page = search(records, r, key, index).select(key, F.monotonically_increasing_id().alias("m"))
+    placed = page.withColumn("place", F.row_number().over(Window.orderBy("m"))).drop("m")  # one page
+    return records.join(F.broadcast(placed), key).orderBy("place")
+
+
+def count(records: DataFrame, r: Request, key: str = "doc", index=None) -> DataFrame:
+    return hits(records, r, key, index).agg(F.count("*").alias("n"))
 
 
-def facets(records: DataFrame, r: Request, key: str = "doc", top_authors: int = 50) -> DataFrame:
+def facets(records: DataFrame, r: Request, key: str = "doc", top_authors: int = 50, index=None) -> DataFrame:
     """(facet, value, label, n) of all facets at once. Counts apply all filters, the facet's own too."""
-    kept = hits(records, r, key)
+    kept = hits(records, r, key, index)
     one = lambda name, value, label=None: F.struct(F.lit(name).alias("facet"), value.alias("value"), (value if label is None else label).alias("label"))
     flat = F.array(
         one("discipline", F.coalesce(F.nullif("discipline", F.lit("")), F.lit(OTHER))),
@@ -158,8 +173,9 @@ def facets(records: DataFrame, r: Request, key: str = "doc", top_authors: int =
     )
     names = F.transform(T.split_names(F.col("authors")), lambda a: F.struct(F.lit("author").alias("facet"), a.alias("value"), a.alias("label")))
     counts = kept.select(F.explode(F.concat(flat, names)).alias("f")).select("f.*").where("value is not null").groupBy("facet", "value", "label").agg(F.count("*").alias("n"))
-    authors = counts.where("facet = 'author'").orderBy(F.desc("n"), "value").limit(top_authors)
-    return counts.where("facet <> 'author'").unionByName(authors)
+    # authors are ranked, all other facets keep every value; a window with a limit keeps the best of each task before it shuffles
+    best = Window.partitionBy("facet").orderBy(F.desc("n"), "value")
+    return counts.where("facet <> 'author'").unionByName(counts.where("facet = 'author'").withColumn("__p", F.row_number().over(best)).where(F.col("__p") <= top_authors).drop("__p"))
 
 
 def sources(records: DataFrame) -> DataFrame:

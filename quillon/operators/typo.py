@@ -21,6 +21,12 @@ PLAIN = "^[a-z][a-z0-9]*$"
 FIELDS = ("title", "authors", "advisors", "subjects", "discipline", "source_name")
 
 
+def eligible(terms: DataFrame, total: DataFrame, least: int = 5, most: int = 20) -> DataFrame:
+    """(term, df) of the terms that go into the spelling index: plain words of usual length that are not in too many records."""
+    usual = F.length("term").between(least, most) & F.col("term").rlike(PLAIN)
+    return terms.where(usual).crossJoin(F.broadcast(total)).where(F.col("df") <= F.greatest(F.lit(1), F.floor(F.col("n") * DF_RATIO))).select("term", "df")  # total is one row
+
+
 def surfaces(records: DataFrame, key: str = "doc") -> DataFrame:
     """(surface, term, df): records that hold a word, with its term; of records with many words each pair counts once."""
     every = F.array_distinct(F.concat(*[T.surface_pairs(F.col(c)) for c in FIELDS]))
@@ -50,13 +56,21 @@ def score(token: Column, surface: Column, df: Column, distance: Column) -> Colum
     return F.log1p(df) * 1.15 + F.least(prefix, F.lit(4)) * 0.15 + likeness * 4.0 + first + last - distance * 2.35 - F.abs(F.length(token) - F.length(surface)) * 0.25
 
 
-def candidates(tokens: DataFrame, index: DataFrame) -> DataFrame:
-    """(token, surface, term, df, distance, score): words within reach of each token, best first. Delete keys meet by an equi-join; the
-    distance is measured on what met only."""
+def reach(tokens: DataFrame, index: DataFrame) -> DataFrame:
+    """(token, surface, term, df, distance): words within reach of each token. Delete keys meet by an equi-join; the distance is measured on
+    what met only."""
     asked = tokens.where(F.col("token").rlike(PLAIN) & F.length("token").between(2, 24)).select("token", F.explode(T.delete_keys(F.col("token"))).alias("delete_key"))
     met = asked.join(index, "delete_key").where("surface <> token").groupBy("token", "surface", "term").agg(F.max("df").alias("df"))
+    edits = edits_for(F.col("token"))
+    # an exchange of neighbours is two plain edits: what is further than twice as many plain ones apart needs no exact distance
+    met = met.where(F.levenshtein("token", "surface", 4) >= 0).where(F.levenshtein("token", "surface") <= 2 * edits)
     near = met.withColumn("distance", P.osa_distance("token", "surface", edits_for(F.col("token")))).where((F.col("distance") >= 1) & (F.col("distance") <= edits_for(F.col("token"))))
-    rated = near.withColumn("score", F.round(score(F.col("token"), F.col("surface"), F.col("df"), F.col("distance")), 9))
+    return near
+
+
+def candidates(tokens: DataFrame, index: DataFrame) -> DataFrame:
+    """(token, surface, term, df, distance, score): the best words within reach of each token."""
+    rated = reach(tokens, index).withColumn("score", F.round(score(F.col("token"), F.col("surface"), F.col("df"), F.col("distance")), 9))
     best = Window.partitionBy("token").orderBy(F.desc("score"), "distance", F.desc("df"), "term", "surface")
     return rated.withColumn("place", F.row_number().over(best)).where(F.col("place") <= MOST_PER_TOKEN).drop("place")
 
@@ -88,16 +102,22 @@ def corrected(postings: DataFrame, index: DataFrame, q: str, size: int = 20) ->
     analyzed = T.analyze_query(q)
     base = [t for _, t in analyzed]
     spark = postings.sparkSession
-    mine = F.broadcast(spark.createDataFrame([(t,) for t in base] or [("",)], "term string"))
-    present = {r.term: r.df for r in postings.join(mine, "term").groupBy("term").agg(F.max("df").alias("df")).collect()}  # a row a query term
+    present = {r.term: r.df for r in postings.where(F.col("term").isin(*base, "")).groupBy("term").agg(F.max("df").alias("df")).collect()}  # a row a query term
     before = S.scored(postings, base).count() if base else 0
     if before:
         return None
+    tried = plans(analyzed, present, index)  # at most MOST_PLANS
+    if not tried:
+        return None
+    rows = [(n, t, t in terms, S.min_match(len(terms))) for n, (_, terms, _) in enumerate(tried) for t in T.expanded_terms(terms)]
+    asked = spark.createDataFrame(rows, "plan int, term string, base boolean, least int")
+    found = postings.where(F.col("term").isin(*{r[1] for r in rows})).join(F.broadcast(asked), "term").groupBy("plan", "least", "doc").agg(F.count_if("base").alias("hits"))  # tens of rows
+    totals = {r.plan: r.n for r in found.where("hits >= least").groupBy("plan").agg(F.count("*").alias("n")).collect()}  # a row a plan
     best, worth = None, 0.0
-    for value, terms, change in plans(analyzed, present, index):  # at most MOST_PLANS
-        total = S.scored(postings, terms).count()
-        if total > before and value + 0.05 * min(total, 20) > worth:
-            best, worth = (terms, change), value + 0.05 * min(total, 20)
+    for n, (value, terms, change) in enumerate(tried):
+        total = totals.get(n, 0)
+        if total > before and value + 0.05 * min(total, size) > worth:
+            best, worth = (terms, change), value + 0.05 * min(total, size)
     return best
 
 

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from quillon.functions import python as P
 from quillon.operators import batch_labels, classify, merge, normalize
 from quillon.plans.corpus import CORPUS, corpus, table
-from quillon.plans.store import scratch, stored
+from quillon.plans.store import stored
 from quillon.schema import OTHER
 from quillon.sources import parse
 from quillon.streaming import ingest
+from quillon.tables import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import python as P
 from quillon.functions import text as T
-from quillon.operators import cite, evaluate, expand, index, search, typo
+from quillon.operators import cite, evaluate, expand, fulltext, index, search, typo, views
 from quillon.operators import query as Q
 from quillon.plans import sql as S
 from quillon.plans.corpus import CORPUS, corpus, table
@@ -132,17 +132,39 @@ def _bm25(n: int) -> str:
 
 @query(_with("SELECT count(*) AS n FROM fts JOIN corpus USING (doc) WHERE tf0 > 0 AND tf1 > 0 AND discipline = 'English'", _fts(["erin", "thon"])))
 def search_count(spark, d):
-    return Q.count(corpus(spark, d), Q.Request(q="erin thon", discipline=("English",)))
+    return Q.count(corpus(spark, d), Q.Request(q="erin thon", discipline=("English",)), index=_fulltext(spark, d))
 
 
 @query(_with("SELECT doc, CAST(tf0 AS INTEGER) AS tf0, CAST(tf1 AS INTEGER) AS tf1, CAST(len AS INTEGER) AS len FROM fts WHERE tf0 > 0 AND tf1 > 0", _fts(["erin", "thon"])))
 def fts_prefix_and(spark, d):
-    return Q.matched(corpus(spark, d), "erin thon").where("tf0 > 0 and tf1 > 0")
+    return fulltext.matched(_fulltext(spark, d), "erin thon")
+
+
+_PHRASE = "fw AS (SELECT doc, unnest([" + ", ".join(S.words(c) for c in Q.TEXT_FIELDS) + "]) AS w FROM corpus), pf AS (SELECT doc, sum(len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND starts_with(w[i + 1], 'th')))) AS tf0 FROM fw GROUP BY doc)"
+
+
+@query(_with("SELECT count(*) AS n, CAST(sum(tf0) AS BIGINT) AS places FROM pf WHERE tf0 > 0", _PHRASE))
+def fts_phrase(spark, d):
+    """Words joined by a hyphen are a phrase whose last word is a prefix."""
+    return fulltext.matched(_fulltext(spark, d), "of-th").agg(F.count("*").alias("n"), F.sum("tf0").alias("places"))
+
+
+@query(_with("SELECT doc, CAST(tf0 AS INTEGER) AS tf0, CAST(len AS INTEGER) AS len FROM (SELECT * FROM fts WHERE doc % 3 > 0) WHERE tf0 > 0", _fts(["erin"]).replace("FROM corpus", "FROM (SELECT * REPLACE (CASE WHEN doc % 3 = 1 THEN title ELSE abstract END AS abstract) FROM corpus)")))
+def fts_incremental(spark, d):
+    """The index after a third of the records were deleted and another third replaced by records of their title alone."""
+    records = corpus(spark, d)
+    changed, gone = records.where("doc % 3 = 1").withColumn("abstract", F.col("title")), records.where("doc % 3 = 0")
+    return fulltext.matched(fulltext.updated(_fulltext(spark, d), changed, gone.select("doc")), "erin")
 
 
 @query(_with("SELECT doc, year, title, round(score, 6) AS score FROM bm ORDER BY round(score, 6) DESC, year DESC NULLS LAST, doc LIMIT 25", _fts(["erin", "thon"]), _bm25(2)))
 def bm25_rank_topk(spark, d):
-    return Q.search(corpus(spark, d), Q.Request(q="erin thon", size=25))
+    return Q.search(corpus(spark, d), Q.Request(q="erin thon", size=25), index=_fulltext(spark, d))
+
+
+@query(_with("SELECT CAST(row_number() OVER (ORDER BY round(score, 6) DESC, bm.year DESC NULLS LAST, doc) AS INTEGER) AS place, c.* FROM bm JOIN corpus c USING (doc) ORDER BY place LIMIT 10", _fts(["erin", "thon"]), _bm25(2)))
+def search_result_rows(spark, d):
+    return Q.results(corpus(spark, d), Q.Request(q="erin thon", size=10), index=_fulltext(spark, d))
 
 
 @query(_with("SELECT CAST(doc AS VARCHAR) AS id, nullif(title, '') AS title, nullif(authors, '') AS authors, nullif(advisors, '') AS advisors, nullif(subjects, '') AS subjects, type, language, publisher, discipline, source_id, source_name, nullif(CASE WHEN length(abstract) > 900 THEN substr(abstract, 1, 900) || '…' ELSE abstract END, '') AS abstract, year, url FROM corpus"))
@@ -180,7 +202,7 @@ def title_shingles(spark, d):
 
 @query(f"WITH {S.INDEX} SELECT doc, term, score FROM pairs")
 def proximity_pairs(spark, d):
-    return index.pair_scores(corpus(spark, d))
+    return index.pair_scores(index.field_tokens(corpus(spark, d)))
 
 
 @query(f"WITH {CORPUS}, tt AS (SELECT DISTINCT unnest({S.tokens('title')}) AS term FROM corpus) SELECT term, rpad(substr(term, 1, 3), 3, '_') AS shard FROM tt")
@@ -217,9 +239,8 @@ def facet_dictionary_codes(spark, d):
 SELECT term, CAST(block AS BIGINT) AS block, max(impact) AS max_impact, count(*) AS n, bit_or(CASE WHEN code // 32 = 0 THEN CAST(1 AS BIGINT) << CAST(code % 32 AS BIGINT) ELSE 0 END) AS word0, min(nullif(year, 0)) AS year_min, max(nullif(year, 0)) AS year_max FROM pl GROUP BY term, block"""
 )
 def postings_blocks(spark, d):
-    records = corpus(spark, d)
-    made = index.blocks(index.build(records), index.codes(records))
-    return made.select("term", "block", "max_impact", "n", F.coalesce(F.element_at("source_words", F.lit(0).cast("long")), F.lit(0).cast("long")).alias("word0"), "year_min", "year_max")
+    word = F.coalesce(F.element_at("source_id_words", F.lit(0).cast("long")), F.lit(0).cast("long"))
+    return _blocks(spark, d).select("term", "block", "max_impact", "n", word.alias("word0"), "year_min", "year_max")
 
 
 @query(
@@ -245,7 +266,12 @@ def range_coalesce(spark, d):
     return index.coalesced_ranges(e.select((F.col("user_id") % 16).alias("pack"), (i * 6000).alias("start"), (i * 6000 + 3000 + i % 9 * 1500).alias("stop")))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY writer ORDER BY name) AS n FROM (SELECT p_partkey % 4 AS writer, 's' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS name, CAST(p_size AS BIGINT) * 40000 + 1 AS size FROM part)),
+ l(writer, name, n, pack, "offset", used) AS (SELECT writer, name, n, 0, CAST(0 AS BIGINT), size FROM o WHERE n = 1
+  UNION ALL SELECT o.writer, o.name, o.n, CASE WHEN used + size > {index.PACK_BYTES} THEN pack + 1 ELSE pack END, CASE WHEN used + size > {index.PACK_BYTES} THEN 0 ELSE used END, CASE WHEN used + size > {index.PACK_BYTES} THEN size ELSE used + size END FROM l JOIN o ON o.writer = l.writer AND o.n = l.n + 1)
+SELECT writer, name, pack, "offset" FROM l"""
+)
 def pack_layout(spark, d):
     p = table(spark, d, "part").select((F.col("p_partkey") % 4).alias("writer"), F.concat(F.lit("s"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("name"), (F.col("p_size") * 40_000 + 1).alias("size"))
     return index.packed(p, "writer")
@@ -261,12 +287,42 @@ def front_coding(spark, d):
 
 
 def _index(spark, d) -> DataFrame:
-    """The index as searches find it: built once, stored, read by every query."""
-    return stored(spark, d, "index", lambda: index.build(corpus(spark, d)))
+    """The index as searches find it: built once, stored in order of terms and blocks, read by every query."""
+    records = corpus(spark, d)
+    return stored(spark, d, "index", lambda: index.in_order(index.placed(index.build(records), index.codes(records))))
 
 
 def _blocks(spark, d) -> DataFrame:
-    return stored(spark, d, "blocks", lambda: index.blocks(_index(spark, d), index.codes(corpus(spark, d))))
+    return stored(spark, d, "blocks", lambda: index.summaries(_index(spark, d)).repartitionByRange("term").sortWithinPartitions("term"))
+
+
+def _fulltext(spark, d) -> fulltext.Index:
+    made = lambda: fulltext.build(corpus(spark, d))
+    return fulltext.Index(stored(spark, d, "words", lambda: fulltext.in_order(made().postings)), stored(spark, d, "lengths", lambda: made().lengths))
+
+
+@query(
+    f"WITH {S.INDEX}, fc AS (SELECT 'source_id' AS name, * FROM {_dictionary('source_id')} UNION ALL SELECT 'discipline', * FROM {_dictionary('discipline')} UNION ALL SELECT 'type', * FROM {_dictionary('type')}) "
+    "SELECT 'total' AS name, CAST(count(*) AS VARCHAR) AS value FROM corpus UNION ALL SELECT 'terms', CAST(count(DISTINCT term) AS VARCHAR) FROM post UNION ALL SELECT 'postings', CAST(count(*) AS VARCHAR) FROM post "
+    """UNION ALL SELECT name, '[' || string_agg('{"code":' || code || ',"value":' || CAST(to_json(value) AS VARCHAR) || ',"n":' || n || '}', ',' ORDER BY code) || ']' FROM fc GROUP BY name"""
+)
+def index_manifest(spark, d):
+    return index.manifest(corpus(spark, d), _index(spark, d))
+
+
+@query(_with("""SELECT doc // 100 AS chunk, count(*) AS n, '[' || string_agg('{"doc":' || doc || ',"title":' || CAST(to_json(title) AS VARCHAR) || ',"source_id":' || CAST(to_json(source_id) AS VARCHAR) || '}', ',' ORDER BY doc) || ']' AS value FROM corpus GROUP BY 1"""))
+def document_chunks(spark, d):
+    return index.document_chunks(corpus(spark, d), ["title", "source_id"])
+
+
+_VARINT = "list_transform(range(0, greatest(1, CAST(ceil(length(regexp_replace(bin(n), '^0+', '')) / 7.0) AS BIGINT))), lambda i: CAST((n >> (7 * i)) & 127 AS INTEGER) + CASE WHEN i < greatest(1, CAST(ceil(length(regexp_replace(bin(n), '^0+', '')) / 7.0) AS BIGINT)) - 1 THEN 128 ELSE 0 END)"
+
+
+@query(f"WITH x AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * (o_orderkey % 5) AS n FROM orders) SELECT o_orderkey, array_to_string({_VARINT}, ' ') AS bytes, n AS again, CASE WHEN n <= 255 THEN 1 WHEN n <= 65535 THEN 2 ELSE 4 END AS width FROM x")
+def varint_codes(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", (F.floor("o_totalprice") * (F.col("o_orderkey") % 5)).alias("n"))
+    coded = o.select("o_orderkey", "n", index.varint(F.col("n")).alias("b"))
+    return coded.select("o_orderkey", F.array_join("b", " ").alias("bytes"), index.from_varint(F.col("b")).alias("again"), index.fixed_width(F.col("n")).alias("width"))
 
 
 # ---- ranked search -------------------------------------------------------------------------------------------------------------
@@ -303,8 +359,35 @@ def topk_reranked(spark, d):
 
 @query(_scored(PAIR) + " SELECT doc, CAST(score AS BIGINT) AS score, hits FROM sr ORDER BY score DESC, doc LIMIT 10")
 def block_pruned_topk(spark, d):
-    made = _index(spark, d)
-    return search.pruned(made, _blocks(spark, d), PAIR, 10)
+    return search.pruned(_index(spark, d), _blocks(spark, d), PAIR, 10)
+
+
+@query(_scored(PAIR, "WHERE doc IN (SELECT doc FROM corpus WHERE source_id IN ('src1', 'src4', 'src7') AND year BETWEEN 1970 AND 2010)") + " SELECT doc, CAST(score AS BIGINT) AS score, hits FROM sr ORDER BY score DESC, doc LIMIT 10")
+def filtered_blocks_topk(spark, d):
+    """Filters in the space of codes: blocks by their masks and years, postings by their codes."""
+    records = corpus(spark, d)
+    facets = {c: index.dictionary(records, c) for c in index.MASKED}
+    r = Q.Request(q=" ".join(PAIR), source=("src1", "src4", "src7"), year_min=1970, year_max=2010, size=10)
+    return search.pruned(_index(spark, d), _blocks(spark, d), PAIR, 10, search.filter_plan(r, facets)) if search.fast_path(r, PAIR) else search.scored(_index(spark, d), PAIR)
+
+
+@query(_with("SELECT doc, CAST(row_number() OVER (ORDER BY doc) AS INTEGER) AS place FROM corpus ORDER BY doc LIMIT 50"))
+def initial_page(spark, d):
+    return stored(spark, d, "initial", lambda: search.initial_page(corpus(spark, d)))
+
+
+def _by_year(order: str) -> str:
+    return _scored(PAIR) + f", y AS (SELECT doc, CAST(score AS DOUBLE) AS score, coalesce(year, 0) AS year FROM sr JOIN corpus USING (doc)) SELECT doc, score, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS place FROM y ORDER BY place LIMIT 20"
+
+
+@query(_by_year("year DESC, score DESC, doc"))
+def topk_year_desc(spark, d):
+    return search.search(_index(spark, d), corpus(spark, d), Q.Request(q=" ".join(PAIR), sort="year_desc"))
+
+
+@query(_by_year("CASE WHEN year = 0 THEN 9999 ELSE year END, score DESC, doc"))
+def topk_year_asc(spark, d):
+    return search.search(_index(spark, d), corpus(spark, d), Q.Request(q=" ".join(PAIR), sort="year_asc"))
 
 
 @query(_scored(PAIR) + " SELECT 'source' AS facet, source_id AS value, count(*) AS n FROM sr JOIN corpus USING (doc) GROUP BY ALL UNION ALL SELECT 'discipline', coalesce(discipline, ''), count(*) FROM sr JOIN corpus USING (doc) GROUP BY ALL UNION ALL SELECT 'type', coalesce(type, ''), count(*) FROM sr JOIN corpus USING (doc) GROUP BY ALL UNION ALL SELECT 'decade', coalesce((year // 10 * 10) || 's', ''), count(*) FROM sr JOIN corpus USING (doc) GROUP BY ALL")
@@ -332,6 +415,36 @@ def _mistyped(spark, d):
     return words, words.where(F.length("surface") >= 6).select(typo.mutated(F.col("surface"), F.length("surface") * 3 + 17).alias("token")).distinct()
 
 
+@query(_with(f"SELECT term, CAST(df AS BIGINT) AS df FROM (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc, term FROM (SELECT doc, unnest({S.tokens('title')}) AS term FROM corpus)) GROUP BY term) WHERE length(term) BETWEEN 5 AND 20 AND regexp_full_match(term, '[a-z][a-z0-9]*') AND df <= greatest(1, (SELECT floor(count(*) * 0.08) FROM corpus))"))
+def typo_index_terms(spark, d):
+    records = corpus(spark, d)
+    terms = records.select(F.explode(F.array_distinct(T.tokenize(F.col("title")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return typo.eligible(terms, records.agg(F.count("*").alias("n")))
+
+
+_DELETES = lambda t: f"list_distinct(list_concat([{t}], {_ONE(t)}, CASE WHEN length({t}) >= 8 THEN list_filter(flatten(list_transform({_ONE(t)}, lambda x: list_transform(range(1, length(x) + 1), lambda i: substr(x, 1, i - 1) || substr(x, i + 1)))), lambda k: length(k) >= 3) ELSE [] END))"
+_ONE = lambda t: f"list_filter(list_transform(range(1, length({t}) + 1), lambda i: substr({t}, 1, i - 1) || substr({t}, i + 1)), lambda k: length(k) >= 3)"
+_SURFACES = (
+    "sp AS (SELECT DISTINCT doc, w AS surface, " + S.stem("w") + " AS term FROM (SELECT doc, unnest(list_concat(" + ", ".join(S.raw_words(c) for c in typo.FIELDS) + ")) AS w FROM corpus)), "
+    f"sf AS (SELECT surface, term, count(*) AS df FROM sp WHERE {S.wanted('term')} AND length(surface) BETWEEN 4 AND 24 AND length(term) BETWEEN 2 AND 20 AND regexp_full_match(surface, '[a-z][a-z0-9]*') AND regexp_full_match(term, '[a-z][a-z0-9]*') GROUP BY ALL HAVING count(*) <= greatest(1, (SELECT floor(count(*) * {typo.DF_RATIO}) FROM corpus)))"
+)
+
+
+@query(
+    _with(
+        "SELECT DISTINCT token, surface, term, CAST(dist AS INTEGER) AS distance FROM (SELECT token, surface, term, damerau_levenshtein(token, surface) AS dist FROM (SELECT DISTINCT token, surface, term FROM tk JOIN ix USING (k) WHERE surface <> token)) WHERE dist BETWEEN 1 AND CASE WHEN length(token) >= 8 THEN 2 ELSE 1 END",
+        _SURFACES,
+        f"ix AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY df DESC, length(surface), length(term), surface, term) AS rn FROM (SELECT surface, term, df, unnest({_DELETES('surface')}) AS k FROM sf)) WHERE rn <= {typo.MOST_PER_KEY})",
+        f"tk AS (SELECT token, unnest({_DELETES('token')}) AS k FROM (SELECT DISTINCT substr(surface, 1, 3) || substr(surface, 5) AS token FROM sf WHERE length(surface) >= 6))",
+    )
+)
+def typo_reach(spark, d):
+    """Words within reach of tokens that lack their fourth letter, with their distance."""
+    words = typo.surfaces(corpus(spark, d))
+    tokens = words.where(F.length("surface") >= 6).select(F.concat(F.substring("surface", 1, 3), F.substring("surface", 5, 99)).alias("token")).distinct()
+    return typo.reach(tokens, typo.delete_index(words)).select("token", "surface", "term", "distance")
+
+
 @query()
 def typo_candidates(spark, d):
     words, tokens = _mistyped(spark, d)
@@ -433,12 +546,28 @@ def sparse_expansions(spark, d):
     return expand.expansions(corpus(spark, d))
 
 
+@query(_with("""SELECT doc, '{"doc":' || doc || ',"terms":[' || string_agg('{"term":' || CAST(to_json(term) AS VARCHAR) || ',"source":"' || source || '"}', ',' ORDER BY weight DESC, term) || ']}' AS value FROM (SELECT doc, term, round(weight, 4) AS weight, source, place FROM ep WHERE place <= 24) GROUP BY doc""", _KEYS, _LINKS, _EXPANSIONS))
+def expansion_lines(spark, d):
+    """The expansions as JSON lines, their weights left out: two engines may write the same number in two ways."""
+    lines = expand.expansion_lines(expand.expansions(corpus(spark, d)))
+    parsed = F.from_json("value", "doc bigint, terms array<struct<term:string,source:string>>")
+    return lines.select(parsed.alias("p")).select("p.doc", F.to_json("p").alias("value"))
+
+
+@query("SELECT count(*) FILTER (o_orderkey % 7 <> 0) AS records, count(*) FILTER (o_orderkey % 7 = 0) AS malformed_lines, count(*) FILTER (o_orderkey % 7 <> 0 AND o_orderkey % 5 = 0) AS missing_docs FROM orders")
+def expansion_line_statistics(spark, d):
+    o, key = table(spark, d, "orders"), F.col("o_orderkey")
+    name = F.when(key % 5 == 0, F.concat(F.lit("no-"), key.cast("string"))).otherwise(key.cast("string"))
+    line = F.when(key % 7 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(name.alias("id"), F.array(F.lit("t")).alias("terms"))))
+    return expand.line_statistics(o.select(line.alias("value")), o.select(key.cast("string").alias("name"), key.alias("doc")))
+
+
 @query(
     """WITH r AS (SELECT o_orderkey AS doc, o_orderpriority AS raw, o_orderkey % 4 AS shape FROM orders WHERE o_orderkey % 7 <> 0)
-SELECT doc, regexp_replace(regexp_replace(lower(raw), '[^a-z0-9]+', '_', 'g'), 'specified$', 'specifi') AS term, CASE WHEN shape = 1 THEN 2.5 WHEN shape = 2 THEN 3.0 ELSE 1.0 END AS score FROM (SELECT doc, replace(raw, '-', ' ') AS raw, shape FROM r) WHERE raw NOT LIKE '%NOT SPECIFIED%'"""
+SELECT doc, CASE WHEN raw LIKE '%NOT SPECIFIED%' THEN '4_specif' ELSE regexp_replace(lower(raw), '[^a-z0-9]+', '_', 'g') END AS term, CASE WHEN shape = 1 THEN 2.5 WHEN shape = 2 THEN 3.0 ELSE 1.0 END AS score FROM (SELECT doc, replace(raw, '-', ' ') AS raw, shape FROM r)"""
 )
 def expansion_jsonl_merge(spark, d):
-    o = table(spark, d, "orders").where("o_orderpriority not like '%NOT SPECIFIED%'")
+    o = table(spark, d, "orders")
     key, raw = F.col("o_orderkey"), F.col("o_orderpriority")
     shape = key % 4
     line = (
@@ -530,3 +659,49 @@ def citations_apa(spark, d):
 @query()
 def highlight_matches(spark, d):
     return corpus(spark, d).select("doc", P.highlighted("title", F.lit("the erin éau")).alias("marked"))
+
+
+# ---- views ---------------------------------------------------------------------------------------------------------------------
+
+
+@query(_with("SELECT doc, CASE WHEN authors <> '' THEN array_to_string(regexp_split_to_array(authors || '; x; y; z', ';\\s*')[1:4], ' · ') END AS authors, array_to_string(regexp_split_to_array(advisors, ';\\s*')[1:3], ' · ') AS advisors, CASE WHEN language IN ('fr', 'en') THEN language ELSE 'fr' END AS language FROM corpus"))
+def short_names(spark, d):
+    names = F.concat("authors", F.lit("; x; y; z"))
+    return corpus(spark, d).select("doc", views.few_names(names).alias("authors"), views.few_names(F.col("advisors"), views.ADVISORS).alias("advisors"), views.page_language(F.col("language")).alias("language"))
+
+
+@query(_with("SELECT value, label, n, greatest(0, t - 8) AS hidden FROM (SELECT *, row_number() OVER (ORDER BY n DESC, value) AS p, count(*) OVER () AS t FROM (SELECT source_id AS value, source_name AS label, count(*) AS n FROM corpus WHERE contains(lower(source_name), 'src1') GROUP BY ALL)) WHERE p <= 8"))
+def facet_text_filter(spark, d):
+    return views.facet_list(Q.facets(corpus(spark, d), Q.Request()), "source", "SRC1")
+
+
+@query(_with("SELECT (year // 10 * 10) || 's' AS value, count(*) AS n, CAST(greatest(2, floor(count(*) / CAST(max(count(*)) OVER () AS DOUBLE) * 100 + 0.5)) AS INTEGER) AS width FROM corpus WHERE year IS NOT NULL GROUP BY 1 ORDER BY 1"))
+def decade_bars(spark, d):
+    return views.decade_bars(Q.facets(corpus(spark, d), Q.Request()))
+
+
+@query("SELECT user_id, props, CAST(place AS INTEGER) AS place FROM (SELECT user_id, props, row_number() OVER (PARTITION BY user_id ORDER BY max(ts) DESC, arg_max(event_id, (ts, event_id)) DESC, props) AS place FROM events WHERE props <> '' GROUP BY user_id, props) WHERE place <= 8")
+def recent_searches(spark, d):
+    return views.recent(table(spark, d, "events"), "user_id", "props", ["ts", "event_id"])
+
+
+@query(_with("SELECT oai_identifier AS id, title, authors, year, source_name AS source, discipline, url FROM corpus"))
+def adapted_rows(spark, d):
+    return views.adapted(corpus(spark, d), "relational")
+
+
+@query("SELECT count(*) AS n, round(avg(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END), 6) AS clicked_rate, round(coalesce(avg(value) FILTER (event_type <> 'error'), 0), 6) AS avg_cost FROM events")
+def run_figures(spark, d):
+    e = table(spark, d, "events").select((F.col("event_type") == "click").alias("clicked"), F.when(F.col("event_type") != "error", F.col("value")).alias("cost"))
+    return views.run_figures(e, ["clicked"], ["cost"])
+
+
+@query(_with(f"SELECT coalesce(discipline, '{OTHER}') AS discipline, count(*) AS n, round(100 * count(*) / CAST((SELECT count(*) FROM corpus) AS DOUBLE), 1) AS share FROM corpus GROUP BY 1"))
+def discipline_histogram(spark, d):
+    return views.discipline_histogram(corpus(spark, d))
+
+
+@query(_with("SELECT CAST(doc AS VARCHAR) AS id, CASE WHEN doc % 3 = 0 THEN 'urn:x:' || 'oai%3Acorpus%3A' || doc ELSE url END AS url FROM corpus"))
+def made_up_addresses(spark, d):
+    records = corpus(spark, d).withColumn("url", F.when(F.col("doc") % 3 != 0, F.col("url")))
+    return search.display(records, "urn:x:").select("id", "url")

@@ -33,7 +33,7 @@ def tokens(x: str) -> str:
 
 
 def words(x: str) -> str:
-    return f"list_filter(regexp_split_to_array({fold(x)}, '{T.SEPARATORS}'), lambda w: w <> '')"
+    return f"list_filter(regexp_split_to_array({fold(x)}, '{T.WORD_SEPARATORS}'), lambda w: w <> '')"
 
 
 def shingles(x: str) -> str:

@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_PATHS: dict[tuple[str, str, str], str] = {}
-
+from quillon.tables import deleted, scratch
 
-def scratch(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a local one only where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{named or os.path.join(tempfile.gettempdir(), 'quillon-checkpoints')}/quillon-{uuid.uuid4().hex}"
+_PATHS: dict[tuple[str, str, str], str] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -25,3 +18,9 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
         build().write.parquet(path)
         _PATHS[key] = path
     return spark.read.parquet(_PATHS[key])
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes what this application has stored."""
+    for key in [k for k in _PATHS if k[0] == spark.sparkContext.applicationId]:
+        deleted(spark, _PATHS.pop(key))

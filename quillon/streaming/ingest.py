@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,28 +11,50 @@ from pyspark.sql.streaming import StreamingQuery
 from quillon.operators import merge as M
 
 
-class RecordTable:
-    """A table of records as numbered Parquet versions; the newest complete version is the state. A batch that is replayed writes the same
-    version again, so upserts are applied once in effect."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def _versions(self) -> list[int]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            return []
-        names = [s.getPath() for s in fs.listStatus(hadoop)]
-        done = [p for p in names if p.getName().startswith("v=") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(p.getName()[2:]) for p in done)
+#: Buckets of a table of records: a batch rewrites those of its keys.
+BUCKETS = 16
 
-    def read(self, before: int | None = None) -> DataFrame | None:
-        versions = [v for v in self._versions() if before is None or v < before]
-        return self.spark.read.parquet(os.path.join(self.path, f"v={versions[-1]}")) if versions else None
 
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(os.path.join(self.path, f"v={version}"))
+class RecordTable:
+    """A table of records as numbered Parquet versions; the newest complete version is the state. A batch that is replayed writes the same
+    version again, so upserts are applied once in effect. Rows lie in BUCKETS by a hash of their key; a version's folder holds the buckets
+    it changed, a bucket is read from the newest version that has it, and versions of which none is read any more go."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path, buckets
+
+    def _fs(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, path: str) -> list[str]:
+        at, fs = self._fs(path)
+        return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+
+    def _newest(self, before: int | None = None) -> dict[int, int]:
+        """bucket -> newest complete version that has it."""
+        newest: dict[int, int] = {}
+        for v in sorted(int(n[2:]) for n in self._names(self.path) if n.startswith("v=")):
+            names = self._names(f"{self.path}/v={v}")
+            if "_SUCCESS" in names and (before is None or v < before):
+                newest |= {int(n.split("=")[1]): v for n in names if n.startswith("bucket=")}
+        return newest
+
+    def bucket(self, key: str):
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def read(self, before: int | None = None, only: list[int] | None = None) -> DataFrame | None:
+        """The state, or its rows in some buckets."""
+        found = [f"{self.path}/v={v}/bucket={b}" for b, v in sorted(self._newest(before).items()) if only is None or b in only]
+        return self.spark.read.parquet(*found) if found else None
+
+    def write(self, df: DataFrame, version: int, key: str) -> None:
+        df.withColumn("bucket", self.bucket(key)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(os.path.join(self.path, f"v={version}"))
+        needed = set(self._newest().values()) | set(self._newest(version).values())  # the last batch may be replayed on what it read
+        for name in self._names(self.path):
+            if name.startswith("v=") and int(name[2:]) not in needed | {version}:
+                at, fs = self._fs(f"{self.path}/{name}")
+                fs.delete(at, True)
 
 
 def apply_batch(table: RecordTable, key: str, arrival: list[str], source: str, deleted: str, columns: list[str], label: str):
@@ -41,11 +62,14 @@ def apply_batch(table: RecordTable, key: str, arrival: list[str], source: str, d
 
     def run(batch: DataFrame, number: int) -> None:
         version = number + 1
+        batch = batch.persist()
+        touched = [x.b for x in batch.select(table.bucket(key).alias("b")).distinct().collect()]  # at most a row a bucket
         gone = batch.withColumn("__at", F.struct(*arrival)).groupBy(key).agg(F.max(F.when(F.col(deleted), F.col("__at"))).alias("g")).where("g is not null").select(key)
         new = M.folded(batch, key, arrival, source, deleted, columns, label)
-        old = table.read(before=version)
+        old = table.read(before=version, only=touched)  # the buckets that the batch touches are rewritten, no other
         if old is None:
-            table.write(new, version)
+            table.write(new, version, key)
+            batch.unpersist()
             return
         kept = old.join(gone, key, "left_anti")  # a tombstone resets what was before it
         names = [key, *columns, label, source]
@@ -55,7 +79,8 @@ def apply_batch(table: RecordTable, key: str, arrival: list[str], source: str, d
         gate = F.col("o").isNull() | (F.col("n").isNotNull() & (M.rank(F.col(f"n.{source}")) >= M.rank(F.col(f"o.{source}"))))
         pick = [F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in columns]
         tags = [F.when(gate, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in (label, source)]
-        table.write(both.select(key, *pick, *tags), version)
+        table.write(both.select(key, *pick, *tags), version, key)
+        batch.unpersist()
 
     return run
 
@@ -73,9 +98,14 @@ def window_counts(events: DataFrame, width: str = "1 day", late: str | None = No
     return timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "event_type", "n")
 
 
-def run_to_table(df: DataFrame, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a bounded stream to its end and returns its result table."""
-    name = f"q_{uuid.uuid4().hex}"
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+def run_to_table(df: DataFrame, checkpoint: str) -> DataFrame:
+    """Runs a bounded stream of aggregates to its end and returns its result table. Each batch writes the whole result as a table of its
+    own; the last one is read, so nothing passes the driver."""
+    made: list[str] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        made.append(f"{checkpoint}-result/{number}")
+        batch.write.mode("overwrite").parquet(made[-1])
+
+    df.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(made[-1])
