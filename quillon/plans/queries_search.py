@@ -430,14 +430,25 @@ _SURFACES = (
 )
 
 
-@query(
-    _with(
-        "SELECT DISTINCT token, surface, term, CAST(dist AS INTEGER) AS distance FROM (SELECT token, surface, term, damerau_levenshtein(token, surface) AS dist FROM (SELECT DISTINCT token, surface, term FROM tk JOIN ix USING (k) WHERE surface <> token)) WHERE dist BETWEEN 1 AND CASE WHEN length(token) >= 8 THEN 2 ELSE 1 END",
-        _SURFACES,
-        f"ix AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY df DESC, length(surface), length(term), surface, term) AS rn FROM (SELECT surface, term, df, unnest({_DELETES('surface')}) AS k FROM sf)) WHERE rn <= {typo.MOST_PER_KEY})",
-        f"tk AS (SELECT token, unnest({_DELETES('token')}) AS k FROM (SELECT DISTINCT substr(surface, 1, 3) || substr(surface, 5) AS token FROM sf WHERE length(surface) >= 6))",
-    )
-)
+def _osa(a: str, b: str) -> str:
+    """Edit distance with exchanges of neighbours, row by row: s holds the last two rows."""
+    swap = f"CASE WHEN x[1][1] > 1 AND y[1] > 1 AND substr({a}, x[1][1], 1) = substr({b}, y[1] - 1, 1) AND substr({a}, x[1][1] - 1, 1) = substr({b}, y[1], 1) THEN s[1][y[1] - 1] + 1 ELSE 999 END"
+    cell = f"least(s[2][y[1] + 1] + 1, r[-1] + 1, s[2][y[1]] + CASE WHEN substr({a}, x[1][1], 1) = substr({b}, y[1], 1) THEN 0 ELSE 1 END, {swap})"
+    row = f"list_reduce(list_transform(range(1, length({b}) + 1), lambda j: [j]), lambda r, y: list_append(r, {cell}), [x[1][1]])"
+    return f"list_reduce(list_transform(range(1, length({a}) + 1), lambda i: [[i]]), lambda s, x: [s[2], {row}], [range(0, 1), range(0, length({b}) + 1)])[2][length({b}) + 1]"
+
+
+def _lcs(a: str, b: str) -> str:
+    cell = f"CASE WHEN substr({a}, x[1], 1) = substr({b}, y[1], 1) THEN s[y[1]] + 1 ELSE greatest(s[y[1] + 1], r[-1]) END"
+    row = f"list_reduce(list_transform(range(1, length({b}) + 1), lambda j: [j]), lambda r, y: list_append(r, {cell}), [CAST(0 AS BIGINT)])"
+    return f"list_reduce(list_transform(range(1, length({a}) + 1), lambda i: [i]), lambda s, x: {row}, list_transform(range(0, length({b}) + 1), lambda z: CAST(0 AS BIGINT)))[-1]"
+
+
+_TYPO_INDEX = f"ix AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY df DESC, length(surface), length(term), surface, term) AS rn FROM (SELECT surface, term, df, unnest({_DELETES('surface')}) AS k FROM sf)) WHERE rn <= {typo.MOST_PER_KEY})"
+_REACH = f"mt AS (SELECT token, surface, term, max(df) AS df FROM tk JOIN ix USING (k) WHERE surface <> token GROUP BY ALL), nr AS (SELECT * FROM (SELECT *, CAST({_osa('token', 'surface')} AS INTEGER) AS dist FROM mt) WHERE dist BETWEEN 1 AND CASE WHEN length(token) >= 8 THEN 2 ELSE 1 END)"
+
+
+@query(_with("SELECT token, surface, term, dist AS distance FROM nr", _SURFACES, _TYPO_INDEX, f"tk AS (SELECT token, unnest({_DELETES('token')}) AS k FROM (SELECT DISTINCT substr(surface, 1, 3) || substr(surface, 5) AS token FROM sf WHERE length(surface) >= 6))", _REACH))
 def typo_reach(spark, d):
     """Words within reach of tokens that lack their fourth letter, with their distance."""
     words = typo.surfaces(corpus(spark, d))
@@ -445,7 +456,25 @@ def typo_reach(spark, d):
     return typo.reach(tokens, typo.delete_index(words)).select("token", "surface", "term", "distance")
 
 
-@query()
+def _mutated(t: str, s: str) -> str:
+    n, letters = f"length({t})", "etaoinshrdlucmpgfbvyq"
+    inner = f"(CASE WHEN {n} > 6 THEN 1 ELSE 0 END)"
+    at = f"({inner} + {s} % greatest(1, {n} - 2 * {inner}))"
+    here = f"substr({t}, {at} + 1, 1)"
+    other = f"substr('{letters}', (position({here} IN '{letters}') - 1 + {s} + 7) % {len(letters)} + 1, 1)"
+    return f"CASE WHEN {n} < 5 THEN {t} WHEN {s} % 4 = 0 THEN substr({t}, 1, {at}) || substr({t}, {at} + 2) WHEN {s} % 4 = 1 AND {at} < {n} - 1 THEN substr({t}, 1, {at}) || substr({t}, {at} + 2, 1) || {here} || substr({t}, {at} + 3) WHEN {s} % 4 = 2 THEN substr({t}, 1, {at}) || {other} || substr({t}, {at} + 2) ELSE substr({t}, 1, {at}) || {here} || substr({t}, {at} + 1) END"
+
+
+_RATED = f"""rt AS (SELECT *, round(ln(1 + df) * 1.15 + least(list_max(list_filter(range(0, least(length(token), length(surface)) + 1), lambda i: substr(token, 1, i) = substr(surface, 1, i))), 4) * 0.15 + {_lcs('token', 'surface')} / CAST(greatest(1, length(token)) AS DOUBLE) * 4.0
+ + CASE WHEN substr(token, 1, 1) = substr(surface, 1, 1) THEN 1.2 ELSE -1.6 END + CASE WHEN substr(token, -1) = substr(surface, -1) THEN 0.35 ELSE 0.0 END - dist * 2.35 - abs(length(token) - length(surface)) * 0.25, 9) AS score FROM nr)"""
+
+
+@query(
+    _with(
+        f"SELECT token, surface, term, CAST(df AS BIGINT) AS df, dist AS distance, CAST(round(score, 6) AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY score DESC, dist, df DESC, term, surface) AS place FROM rt) WHERE place <= {typo.MOST_PER_TOKEN}",
+        _SURFACES, _TYPO_INDEX, f"tk AS (SELECT token, unnest({_DELETES('token')}) AS k FROM (SELECT DISTINCT {_mutated('surface', '(length(surface) * 3 + 17)')} AS token FROM sf WHERE length(surface) >= 6))", _REACH, _RATED,
+    )
+)
 def typo_candidates(spark, d):
     words, tokens = _mistyped(spark, d)
     return typo.candidates(tokens, typo.delete_index(words)).select("token", "surface", "term", "df", "distance", F.round("score", 6).alias("score"))
@@ -474,15 +503,6 @@ def did_you_mean(spark, d):
     return typo.did_you_mean(tokens, vocabulary)
 
 
-def _mutated(t: str, s: str) -> str:
-    n, letters = f"length({t})", "etaoinshrdlucmpgfbvyq"
-    inner = f"(CASE WHEN {n} > 6 THEN 1 ELSE 0 END)"
-    at = f"({inner} + {s} % greatest(1, {n} - 2 * {inner}))"
-    here = f"substr({t}, {at} + 1, 1)"
-    other = f"substr('{letters}', (position({here} IN '{letters}') - 1 + {s} + 7) % {len(letters)} + 1, 1)"
-    return f"CASE WHEN {n} < 5 THEN {t} WHEN {s} % 4 = 0 THEN substr({t}, 1, {at}) || substr({t}, {at} + 2) WHEN {s} % 4 = 1 AND {at} < {n} - 1 THEN substr({t}, 1, {at}) || substr({t}, {at} + 2, 1) || {here} || substr({t}, {at} + 3) WHEN {s} % 4 = 2 THEN substr({t}, 1, {at}) || {other} || substr({t}, {at} + 2) ELSE substr({t}, 1, {at}) || {here} || substr({t}, {at} + 1) END"
-
-
 @query(f"WITH {CORPUS}, t AS (SELECT DISTINCT unnest({S.tokens('title')}) AS term, CAST(doc % 101 AS INTEGER) AS seed FROM corpus) SELECT term, seed, {_mutated('term', 'seed')} AS mutated FROM t")
 def typo_mutations(spark, d):
     t = corpus(spark, d).select(F.explode(T.tokenize(F.col("title"))).alias("term"), (F.col("doc") % 101).cast("int").alias("seed")).distinct()
@@ -656,7 +676,12 @@ def citations_apa(spark, d):
     return corpus(spark, d).select("doc", cite.apa().alias("citation"))
 
 
-@query()
+_ESCAPED = "replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;')"
+#: The query's words with every accent their letters may have; none of them stands in an escaped character.
+_MARKED = "[tTţťŢŤ][hHĥĤ][eéèêëEÉÈÊË]|[eéèêëEÉÈÊË][rřRŘ][iíìîïIÍÌÎÏ][nñNÑ]|[eéèêëEÉÈÊË][aáàâäãåAÁÀÂÄÃÅ][uúùûüUÚÙÛÜ]"
+
+
+@query(_with(f"SELECT doc, regexp_replace({_ESCAPED}, '({_MARKED})', '<mark>\\1</mark>', 'g') AS marked FROM corpus"))
 def highlight_matches(spark, d):
     return corpus(spark, d).select("doc", P.highlighted("title", F.lit("the erin éau")).alias("marked"))
 

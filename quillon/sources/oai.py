@@ -1,8 +1,10 @@
-"""OAI-PMH as a Python data source, batch and stream: one partition a source, resumption tokens, one retry, skipping of bad pages.
+"""OAI-PMH as a Python data source, batch and stream: one partition a source, resumption tokens, retries, skipping of bad pages, and records
+without fields asked for once more in plain Dublin Core.
 
 spark.dataSource.register(OaiSource); spark.read.format("oai").options(sources=json, fetch="module:function").load(). Rows are
 (source_id, metadata_prefix, seq, xml). `fetch(url, timeout) -> bytes` is an importable function; without the option pages are fetched over
-HTTP. A "dir:/path/{id}" address reads pages 0.xml, 1.xml, ... of a folder, for offline replays and tests.
+HTTP. With retries=3 a failed page is fetched again, after wait, 2 * wait, ... seconds and a call of `warm` ("module:function", which renews a
+session); fallback=true asks for the plain form of records that came empty. A "dir:/path/{id}" address reads pages 0.xml, 1.xml, ... of a folder, for offline replays and tests.
 """
 
 from __future__ import annotations
@@ -37,6 +39,25 @@ def http(url: str, timeout: float) -> bytes:
         return r.read()
 
 
+class Retrying:
+    """A fetcher that tries again, waits longer each time and warms its session up anew before it does."""
+
+    def __init__(self, fetch: Callable[[str, float], bytes], retries: int = 3, wait: float = 2.0, warm: Callable[[], None] | None = None, sleep: Callable[[float], None] = time.sleep):
+        self.fetch, self.retries, self.wait, self.warm, self.sleep = fetch, retries, wait, warm, sleep
+
+    def __call__(self, url: str, timeout: float) -> bytes:
+        for n in range(1, self.retries + 1):
+            try:
+                return self.fetch(url, timeout)
+            except OSError:
+                if n == self.retries:
+                    raise
+                self.sleep(self.wait * n)
+                if self.warm is not None:
+                    self.warm()
+        raise ValueError("at least one try is needed")
+
+
 def bumped(token: str, by: int = 1) -> str | None:
     """A token whose trailing ":N" cursor is moved on; None if it has none."""
     m = re.fullmatch(r"(.*:)(\d+)", token, re.S)
@@ -104,13 +125,29 @@ def get_record(source: dict, identifier: str, fetch: Callable[[str, float], byte
         return None
 
 
-def _fetcher(options: dict) -> Callable[[str, float], bytes]:
-    if "fetch" not in options:
-        return http
-    module, name = options["fetch"].split(":")
+def filled(source: dict, xml: str, fetch: Callable[[str, float], bytes] = http) -> tuple[str, bool]:
+    """(the record, or its plain form if it has an identifier but no fields and the plain form can be had; whether it is the plain form)."""
+    record = ET.fromstring(xml)
+    head, fields = record.find(f"{OAI}header"), record.find(f"{OAI}metadata")
+    identifier = None if head is None else (head.findtext(f"{OAI}identifier") or "").strip()
+    if not identifier or head.get("status") == "deleted" or (fields is not None and any("".join(x.itertext()).strip() for x in fields)):
+        return xml, False
+    plain = get_record(source, identifier, fetch)
+    return (xml, False) if plain is None else (plain, True)
+
+
+def _named(path: str) -> Callable:
+    module, name = path.split(":")
     return getattr(importlib.import_module(module), name)
 
 
+def _fetcher(options: dict) -> Callable[[str, float], bytes]:
+    fetch = _named(options["fetch"]) if "fetch" in options else http
+    if "retries" not in options:
+        return fetch
+    return Retrying(fetch, int(options["retries"]), float(options.get("wait", 2.0)), _named(options["warm"]) if "warm" in options else None)
+
+
 def _sources(options: dict) -> list[dict]:
     rows = json.loads(options["sources"])
     only = {x for x in options.get("only", "").split(",") if x}
@@ -130,11 +167,14 @@ class OaiReader(DataSourceReader):
 
     def read(self, partition: SourcePartition) -> Iterator[tuple]:
         most = int(self.options.get("max_records", 0)) or None
-        harvest = Harvest(partition.source, _fetcher(self.options), float(self.options.get("delay", 0.5)), partition.from_date)
+        fetch, fallback = _fetcher(self.options), str(self.options.get("fallback", "false")).lower() == "true"
+        harvest = Harvest(partition.source, fetch, float(self.options.get("delay", 0.5)), partition.from_date)
+        prefix = partition.source.get("metadata_prefix", "oai_dc")
         seq = 0
         for records, _ in harvest.pages():
             for xml in records:
-                yield partition.source["id"], partition.source.get("metadata_prefix", "oai_dc"), seq, xml
+                whole, plain = filled(partition.source, xml, fetch) if fallback and prefix != "oai_dc" else (xml, False)
+                yield partition.source["id"], "oai_dc" if plain else prefix, seq, whole
                 seq += 1
                 if seq == most:
                     return

@@ -46,10 +46,16 @@ class RecordTable:
     def read(self, before: int | None = None, only: list[int] | None = None) -> DataFrame | None:
         """The state, or its rows in some buckets."""
         found = [f"{self.path}/v={v}/bucket={b}" for b, v in sorted(self._newest(before).items()) if only is None or b in only]
+        found = [f for f in found if any(n.startswith("part-") for n in self._names(f))]
         return self.spark.read.parquet(*found) if found else None
 
-    def write(self, df: DataFrame, version: int, key: str) -> None:
-        df.withColumn("bucket", self.bucket(key)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(os.path.join(self.path, f"v={version}"))
+    def write(self, df: DataFrame, version: int, key: str, touched: list[int]) -> None:
+        """The rows of the touched buckets; of one that lost all its rows the empty folder says so."""
+        made = os.path.join(self.path, f"v={version}")
+        df.withColumn("bucket", self.bucket(key)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(made)
+        for b in touched:
+            at, fs = self._fs(f"{made}/bucket={b}")
+            fs.mkdirs(at)
         needed = set(self._newest().values()) | set(self._newest(version).values())  # the last batch may be replayed on what it read
         for name in self._names(self.path):
             if name.startswith("v=") and int(name[2:]) not in needed | {version}:
@@ -68,7 +74,7 @@ def apply_batch(table: RecordTable, key: str, arrival: list[str], source: str, d
         new = M.folded(batch, key, arrival, source, deleted, columns, label)
         old = table.read(before=version, only=touched)  # the buckets that the batch touches are rewritten, no other
         if old is None:
-            table.write(new, version, key)
+            table.write(new, version, key, touched)
             batch.unpersist()
             return
         kept = old.join(gone, key, "left_anti")  # a tombstone resets what was before it
@@ -79,7 +85,7 @@ def apply_batch(table: RecordTable, key: str, arrival: list[str], source: str, d
         gate = F.col("o").isNull() | (F.col("n").isNotNull() & (M.rank(F.col(f"n.{source}")) >= M.rank(F.col(f"o.{source}"))))
         pick = [F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in columns]
         tags = [F.when(gate, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in (label, source)]
-        table.write(both.select(key, *pick, *tags), version, key)
+        table.write(both.select(key, *pick, *tags), version, key, touched)
         batch.unpersist()
 
     return run

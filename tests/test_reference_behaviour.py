@@ -247,3 +247,88 @@ def test_data_source_batch_and_stream(spark, tmp_path):
         assert spark.table(name).count() == 4
     finally:
         query.stop()
+
+
+EMPTY = '<record xmlns="http://www.openarchives.org/OAI/2.0/"><header><identifier>oai:x:{n}</identifier></header><metadata>{body}</metadata></record>'
+
+
+def test_pages_are_fetched_again():
+    calls, waits, warmed = [], [], []
+
+    def fetch(url, timeout):
+        calls.append(url)
+        if len(calls) < 3:
+            raise OSError("refused")
+        return b"page"
+
+    again = oai.Retrying(fetch, 3, 2.0, lambda: warmed.append(1), waits.append)
+    assert again("u", 1) == b"page" and waits == [2.0, 4.0] and len(warmed) == 2
+    calls[:] = []
+    with pytest.raises(OSError):
+        oai.Retrying(fetch, 2, 0, None, waits.append)("u", 1)
+
+
+def test_empty_records_are_asked_for_in_plain_form():
+    source = {"id": "a", "base_url": "http://r"}
+    answer = f'<OAI-PMH xmlns="http://www.openarchives.org/OAI/2.0/"><GetRecord>{EMPTY.format(n=1, body="<dc>T</dc>")}</GetRecord></OAI-PMH>'.encode()
+    full, empty = EMPTY.format(n=1, body="<dc>T</dc>"), EMPTY.format(n=1, body="<dc> </dc>")
+    assert oai.filled(source, full, lambda u, t: b"never") == (full, False)
+    xml, plain = oai.filled(source, empty, lambda u, t: answer)
+    assert plain and "T" in xml
+    assert oai.filled(source, empty, lambda u, t: b"<broken") == (empty, False)
+    gone = empty.replace("<header>", '<header status="deleted">')
+    assert oai.filled(source, gone, lambda u, t: answer) == (gone, False)
+
+
+def test_the_life_of_a_batch(spark):
+    import json
+
+    fields = ("oai_identifier", "title", "authors", "abstract", "subjects", "publisher", "source_name", "discipline", "discipline_source")
+    rows = [(f"k{i}", f"t{i}", "", "", "", "", "S", OTHER if i % 2 else "Droit", "rule") for i in range(6)]
+    records = spark.createDataFrame([(*r, 2000) for r in rows], ", ".join(f"{f} string" for f in fields) + ", year int")
+
+    class Client:
+        def __init__(self):
+            self.lines, self.asked = [], 0
+
+        def submit(self, lines):
+            self.lines = list(lines)
+            return "job"
+
+        def state(self, name):
+            self.asked += 1
+            return "running" if self.asked < 3 else "succeeded"
+
+        def answers(self, name):
+            for line in self.lines:
+                key = json.loads(line)["key"]
+                yield json.dumps({"key": key, "response": {"candidates": [{"content": {"parts": [{"text": json.dumps({"discipline": "Chimie" if key != "k1" else "no such"})}]}}]}})
+            yield "{broken"
+
+    client, waits = Client(), []
+    job = batch_labels.BatchJob(client, ["Chimie", OTHER], "Label.", waits.append)
+    n, first = job.preview(records, 2)
+    assert n == 3 and len(first) == 2 and json.loads(first[0])["key"] == "k1"
+    got = {r.oai_identifier: (r.discipline, r.discipline_source) for r in job.run(records, lambda lines: spark.createDataFrame([(x,) for x in lines], "value string"), 5).collect()}
+    assert waits == [5, 5] and got["k3"] == got["k5"] == ("Chimie", "llm") and got["k1"] == (OTHER, "rule") and got["k0"] == ("Droit", "rule")
+    client.state = lambda name: "failed"
+    with pytest.raises(RuntimeError):
+        job.poll("job")
+
+
+def test_a_batch_rewrites_its_buckets_alone(spark, tmp_path):
+    from quillon.streaming import ingest
+
+    names = "k string, at long, source string, gone boolean, v long, label string"
+    table = ingest.RecordTable(spark, str(tmp_path / "t"), 8)
+    run = ingest.apply_batch(table, "k", ["at"], "source", "gone", ["v"], "label")
+    run(spark.createDataFrame([(f"k{i}", 1, "rule", False, i, "a") for i in range(40)], names), 0)
+    few = spark.createDataFrame([("k3", 2, "rule", False, 99, "b"), ("k4", 2, "rule", True, 0, "b")], names)
+    for _ in range(2):  # a batch that is replayed is applied once in effect
+        run(few, 1)
+        rows = {r.k: r.v for r in table.read().collect()}
+        assert len(rows) == 39 and rows["k3"] == 99 and "k4" not in rows and rows["k39"] == 39
+    touched = {n for n in table._names(f"{table.path}/v=2") if n.startswith("bucket=")}
+    assert 1 <= len(touched) <= 2
+    run(spark.createDataFrame([(f"k{i}", 3, "rule", True, i, "a") for i in range(39)], names), 2)
+    assert [r.k for r in table.read().collect()] == ["k39"]  # buckets that lost all their rows stay empty
