@@ -90,3 +90,8 @@ def query_string(q: Column, kind: Column, year_min: Column, year_max: Column, so
     single = F.array_compact(F.array(pair("q", q, q != ""), pair("type", kind, kind != ""), pair("year_min", year_min, year_min != 0), pair("year_max", year_max, year_max != 0), pair("sort", sort, (sort != "") & (sort != "relevance")), pair("page", page, page > 1)))
     many = lambda k, a: F.transform(a, lambda v: F.concat(F.lit(f"{k}="), F.url_encode(v)))
     return F.array_join(F.concat(single, many("discipline", disciplines), many("source", sources)), "&")
+
+
+def french_number(n: Column) -> Column:
+    """A whole number as French pages show it: groups of three digits with narrow no-break spaces between them."""
+    return F.regexp_replace(n.cast("long").cast("string"), r"(?<=\d)(?=(\d{3})+$)", "\u202f")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import python as P
@@ -396,6 +396,14 @@ def result_facets(spark, d):
     return search.facet_counts(search.scored(_index(spark, d), PAIR), records)
 
 
+@query(_scored(PAIR) + ", lp AS (SELECT doc, CAST(score AS BIGINT) AS score, CAST(row_number() OVER (ORDER BY score DESC, doc) AS INTEGER) AS place FROM sr ORDER BY place LIMIT 15) SELECT lp.*, title, source_name, year, url FROM lp JOIN corpus USING (doc) ORDER BY place")
+def loaded_rows(spark, d):
+    """Whole rows of a page: ranking first, rows last."""
+    page = search.scored(_index(spark, d), PAIR).orderBy(F.desc("score"), "doc").limit(15).select("doc", "score")
+    placed = page.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "doc")))  # one page
+    return search.loaded(placed, corpus(spark, d)).select("doc", "score", "place", "title", "source_name", "year", "url")
+
+
 # ---- spelling ------------------------------------------------------------------------------------------------------------------
 
 
@@ -495,8 +503,6 @@ def typo_correct_query(spark, d):
  bs AS (SELECT token, arg_min(word, dist * 1000000 + place) AS suggestion FROM pr WHERE dist <= greatest(1, length(token) // 4) GROUP BY token) SELECT token, suggestion FROM bs WHERE suggestion <> token"""
 )
 def did_you_mean(spark, d):
-    from pyspark.sql import Window
-
     brands = table(spark, d, "part").select(T.fold(F.col("p_brand")).alias("word")).distinct()
     vocabulary = brands.withColumn("place", F.row_number().over(Window.orderBy("word")))  # facet labels
     tokens = brands.select(F.concat(F.substring("word", 1, 3), F.lit("x"), F.substring("word", 5, 99)).alias("token")).distinct()
@@ -582,6 +588,12 @@ def expansion_line_statistics(spark, d):
     return expand.line_statistics(o.select(line.alias("value")), o.select(key.cast("string").alias("name"), key.alias("doc")))
 
 
+@query(f"WITH {S.INDEX}, {_KEYS}, {_LINKS}, {_EXPANSIONS} SELECT doc, term, CAST(max(score) AS DOUBLE) AS score FROM (SELECT doc, term, score FROM sel UNION ALL SELECT doc, term, round(weight, 4) FROM ep WHERE place <= 24) GROUP BY ALL")
+def terms_with_expansions(spark, d):
+    records = corpus(spark, d)
+    return index.selected_terms(records, expansions=expand.expansions(records).select("doc", "term", F.col("weight").alias("score")))
+
+
 @query(
     """WITH r AS (SELECT o_orderkey AS doc, o_orderpriority AS raw, o_orderkey % 4 AS shape FROM orders WHERE o_orderkey % 7 <> 0)
 SELECT doc, CASE WHEN raw LIKE '%NOT SPECIFIED%' THEN '4_specif' ELSE regexp_replace(lower(raw), '[^a-z0-9]+', '_', 'g') END AS term, CASE WHEN shape = 1 THEN 2.5 WHEN shape = 2 THEN 3.0 ELSE 1.0 END AS score FROM (SELECT doc, replace(raw, '-', ' ') AS raw, shape FROM r)"""
@@ -607,8 +619,6 @@ _RANKINGS = """ra AS (SELECT doc % 25 AS query, doc, CAST(row_number() OVER (PAR
 
 
 def _rankings(spark, d):
-    from pyspark.sql import Window
-
     r = corpus(spark, d).select((F.col("doc") % 25).alias("query"), "doc", F.length("abstract").alias("l"))
     by = lambda c: F.row_number().over(Window.partitionBy("query").orderBy(F.desc(c), "doc")).alias("place")
     return r.select("query", "doc", by(F.col("l"))), r.select("query", "doc", by(F.col("l") + F.col("doc") % 60))
@@ -676,6 +686,19 @@ def citations_apa(spark, d):
     return corpus(spark, d).select("doc", cite.apa().alias("citation"))
 
 
+@query(_with("SELECT doc, replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;') AS title, regexp_replace(CAST(doc * 7919 AS VARCHAR), '^(\\d{1,3}?)((?:\\d{3})*)$', '\\1') || regexp_replace(regexp_replace(CAST(doc * 7919 AS VARCHAR), '^(\\d{1,3}?)((?:\\d{3})*)$', '\\2'), '(\\d{3})', chr(8239) || '\\1', 'g') AS number FROM corpus"))
+def escaped_titles(spark, d):
+    return corpus(spark, d).select("doc", cite.escaped(F.col("title")).alias("title"), cite.french_number(F.col("doc") * 7919).alias("number"))
+
+
+@query(_with("SELECT doc, array_to_string(list_filter(['q=' || replace(url_encode(source_name), '%20', '+'), CASE WHEN type <> '' THEN 'type=' || type END, CASE WHEN year IS NOT NULL THEN 'year_min=' || year END, CASE WHEN doc % 2 = 0 THEN 'sort=year_desc' END, CASE WHEN doc % 3 > 0 THEN 'page=' || (doc % 3 + 1) END, 'discipline=' || replace(url_encode(coalesce(discipline, 'x y')), '%20', '+'), 'source=' || source_id], lambda x: x IS NOT NULL), '&') AS query FROM corpus"))
+def query_strings(spark, d):
+    c = F.col
+    text = lambda n, other="": F.coalesce(c(n), F.lit(other))
+    q = cite.query_string(c("source_name"), text("type"), F.coalesce(c("year"), F.lit(0)), F.lit(0), F.when(c("doc") % 2 == 0, "year_desc").otherwise("relevance"), c("doc") % 3 + 1, F.array(text("discipline", "x y")), F.array(c("source_id")))
+    return corpus(spark, d).select("doc", q.alias("query"))
+
+
 _ESCAPED = "replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;')"
 #: The query's words with every accent their letters may have; none of them stands in an escaped character.
 _MARKED = "[tTţťŢŤ][hHĥĤ][eéèêëEÉÈÊË]|[eéèêëEÉÈÊË][rřRŘ][iíìîïIÍÌÎÏ][nñNÑ]|[eéèêëEÉÈÊË][aáàâäãåAÁÀÂÄÃÅ][uúùûüUÚÙÛÜ]"
