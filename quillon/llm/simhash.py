@@ -17,7 +17,9 @@ a star. That is 65 rows a fingerprint whatever the size of the crowd, and exact.
 similar() serves similarities too low for 2 bits. Texts of shingle similarity 0.8 differ in some 15 % of fingerprint bits, which no
 exact key survives, so it takes 256 bits and many keys, each a set of masked-pivot coordinates; the keys' length grows with the
 logarithm of the rows, their number follows from the wanted recall. Spread pivots discard nothing at that distance and are left out.
-The bits only name candidates: each pair is verified by the shingle sets themselves before it is linked.
+In keys with more than a few rows, where a crowd of copies of one text would name all its pairs, a sketch of the shingle set (the
+least shingle of each of BINS bins, as a byte) decides which are candidates. Both only name candidates: each pair is verified by the
+shingle sets themselves before it is linked.
 """
 
 from __future__ import annotations
@@ -79,15 +81,37 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
 
 def wide_fingerprint(hashes: np.ndarray, words_: int = 4) -> np.ndarray:
     """A SimHash of 64 * words_ bits over a set of shingles: the hash is mixed anew for every further 64."""
-    counts = np.zeros((words_, 64), np.int64)
-    for at in range(0, len(hashes), STRIDE):
-        h = hashes[at : at + STRIDE]
+    counts = np.zeros(64 * words_, np.int64)
+    for at in range(0, len(hashes), STRIDE // words_):
+        h = hashes[at : at + STRIDE // words_]
+        mixed = np.empty((len(h), words_), np.uint64)
         for k in range(words_):
             if k:
                 h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
                 h ^= h >> np.uint64(29)
-            counts[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view(np.uint64).reshape(-1)
+            mixed[:, k] = h
+        counts += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """Of ascending hashes: their number in 4 bytes, then for each bin a byte of its least hash, 0 if it has none."""
+    out = np.zeros(BINS, np.uint8)
+    bins, first = np.unique(hashes % np.uint64(BINS), return_index=True)
+    out[bins.astype(np.int64)] = hashes[first] // np.uint64(BINS) % np.uint64(255) + np.uint64(1)
+    return len(hashes).to_bytes(4, "little") + out.tobytes()
+
+
+def maybe_alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """For rows of sketches: whether the sets may be `similarity` alike. The share of common bins is that of a sample of the union without
+    replacement; it may be SLACK standard deviations too small."""
+    n = a[:, :4].copy().view(np.uint32)[:, 0].astype(float) + b[:, :4].copy().view(np.uint32)[:, 0]
+    x, y = a[:, 4:], b[:, 4:]
+    used = np.maximum(1, ((x | y) != 0).sum(axis=1))
+    same = ((x == y) & (x != 0)).sum(axis=1)
+    union = np.maximum(n / (1 + similarity), used)
+    spread = np.sqrt(similarity * (1 - similarity) / used * np.maximum(0.05, 1 - used / union))
+    return same / used >= similarity - SLACK * spread - 1 / used
 
 
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -180,9 +204,12 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, crowd: int = C
     return fps.join(named, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-#: Of similar(): share of the pairs at the least similarity that meet in some key, bits, and rows of a list compared in one piece.
+#: Of similar(): share of the pairs at the least similarity that meet in some key, bits, rows of a list from which sketches decide too, bins of a
+#: sketch, and rows of a list compared in one piece.
 RECALL = 0.99
 BITS = 256
+FEW = 32
+BINS = 512
 LIST = 4096
 #: Standard deviations that a candidate's distance may lie beyond the nominal one; 1 in 700 pairs at the least similarity is beyond 3.
 SLACK = 3
@@ -195,33 +222,57 @@ def _angle(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def _near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+def _most(bits: int, similarity: float) -> int:
+    """Bits in which texts of this similarity differ at most, but for chance beyond SLACK."""
+    differ = _angle(similarity)
+    return int(bits * differ + SLACK * math.sqrt(bits * differ * (1 - differ)))
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     apart = np.zeros((len(a), len(b)), np.int16)
     for k in range(a.shape[1]):
         apart += np.bitwise_count(a[:, None, k] ^ b[None, :, k])
-    return apart <= most
+    return apart
+
+
+def _chosen(bits: int, parts: int) -> np.ndarray:
+    """For each part the places of the fingerprint bits that make its key."""
+    draw = np.random.default_rng(SEED)
+    return np.array([draw.choice(BITS, bits, replace=False) for _ in range(parts)])
 
 
-def _lists(most: int, one: bool):
-    """Rows sorted by unit (part, key, b1, b2) -> candidates: pairs of other roots at most `most` bits apart; with `one` only a row's
-    first in the unit. A unit holds two blocks of a list, or one block twice, and compares all rows of one with all of the other."""
+def _lists(similarity: float, one: bool, bits: int, parts: int):
+    """Rows sorted by unit (part, key, b1, b2) -> candidates: pairs of other roots near enough in bits and by sketches, if the rows have any; with `one`
+    only a row's nearest in the unit. A pair that meets in several parts counts in the first, which is told by its differing bits. A unit
+    holds two blocks of a list, or one block twice, and compares all rows of one with all of the
+    other."""
+    thin = _most(BITS, similarity)
+    masks = np.packbits(np.array([np.isin(np.arange(BITS), c) for c in _chosen(bits, parts)]), axis=1, bitorder="little").view(np.uint64)
 
-    def work(block: np.ndarray, ids: np.ndarray, roots: np.ndarray, fps: np.ndarray, b1: int, b2: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def work(part: int, block: np.ndarray, ids: np.ndarray, roots: np.ndarray, fps: np.ndarray, more: np.ndarray, b1: int, b2: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if (roots == roots[0]).all():
             return
         order = np.argsort(ids)
-        block, ids, roots, fps = block[order], ids[order], roots[order], fps[order]
+        block, ids, roots, fps, more = block[order], ids[order], roots[order], fps[order], more[order]
         left, right = np.flatnonzero(block == b1), np.flatnonzero(block == b2)
         for at in range(0, len(left), 512):
             mine = left[at : at + 512]
-            ok = _near(fps[mine], fps[right], most) & (roots[mine, None] != roots[None, right])
+            apart = _apart(fps[mine], fps[right])
+            ok = (apart <= thin) & (roots[mine, None] != roots[None, right])
             if b1 == b2:
                 ok &= right[None, :] < mine[:, None]
             if one:
                 i = np.flatnonzero(ok.any(axis=1))
-                j = ok[i].argmax(axis=1)
+                j = np.where(ok[i], apart[i], np.int16(BITS + 1)).argmin(axis=1)
             else:
                 i, j = np.nonzero(ok)
+                if more.shape[1] and len(i):
+                    near = np.concatenate([maybe_alike(more[mine[i[k : k + 10_000]]], more[right[j[k : k + 10_000]]], similarity) for k in range(0, len(i), 10_000)])
+                    i, j = i[near], j[near]
+                if part and len(i):
+                    pieces = [fps[mine[i[k : k + 5000]]] ^ fps[right[j[k : k + 5000]]] for k in range(0, len(i), 5000)]
+                    first = np.concatenate([((d[:, None] & masks[None, :part]) != 0).any(axis=2).all(axis=1) for d in pieces])
+                    i, j = i[first], j[first]
             a, b = ids[mine[i]], ids[right[j]]
             yield np.maximum(a, b), np.minimum(a, b)
 
@@ -230,12 +281,12 @@ def _lists(most: int, one: bool):
 
         def flush() -> Iterator[pa.RecordBatch]:
             if sum(len(r[0]) for r in rows) > 1:
-                for a, b in work(*(np.concatenate(c) for c in zip(*rows, strict=True)), *mark[2:]):
+                for a, b in work(mark[0], *(np.concatenate(c) for c in zip(*rows, strict=True)), *mark[2:4]):
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for b in batches:
-            unit = [b.column(k).to_numpy() for k in range(4)]
+            unit = [b.column(k).to_numpy() for k in range(4)] + [b.column("sketched").to_numpy(zero_copy_only=False)]
             block, who, root = (b.column(k).to_numpy() for k in range(4, 7))
             words = np.stack([b.column(7 + k).to_numpy() for k in range(BITS // 64)], axis=1).view(np.uint64)
             edges = np.flatnonzero(np.logical_or.reduce([u[1:] != u[:-1] for u in unit])) + 1
@@ -244,7 +295,9 @@ def _lists(most: int, one: bool):
                 if now != mark:
                     yield from flush()
                     mark, rows = now, []
-                rows.append((block[s:e], who[s:e], root[s:e], words[s:e]))
+                held = b.column("more").slice(s, e - s)
+                more = np.frombuffer(b"".join(held.to_pylist()), np.uint8).reshape(e - s, -1) if now[4] else np.zeros((e - s, 0), np.uint8)
+                rows.append((block[s:e], who[s:e], root[s:e], words[s:e], more))
         yield from flush()
 
     return run
@@ -258,31 +311,33 @@ def _keyed(classes: DataFrame, bits: int, parts: int) -> DataFrame:
         base = np.array([xxhash.xxh64_intdigest(b"base %d" % k, SEED) for k in range(words)], np.uint64)
         fps = np.stack([batch.column(2 + k).to_numpy() for k in range(words)], axis=1).view(np.uint64)
         side = np.unpackbits((fps ^ base).view(np.uint8), axis=1, bitorder="little")  # which side of each masked pivot
-        draw = np.random.default_rng(SEED)
         n = batch.num_rows
-        out = []
-        for _ in range(parts):
-            chosen = side[:, draw.choice(BITS, bits, replace=False)].astype(np.int64)
-            out.append(chosen @ (np.int64(1) << np.arange(bits, dtype=np.int64)))
+        out = [side[:, c].astype(np.int64) @ (np.int64(1) << np.arange(bits, dtype=np.int64)) for c in _chosen(bits, parts)]
         columns = [pa.array(np.repeat(np.arange(parts, dtype=np.int32), n)), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)), *[pa.array(np.tile(c.to_numpy(), parts)) for c in batch.columns]]
         return pa.RecordBatch.from_arrays(columns, names=["part", "key", *columns_])
 
     return arrow_map(classes, keys, "part int, key long, " + ", ".join(f"{c} long" for c in columns_), 2000)
 
 
-def _candidates(classes: DataFrame, bits: int, parts: int, most: int, one: bool) -> DataFrame:
-    """(a, b): distinct candidate pairs of sigs. Lists of more than LIST rows are compared in pairs of blocks, each a unit of its own."""
+def _candidates(classes: DataFrame, sketches: DataFrame, bits: int, parts: int, similarity: float, one: bool) -> DataFrame:
+    """(a, b): distinct candidate pairs of sigs. Lists of more than FEW rows are judged by `sketches` (sig, more) too, and those of
+    more than LIST are compared in pairs of blocks, each a unit of its own; no pair of a list is left out."""
     keyed = _keyed(classes, bits, parts)
-    crowds = keyed.groupBy("part", "key").agg(F.count("*").alias("m")).where(F.col("m") > LIST)
+    crowds = keyed.groupBy("part", "key").agg(F.count("*").alias("m")).where(F.col("m") > FEW)
     nowhere = crowds.sparkSession.range(1).select(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("key"), F.lit(1).cast("long").alias("m"))  # keeps the plan's shape without crowds
     crowds = written(crowds.unionByName(nowhere), "simhash-crowds")
+    told = keyed.join(crowds, ["part", "key"], "left")
+    few = told.where("m is null").withColumn("more", F.lit(None).cast("binary"))
+    many = keyed.join(crowds, ["part", "key"])
+    many = many.withColumn("more", F.lit(None).cast("binary")) if one else many.join(sketches, "sig")
+    every = few.unionByName(many.select(*few.columns))
     blocks = F.coalesce(F.ceil(F.col("m") / F.lit(LIST)).cast("int"), F.lit(1))
-    split = keyed.join(crowds, ["part", "key"], "left").withColumn("n", blocks).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("n")).cast("int"))
+    split = every.withColumn("n", blocks).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("n")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     unit = ["part", "key", "b1", "b2"]
-    split = split.select("part", "key", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", *classes.columns)
+    split = split.select("part", "key", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", *classes.columns, F.col("more").isNotNull().alias("sketched"), "more")
     dealt = split.repartition(*unit).sortWithinPartitions(*unit)
-    return written(dealt.mapInArrow(_lists(most, one), "a long, b long").distinct(), "simhash-candidates")
+    return written(dealt.mapInArrow(_lists(similarity, one, bits, parts), "a long, b long").distinct(), "simhash-candidates")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -314,27 +369,27 @@ def similar(documents: DataFrame, similarity: float = 0.8, shingle: int = 5, rec
     share a component, texts that share a doc_id need not; rows without doc_id are left out; an empty table gives no rows; texts of any
     length are read whole; further columns are ignored.
     """
-    words = BITS // 64
-    names = [f"f{k}" for k in range(words)]
+    names = [f"f{k}" for k in range(BITS // 64)]
     texts = clashing(documents, "doc_id", "text").where("doc_id is not null").withColumn("th", F.xxhash64("text"))
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(x.as_py() or b"", shingle) for x in batch.column(1).cast(pa.binary())]
         sigs = pa.array([_signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)) for h in sets], pa.int64())
-        fps = np.array([wide_fingerprint(h, words) for h in sets], np.uint64).reshape(-1, words).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sigs, *[pa.array(fps[:, k].copy()) for k in range(words)]], names=["doc_id", "th", "sig", *names])
+        fps = [wide_fingerprint(h, len(names)) for h in sets]
+        thin = [pa.array(np.array([f[k] for f in fps], np.uint64).view(np.int64)) for k in range(len(names))]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sigs, *thin, pa.array(map(sketch, sets), pa.binary())], names=["doc_id", "th", "sig", *names, "more"])
 
-    prints = written(arrow_map(texts, of, "doc_id long, th long, sig long, " + ", ".join(f"{n} long" for n in names)), "simhash-wide")
-    classes = written(prints.groupBy("sig").agg(F.min(F.struct("doc_id", "th")).alias("head"), *[F.first(n).alias(n) for n in names]), "simhash-classes")
+    prints = written(arrow_map(texts, of, "doc_id long, th long, sig long, " + ", ".join(f"{n} long" for n in names) + ", more binary"), "simhash-wide")
+    classes = written(prints.groupBy("sig").agg(F.min(F.struct("doc_id", "th")).alias("head"), *[F.first(n).alias(n) for n in [*names, "more"]]), "simhash-classes")
+    sketches = classes.select("sig", "more")
     rows = max(2, classes.count())
     bits = max(12, math.ceil(math.log2(rows)) - 2)
     differ = _angle(similarity)
     parts = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** bits))
-    most = int(BITS * differ + SLACK * math.sqrt(BITS * differ * (1 - differ)))
-    first = _candidates(classes.select("sig", F.col("sig").alias("root"), *names), bits, min(FIRST, parts), most, True)
+    first = _candidates(classes.select("sig", F.col("sig").alias("root"), *names), sketches, bits, min(FIRST, parts), similarity, True)
     links = _verified(first, classes, texts, similarity, shingle)
     tied = components(links).withColumnRenamed("node", "sig")
-    rest = _candidates(classes.join(tied, "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), *names), bits, parts, most, False)
+    rest = _candidates(classes.join(tied, "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), *names), sketches, bits, parts, similarity, False)
     rest = rest.join(first, ["a", "b"], "left_anti")
     roots = components(links.unionByName(_verified(rest, classes, texts, similarity, shingle))).withColumnRenamed("node", "sig")
     told = classes.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))

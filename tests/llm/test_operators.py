@@ -145,21 +145,43 @@ def test_similar_decides_by_shingle_sets(spark):
         assert got[100 + i] == (i if alike >= 0.8 else 100 + i), alike
 
 
+def crowd_of_sets(rnd, n, change):
+    """Shingle sets of copies of one text, each with some shingles of its own."""
+    base = rnd.integers(0, 1 << 62, 160).astype(np.uint64)
+    sets = []
+    for _ in range(n):
+        x = base.copy()
+        at = rnd.choice(160, rnd.integers(2, change), replace=False)
+        x[at] = rnd.integers(0, 1 << 62, len(at)).astype(np.uint64)
+        sets.append(np.unique(x))
+    return sets
+
+
 def test_crowded_lists_keep_every_link(spark, monkeypatch):
-    """Blocks of a crowded list name the pairs that comparing the whole list does: a row near two heads, and rows near one another under different ones."""
-    rnd = np.random.default_rng(3)
-    flip = lambda fp, places: fp ^ np.packbits(np.isin(np.arange(256), places), bitorder="little").view(np.uint64)
-    base = rnd.integers(0, 1 << 63, 4).astype(np.uint64)
-    fps = [flip(base, rnd.choice(np.arange(40, 256), 30, replace=False)) for _ in range(60)]
+    """Blocks of a crowded list name all pairs that are alike, among them rows near two heads and rows near one another under different ones."""
+    sets = crowd_of_sets(np.random.default_rng(3), 90, 40)
+    alike = {(i, j) for i in range(90) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert 100 < len(alike) < 3000
     names = [f"f{k}" for k in range(4)]
-    rows = [(i, i, *map(int, fp.view(np.int64))) for i, fp in enumerate(fps)]
-    want = {(i, j) for i in range(60) for j in range(i) if np.bitwise_count(fps[i] ^ fps[j]).sum() <= 48}
-    assert 100 < len(want) < 1700
+    rows = [(i, i, *map(int, simhash.wide_fingerprint(x).view(np.int64))) for i, x in enumerate(sets)]
     monkeypatch.setattr(simhash, "LIST", 16)
     monkeypatch.setattr(simhash, "_keyed", lambda classes, bits, parts: classes.select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("key"), "*"))
     classes = spark.createDataFrame(rows, "sig long, root long, " + ", ".join(f"{n} long" for n in names))
-    got = [(r.a, r.b) for r in simhash._candidates(classes, 12, 1, 48, False).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+    sketches = spark.createDataFrame([(i, bytearray(simhash.sketch(x))) for i, x in enumerate(sets)], "sig long, more binary")
+    got = [(r.a, r.b) for r in simhash._candidates(classes, sketches, 12, 1, 0.8, False).collect()]
+    assert len(got) == len(set(got)) and alike <= set(got) and len(got) < 0.8 * 90 * 89 / 2
+
+
+@pytest.mark.parametrize("n", [1, 5, 60, 160, 2000, 20_000])
+def test_sketches_lose_no_pair(n):
+    """Sets of every size that are 0.8 alike pass by their sketches."""
+    rnd = np.random.default_rng(n)
+    for _ in range(60):
+        union = np.unique(rnd.integers(0, 1 << 62, n).astype(np.uint64))
+        own = rnd.permutation(len(union))[: len(union) // 5]
+        a, b = np.delete(union, own[::2]), np.delete(union, own[1::2])
+        two = [np.frombuffer(simhash.sketch(x), np.uint8)[None, :] for x in (a, b)]
+        assert simhash.maybe_alike(*two, 0.8)[0]
 
 
 def brute_repeats(texts, span):
