@@ -44,6 +44,8 @@ BITS_EACH = 32
 MOST_BITS = 27
 #: Bits of its coarse copy, which fits a core's cache.
 COARSE_BITS = 22
+#: Places of the longest seed.
+PLACES = 6
 WORD = re.compile(r"\w+")
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"place %d" % k) | 1 for k in range(8)], np.uint64)
 
@@ -63,14 +65,21 @@ def words(text: str | None, known: _Hashes) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
 
 
-def seeded(tokens: np.ndarray, seed: tuple[int, ...], salt: int) -> np.ndarray:
-    n = len(tokens) - seed[-1]
+def scaled(tokens: np.ndarray) -> list[np.ndarray]:
+    """The words' hashes times each place's multiplier, made once for all seeds."""
+    return [tokens * m for m in MULTIPLIERS[:PLACES]]
+
+
+def seeded(products: list[np.ndarray], seed: int) -> np.ndarray:
+    """The seed's hash at every place it fits."""
+    at = ALL[seed]
+    n = len(products[0]) - at[-1]
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = np.full(n, int(MULTIPLIERS[7]) * (salt + 1) & 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for m, at in zip(MULTIPLIERS, seed, strict=False):
-        h += tokens[at : at + n] * m
-        h ^= h >> np.uint64(29)
+    h = np.full(n, int(MULTIPLIERS[7]) * (seed + 1) & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for x, k in zip(products, at, strict=False):
+        h += x[k : k + n]
+    h ^= h >> np.uint64(32)
     return h * MULTIPLIERS[6]
 
 
@@ -90,8 +99,9 @@ def seed_table(items: DataFrame, least: int) -> DataFrame:
         known, hashes, numbers, owners, places = _Hashes(), [], [], [], []
         for k, text in enumerate(batch.column(1)):
             tokens = words(text.as_py(), known)
+            products = scaled(tokens)
             for seed in seeds_for(len(tokens)) if len(tokens) >= max(1, least) else ():
-                h = seeded(tokens, ALL[seed], seed)
+                h = seeded(products, seed)
                 hashes.append(h)
                 numbers += [seed] * len(h)
                 owners += [k] * len(h)
@@ -124,7 +134,6 @@ def passing(h: np.ndarray, coarse: np.ndarray, fine: np.ndarray, bits: int) -> n
 def segments(docs: DataFrame, sent, bits: int, used: list[int]) -> DataFrame:
     """(sk, doc_id, th, at, tokens binary, hits array<struct<h, p>>): runs of a document's words around places that pass the filter; sk
     is a hash of the other columns."""
-    kinds = pa.list_(pa.struct([("h", pa.int64()), ("p", pa.int32())]))
     state: dict = {}
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -133,31 +142,36 @@ def segments(docs: DataFrame, sent, bits: int, used: list[int]) -> DataFrame:
             every = np.unpackbits(fine, bitorder="little")
             state["coarse"] = every.reshape(1 << min(bits, COARSE_BITS), -1).any(axis=1)
             state["fine"], state["known"] = fine, _Hashes()
-        keys, rows, ats, texts, lists = [], [], [], [], []
+        keys, rows, ats, texts, hashes, places, offsets = [], [], [], [], [], [], [0]
         for k, (doc, th, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
             tokens = words(text.as_py(), state["known"])
+            products = scaled(tokens)
             found = []
             for seed in used:
-                h = seeded(tokens, ALL[seed], seed)
+                h = seeded(products, seed)
                 at = passing(h, state["coarse"], state["fine"], bits)
-                found += zip(at.tolist(), h[at].view(np.int64).tolist(), strict=True)
-            found.sort()
-            start = 0
-            for i in range(1, len(found) + 1):
-                if i < len(found) and found[i][0] - found[i - 1][0] <= 2 * WINDOW:
-                    continue
-                mine = found[start:i]
-                low = max(0, mine[0][0] - WINDOW)
-                piece = tokens[low : mine[-1][0] + WINDOW].tobytes()
+                if len(at):
+                    found.append((at, h[at]))
+            if not found:
+                continue
+            at, h = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(at, kind="stable")
+            at, h = at[order], h[order]
+            places.append(at)
+            hashes.append(h)
+            edges = (np.flatnonzero(np.diff(at) > 2 * WINDOW) + 1).tolist()
+            for start, end in zip([0, *edges], [*edges, len(at)], strict=True):
+                low = max(0, int(at[start]) - WINDOW)
+                piece = tokens[low : int(at[end - 1]) + WINDOW].tobytes()
                 rows.append(k)
                 ats.append(low)
                 texts.append(piece)
-                lists.append([{"h": h, "p": p} for p, h in mine])
+                offsets.append(offsets[-1] + end - start)
                 keys.append(xxhash.xxh64_intdigest(piece + b"%d %d %d" % (low, th, doc if doc is not None else -1)))
-                start = i
         at = pa.array(rows, pa.int64())
         sk = pa.array(np.array(keys, np.uint64).view(np.int64))
-        return pa.RecordBatch.from_arrays([sk, batch.column(0).take(at), batch.column(1).take(at), pa.array(ats, pa.int32()), pa.array(texts, pa.binary()), pa.array(lists, kinds)], names=["sk", "doc_id", "th", "at", "tokens", "hits"])
+        flat = pa.StructArray.from_arrays([pa.array(np.concatenate([*hashes, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int32))], ["h", "p"])
+        return pa.RecordBatch.from_arrays([sk, batch.column(0).take(at), batch.column(1).take(at), pa.array(ats, pa.int32()), pa.array(texts, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], names=["sk", "doc_id", "th", "at", "tokens", "hits"])
 
     return arrow_map(docs, of, "sk long, doc_id long, th long, at int, tokens binary, hits array<struct<h:long,p:int>>")
 
