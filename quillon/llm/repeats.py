@@ -73,6 +73,31 @@ def shared(span: int) -> int:
     return span - Q + 1
 
 
+def tallied(texts: DataFrame, span: int = SPAN) -> DataFrame:
+    """(key, whole, n, th): phrases by what they cover, counted within each batch of texts, with the least of their texts' hashes."""
+    size = shared(span)
+    digest = xxhash.xxh3_64_intdigest
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, wholes, ths = [], [], []
+        for th, data in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
+            before = len(keys)
+            if len(data) >= span:
+                for cut, low, high in phrases(data, span):
+                    keys.append(digest(data[cut : cut + size]))
+                    wholes.append(digest(data[low : high + span]))
+            ths += [th] * (len(keys) - before)
+        k, w, t = (np.array(x, kind) for x, kind in ((keys, np.uint64), (wholes, np.uint64), (ths, np.int64)))
+        order = np.lexsort((w, k))
+        k, w, t = k[order], w[order], t[order]
+        first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (w[1:] != w[:-1])))) if len(k) else np.zeros(0, np.int64)
+        n = np.diff(np.concatenate((first, [len(k)])))
+        least = np.minimum.reduceat(t, first) if len(k) else t
+        return pa.RecordBatch.from_arrays([pa.array(k[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(n.astype(np.int64)), pa.array(least)], names=["key", "whole", "n", "th"])
+
+    return arrow_map(texts.select("th", "text"), of, "key long, whole long, n long, th long")
+
+
 def dictionary(texts: DataFrame, span: int = SPAN) -> DataFrame:
     """(key, whole, th, tk, place): one row a phrase of every text (columns th, tk, text)."""
     n = shared(span)
@@ -151,17 +176,18 @@ def _edges(span: int):
 def starts(texts: DataFrame, span: int = SPAN, crowd: int = CROWD) -> DataFrame:
     """(th, tk, low, high): ranges of places where a string of `span` bytes starts that also starts elsewhere, for texts (th, tk, text)."""
     n, rest = shared(span), span - shared(span)
-    key, both = Window.partitionBy("key"), Window.partitionBy("key", "whole")
-    counted = dictionary(texts, span).withColumn("c", F.count("*").over(key)).where("c > 1")
-    counted = counted.withColumn("same", F.count("*").over(both)).withColumn("first", F.row_number().over(both.orderBy("th", "tk", "place")) == 1)
-    edge = F.col("same") == 1
-    counted = counted.withColumn("edges", F.count_if(edge).over(key)).withColumn("differ", F.count_if(edge | F.col("first")).over(key))
-    # phrases to compare: those at edges, and one for each whole that they may meet
-    need = edge | (F.col("first") & (F.col("edges") > 0))
-    met = written(counted.where((F.col("same") > 1) | (F.col("edges") > 0)).select("key", "th", "tk", "place", (F.col("same") > 1).alias("settled"), need.alias("need"), (F.col("differ") > crowd).alias("crowded")), "repeat-phrases")
+    # phrases are counted by what they cover before they meet by key, so a line of all texts is a row a batch
+    sums = tallied(texts, span).repartition("key").groupBy("key", "whole").agg(F.sum("n").alias("same"), F.min("th").alias("first"))
+    key, edge = Window.partitionBy("key"), F.col("same") == 1
+    told = sums.withColumn("c", F.sum("same").over(key)).withColumn("edges", F.count_if(edge).over(key)).withColumn("differ", F.count("*").over(key))
+    told = written(told.where("c > 1 and (same > 1 or edges > 0)").drop("c"), "repeat-wholes")
+    counted = dictionary(texts, span).join(told, ["key", "whole"])
+    # phrases to compare: those at edges, and those of one text for each whole that they may meet
+    need = edge | ((F.col("th") == F.col("first")) & (F.col("edges") > 0))
+    met = written(counted.select("key", "th", "tk", "place", (F.col("same") > 1).alias("settled"), need.alias("need"), (F.col("differ") > crowd).alias("crowded")), "repeat-phrases")
     cut = F.shiftright("place", 16)
     covered = met.where("settled").select("th", "tk", (cut - F.shiftright("place", 8).bitwiseAND(F.lit(255))).alias("low"), (cut - F.col("place").bitwiseAND(F.lit(255))).alias("high")).distinct()
-    asked = met.where("need").groupBy("th", "tk").agg(F.collect_list(F.struct("key", "place", "settled", "crowded")).alias("asked"))  # a text's own phrases
+    asked = met.where("need").drop("need").distinct().groupBy("th", "tk").agg(F.collect_list(F.struct("key", "place", "settled", "crowded")).alias("asked"))  # a text's own phrases
     # of equal texts one goes on; most are dropped before the shuffle
     once = texts.select("th", "tk", pressed("text", texts).alias("z")).groupBy("th", "tk").agg(F.first("z").alias("z"))
     held = once.join(asked, ["th", "tk"])
