@@ -30,6 +30,8 @@ SAMPLE = 4096
 MOST_PIVOTS = 1024
 APART = 0.8
 BLOCK = 2000
+#: Most lengths of vectors that are compared, each by pivots of its own.
+LENGTHS = 100
 
 
 def _valid(e: str = "embedding"):
@@ -171,8 +173,8 @@ def links(embeddings: DataFrame, cosine: float = COSINE, nearest: int = NEAREST,
     """(vec_id, n_links long, component_id long): one row per row of embeddings (vec_id, embedding, label).
 
     Vectors that are null, empty, zero or hold nulls or non-finite components, and those without a label, link with nothing and are
-    their own component; so do vectors of another length. Repeated rows count as other vectors. An empty table gives no rows;
-    further columns are ignored.
+    their own component; so do vectors of another length. Repeated rows count as other vectors; equal vectors are described once,
+    so ties between pivots fall alike for them. An empty table gives no rows; further columns are ignored. Vectors of over LENGTHS lengths in one table are an error.
     """
     rows = clashing(embeddings, "vec_id", "embedding", "label").withColumn("embedding", F.col("embedding").cast("array<double>"))
     rows = rows.withColumn("ok", _valid() & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
@@ -180,7 +182,10 @@ def links(embeddings: DataFrame, cosine: float = COSINE, nearest: int = NEAREST,
     valid = rows.where("ok").select("vec_id", "label", F.size("embedding").alias("dim"), *marks, "embedding")
     groups = ["label", "dim", "h1", "h2"]
     classes = written(valid.groupBy(*groups).agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.first("embedding").alias("embedding")), "vector-classes")
-    lengths = classes.groupBy("dim").agg(F.count("*").alias("c")).collect()  # one row per length of vectors
+    # lengths that two classes of a label share: vectors of others have nothing to meet. Tables of embeddings have one or few lengths
+    lengths = classes.groupBy("label", "dim").agg(F.count("*").alias("c")).where("c > 1").groupBy("dim").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "dim").limit(LENGTHS + 1).collect()
+    if len(lengths) > LENGTHS:
+        raise ValueError(f"embeddings of more than {LENGTHS} lengths")
     dims = {int(r["dim"]): pivots(classes, int(r["dim"]), int(r["c"])) for r in lengths}
     index = written(described(classes, dims, nearest), "vector-index")
     lists = index.select("label", "dim", "vec_id", F.explode(_list_keys(shared)("near")).alias("key"))
