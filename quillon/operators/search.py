@@ -128,14 +128,19 @@ def reranked(index: DataFrame, found: DataFrame, terms: list[str], window: int)
     return both.select("doc", "score", F.row_number().over(Window.orderBy(F.desc("score"), "place")).alias("place"))
 
 
-def search(index: DataFrame, records: DataFrame, r: Request, rerank: bool = True) -> DataFrame:
-    """(doc, score, place): one page. Without query terms all records that pass the filters, in their order, with score 0."""
+def search(index: DataFrame, records: DataFrame, r: Request, rerank: bool = True, blocks: DataFrame | None = None, facets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(doc, score, place): one page. Without query terms all records that pass the filters, in their order, with score 0. Given the summaries
+    of a placed index's blocks and the facets' dictionaries, first pages are answered by blocks (fast_path); the rows are the same."""
     terms = [t for _, t in T.analyze_query(r.q)]
     size, page = max(1, r.size), max(1, r.page)
     active = Request(discipline=r.discipline, source=r.source, type=r.type, year_min=r.year_min, year_max=r.year_max)
     unfiltered = active == Request()
     allowed = filtered(records.withColumn("year", F.coalesce("year", F.lit(0))) if r.year_min or r.year_max else records, active)
-    if not terms:
+    if blocks is not None and fast_path(r, terms):
+        plan = None if unfiltered else filter_plan(r, facets or {})
+        few = pruned(index, blocks, terms, max(RERANK_LEAST, size), plan)
+        found = few.select("doc", F.col("score").cast("double").alias("score"), F.lit(0).alias("year"))
+    elif not terms:
         found = allowed.select("doc", F.lit(0).cast("double").alias("score"), "year")
     else:
         found = scored(index, terms, None if unfiltered else allowed).join(records.select("doc", "year"), "doc").select("doc", F.col("score").cast("double").alias("score"), "year")

@@ -92,6 +92,15 @@ def test_pruned_search_equals_the_full_one(stored, k):
             assert [tuple(x) for x in search.pruned(placed, blocks, terms, k, plan).collect()] == full, (terms, r)
 
 
+def test_first_pages_by_blocks_are_the_same(stored):
+    records, placed, blocks = stored
+    facets = {c: index.dictionary(records, c) for c in index.MASKED}
+    for r in (Q.Request(q="erin ther"), Q.Request(q="erin ther", source=("src1", "src4"), year_min=1960), Q.Request(q="erin ther tion", size=5)):
+        for rerank in (True, False):
+            want = [tuple(x) for x in search.search(placed, records, r, rerank).orderBy("place").collect()]
+            assert [tuple(x) for x in search.search(placed, records, r, rerank, blocks, facets).orderBy("place").collect()] == want and want
+
+
 def test_fast_path():
     terms = ["a", "b"]
     assert search.fast_path(Q.Request(size=20), terms) and not search.fast_path(Q.Request(size=20), [])
