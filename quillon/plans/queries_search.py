@@ -488,12 +488,26 @@ def typo_candidates(spark, d):
     return typo.candidates(tokens, typo.delete_index(words)).select("token", "surface", "term", "df", "distance", F.round("score", 6).alias("score"))
 
 
-@query()
+_TYPED = "thaneedble erni"
+_BASE = T.analyze_query(_TYPED)  # two words
+
+
+@query(
+    f"""WITH {S.INDEX}, {_SURFACES}, {_TYPO_INDEX}, {S.values('bt', [(i, raw, term) for i, (raw, term) in enumerate(_BASE)], 'i, raw, base')},
+ ms AS (SELECT count(*) AS m FROM bt WHERE base NOT IN (SELECT term FROM post)),
+ ak AS (SELECT bt.* FROM bt, ms WHERE NOT (base IN (SELECT term FROM post) AND m > 0)),
+ tk AS (SELECT token, unnest({_DELETES('token')}) AS k FROM (SELECT DISTINCT raw AS token FROM ak)), {_REACH}, {_RATED},
+ cd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY score DESC, dist, df DESC, term, surface) AS pl FROM rt WHERE score >= {typo.LEAST_SCORE}) WHERE pl <= {typo.PLANS_PER_TOKEN}),
+ pt AS (SELECT score, CASE WHEN i = 0 THEN term ELSE '{_BASE[0][1]}' END AS t0, CASE WHEN i = 1 THEN term ELSE '{_BASE[1][1]}' END AS t1 FROM ak JOIN cd ON cd.token = ak.raw WHERE term <> base),
+ pn AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC, t0 || ' ' || t1) AS n FROM pt) WHERE n <= {typo.MOST_PLANS}),
+ tl AS (SELECT n, count(*) AS total FROM (SELECT n, doc FROM pn JOIN post ON post.term IN (t0, t1) GROUP BY n, doc HAVING count(*) = 2) GROUP BY n),
+ bf AS (SELECT count(*) AS c FROM (SELECT doc FROM post WHERE term IN ('{_BASE[0][1]}', '{_BASE[1][1]}') GROUP BY doc HAVING count(*) = 2))
+SELECT '{_TYPED}' AS q, (SELECT t0 || ' ' || t1 FROM pn JOIN tl USING (n), bf WHERE c = 0 AND score + 0.05 * least(total, 20) > 0 ORDER BY score + 0.05 * least(total, 20) DESC, n LIMIT 1) AS corrected"""
+)
 def typo_correct_query(spark, d):
     records = corpus(spark, d)
-    found = typo.corrected(_index(spark, d), typo.delete_index(typo.surfaces(records)), "thaneedble erni")
-    rows = [("thaneedble erni", " ".join(found[0]) if found else None)]
-    return spark.createDataFrame(rows, "q string, corrected string")
+    found = typo.corrected(_index(spark, d), typo.delete_index(typo.surfaces(records)), _TYPED)
+    return spark.createDataFrame([(_TYPED, " ".join(found[0]) if found else None)], "q string, corrected string")
 
 
 @query(
