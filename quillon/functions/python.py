@@ -7,6 +7,7 @@ import html
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
@@ -50,7 +51,7 @@ def osa(a: str, b: str, most: int) -> int:
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 d = min(d, before[j - 2] + 1)
             now.append(d)
-        if min(now) > most:
+        if min(now) > most and min(row) > most:  # an exchange reaches two rows back
             return most + 1
         before, row = row, now
     return row[-1]
@@ -65,14 +66,78 @@ def lcs(a: str, b: str) -> int:
     return row[-1]
 
 
+def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(letters as numbers, one row a word, padded; lengths)."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    width = max(1, int(lengths.max(initial=0)))
+    return np.array(words, f"<U{width}").view(np.uint32).reshape(len(words), width), lengths
+
+
+def osa_all(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """osa() of many pairs at once: the table is filled cell by cell, each for all pairs."""
+    x, n = _letters(a)
+    y, m = _letters(b)
+    width = y.shape[1]
+    before, row = np.zeros((width + 1, len(a)), np.int16), np.repeat(np.arange(width + 1, dtype=np.int16)[:, None], len(a), axis=1)
+    x, y = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+    every = np.arange(len(a))
+    out = row[m, every].copy()  # of empty words
+    for i in range(1, x.shape[0] + 1):
+        now = np.empty_like(row)
+        now[0] = i
+        for j in range(1, width + 1):
+            d = np.minimum(np.minimum(row[j], now[j - 1]) + 1, row[j - 1] + (x[i - 1] != y[j - 1]))
+            if i > 1 and j > 1:
+                swapped = (x[i - 1] == y[j - 2]) & (x[i - 2] == y[j - 1])
+                d = np.where(swapped, np.minimum(d, before[j - 2] + 1), d)
+            now[j] = d
+        before, row = row, now
+        at = np.flatnonzero(n == i)
+        out[at] = row[m[at], at]
+    return np.minimum(out, most + 1)
+
+
+def lcs_all(a: list[str], b: list[str]) -> np.ndarray:
+    """lcs() of many pairs at once."""
+    x, n = _letters(a)
+    y, m = _letters(b)
+    x, y = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+    row = np.zeros((y.shape[0] + 1, len(a)), np.int16)
+    out = np.zeros(len(a), np.int16)
+    for i in range(1, x.shape[0] + 1):
+        now = np.zeros_like(row)
+        for j in range(1, y.shape[0] + 1):
+            now[j] = np.where(x[i - 1] == y[j - 1], row[j - 1] + 1, np.maximum(row[j], now[j - 1]))
+        row = now
+        at = np.flatnonzero(n == i)
+        out[at] = row[m[at], at]
+    return out
+
+
+#: Pairs whose tables are filled together: a cell of all of them fits a core's cache.
+PAIRS = 4096
+
+
+def _pairs(columns: list[pa.Array], f) -> pa.Array:
+    """f over the rows without nulls, PAIRS at a time; null for the others."""
+    whole = np.flatnonzero(np.logical_and.reduce([c.is_valid().to_numpy(zero_copy_only=False) for c in columns]))
+    out = np.zeros(len(columns[0]), np.int32)
+    for k in range(0, len(whole), PAIRS):
+        at = whole[k : k + PAIRS]
+        out[at] = f(*[c.take(pa.array(at)).to_pylist() for c in columns])
+    gone = np.ones(len(out), bool)
+    gone[whole] = False
+    return pa.array(out, pa.int32(), mask=gone)
+
+
 @F.arrow_udf(IntegerType())
 def osa_distance(a: pa.Array, b: pa.Array, most: pa.Array) -> pa.Array:
-    return pa.array([None if None in t else osa(*t) for t in zip(a.to_pylist(), b.to_pylist(), most.to_pylist(), strict=True)], pa.int32())
+    return _pairs([a, b, most], lambda x, y, z: osa_all(x, y, np.array(z)))
 
 
 @F.arrow_udf(IntegerType())
 def lcs_length(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([None if None in t else lcs(*t) for t in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int32())
+    return _pairs([a, b], lcs_all)
 
 
 def _escape(text: str) -> str:

@@ -48,6 +48,14 @@ def test_distances():
     assert P.mark("Été <b> the", "ete THE") == "<mark>Été</mark> &lt;b&gt; <mark>the</mark>"
 
 
+def test_distances_of_many_pairs():
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcé😀") for _ in range(rnd.randint(0, 12))) for _ in range(400)]
+    a, b, most = words[:200], words[200:], [rnd.randint(1, 3) for _ in range(200)]
+    assert P.osa_all(a, b, P.np.array(most)).tolist() == [P.osa(*t) for t in zip(a, b, most, strict=True)]
+    assert P.lcs_all(a, b).tolist() == [P.lcs(*t) for t in zip(a, b, strict=True)]
+
+
 def test_author_membership_is_whole_names(spark):
     rows = spark.createDataFrame([("Tremblay-Roy; B",), ("A; Tremblay",), (None,)], "authors string")
     assert rows.where(Q.has_author(F.col("authors"), "Tremblay")).count() == 1
