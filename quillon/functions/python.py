@@ -54,7 +54,7 @@ def osa(a: str, b: str, most: int) -> int:
         if min(now) > most and min(row) > most:  # an exchange reaches two rows back
             return most + 1
         before, row = row, now
-    return row[-1]
+    return min(row[-1], most + 1)
 
 
 def lcs(a: str, b: str) -> int:
