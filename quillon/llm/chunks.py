@@ -3,7 +3,7 @@
 A gear hash h = (h << 1) + GEAR[byte] rolls over a text's UTF-8 bytes; in 32 bits it forgets all but the last 32 bytes. A chunk
 ends where the hash's top bits are zero, no sooner than MIN_BYTES after the last cut and only between characters. An insertion
 moves bytes but not the cuts around it, so repeated passages fall into the same chunks wherever they stand. Chunks are told apart
-by 96 bits of digest: of 10^13 chunks a chance collision is to be expected once in 500 such corpora. Of every chunk the first place
+by 96 bits of digest: among 10^13 chunks a chance collision is to be expected in about one corpus of 1,500. Of every chunk the first place
 (least doc_id, then least offset) is kept. Later places are removed when they stand in an unbroken run of such places of at least
 MIN_RUN bytes, so short chunks that chance to be equal stay; min_run = 0 removes every later chunk.
 """
