@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+import time
 from collections import defaultdict
 from itertools import combinations
 
@@ -534,6 +535,25 @@ def test_licenses(spark):
     assert got[5].n_words == 2
 
 
+def test_license_words(spark):
+    """The same words as by the plain pattern, for every character and in less time."""
+    plain = lambda c: F.regexp_extract_all(F.translate(F.coalesce(c, F.lit("")), licenses.UPPER, licenses.LOWER), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1))
+    rows = [(f"aA{chr(c)}Zz{chr(c)}{chr(c)}",) for c in [*range(0xD800), *range(0xE000, 0x11000), 0x1F600, 0x10FFFF]] + [(None,), ("",), (" ",), ("ÀÉİ ABC-Def9 K",), ("\nAll  RIGHTS\x00reserved\x7f",)]
+    odd = spark.createDataFrame(rows, "text string")
+    assert odd.where(~licenses.words(F.col("text")).eqNullSafe(plain(F.col("text")))).count() == 0
+    long = spark.range(0, 2000, 1, 4).select(F.repeat(F.concat(F.lit("The Licensed software, provided 'as is': "), F.col("id")), 100).alias("text")).localCheckpoint()
+
+    def least(way):
+        took = []
+        for _ in range(4):
+            began = time.perf_counter()
+            long.agg(F.sum(F.size(way(F.col("text"))))).first()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    assert least(licenses.words) < 0.6 * least(plain)
+
+
 CALL = json.dumps({"content": "let me", "tool_calls": [{"name": "add", "id": "c1", "arguments": {"b": 2, "a": 1}}, {"id": "c2", "name": "add", "arguments": {"a": "$c1", "b": 3}}]})
 
 
