@@ -9,8 +9,9 @@ all their words.
 2. Every place of every document is hashed by the same seeds. Places that pass the filter are kept with the words around them, WINDOW on
    either side; places close to one another share a segment. That is all that leaves the scan, so documents are read once however
    large the benchmark is.
-3. Training and test hashes are joined. A hit puts the segment's words over the item on its diagonal, the place in the document less
-   that in the item; segment and item meet by further joins and the aligned words are compared.
+3. Training and test hashes are joined, a row for each segment, item and hash however often they hold it. A hit puts the segment's
+   words over the item on its diagonal, the place in the document less that in the item; segment and item meet by further joins and the
+   aligned words are compared.
 
 A document holds an item if WINDOW aligned words (all of a shorter item), at least SIMILARITY of them equal, are found. Items of fewer
 than `least` words are left out; a least of 1 leaves out none.
@@ -44,6 +45,8 @@ BITS_EACH = 32
 MOST_BITS = 27
 #: Bits of its coarse copy, which fits a core's cache.
 COARSE_BITS = 22
+#: Places in a segment times places in an item of one hash, beyond which all diagonals between the outermost are compared.
+MOST_EACH = 64
 #: Places of the longest seed.
 PLACES = 6
 WORD = re.compile(r"\w+")
@@ -92,24 +95,37 @@ def seeds_for(n: int) -> range:
     return range(len(ALL) - len(TINY) + n - 1, len(ALL) - len(TINY) + n)
 
 
+def run_starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of rows equal in all keys begin."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
 def seed_table(items: DataFrame, least: int) -> DataFrame:
-    """(h, seed, ik, place): every seed of every item (ik: hash of its number and text, text)."""
+    """(h, seed, ik, places): every seed of every item (ik: hash of its number and text, text), a row for each hash."""
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known, hashes, numbers, owners, places = _Hashes(), [], [], [], []
+        known, hashes, numbers, owners, places, ends = _Hashes(), [], [], [], [], []
         for k, text in enumerate(batch.column(1)):
             tokens = words(text.as_py(), known)
             products = scaled(tokens)
             for seed in seeds_for(len(tokens)) if len(tokens) >= max(1, least) else ():
                 h = seeded(products, seed)
-                hashes.append(h)
-                numbers += [seed] * len(h)
-                owners += [k] * len(h)
-                places.append(np.arange(len(h), dtype=np.int32))
-        joined = [np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((hashes, np.uint64), (places, np.int32))]
-        return pa.RecordBatch.from_arrays([pa.array(joined[0].view(np.int64)), pa.array(numbers, pa.int32()), batch.column(0).take(pa.array(owners, pa.int64())), pa.array(joined[1])], names=["h", "seed", "ik", "place"])
+                order = np.argsort(h, kind="stable")
+                starts = run_starts(h[order])
+                hashes.append(h[order][starts])
+                numbers += [seed] * len(starts)
+                owners += [k] * len(starts)
+                places.append(order.astype(np.int32))
+                ends.append(np.diff(starts, append=len(h)))
+        joined = [np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((hashes, np.uint64), (places, np.int32), (ends, np.int64))]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(joined[2]))), pa.int32()), pa.array(joined[1]))
+        return pa.RecordBatch.from_arrays([pa.array(joined[0].view(np.int64)), pa.array(numbers, pa.int32()), batch.column(0).take(pa.array(owners, pa.int64())), lists], names=["h", "seed", "ik", "places"])
 
-    return arrow_map(items.select("ik", "text"), of, "h long, seed int, ik long, place int")
+    return arrow_map(items.select("ik", "text"), of, "h long, seed int, ik long, places array<int>")
 
 
 def seed_filter(seeds: DataFrame) -> tuple[np.ndarray, int]:
@@ -132,7 +148,7 @@ def passing(h: np.ndarray, coarse: np.ndarray, fine: np.ndarray, bits: int) -> n
 
 
 def segments(docs: DataFrame, sent, bits: int, used: list[int]) -> DataFrame:
-    """(sk, doc_id, th, at, tokens binary, hits array<struct<h, p>>): runs of a document's words around places that pass the filter; sk
+    """(sk, doc_id, th, at, tokens binary, hits array<struct<h, ps>>): runs of a document's words around places that pass the filter; sk
     is a hash of the other columns."""
     state: dict = {}
 
@@ -142,7 +158,7 @@ def segments(docs: DataFrame, sent, bits: int, used: list[int]) -> DataFrame:
             every = np.unpackbits(fine, bitorder="little")
             state["coarse"] = every.reshape(1 << min(bits, COARSE_BITS), -1).any(axis=1)
             state["fine"], state["known"] = fine, _Hashes()
-        keys, rows, ats, texts, hashes, places, offsets = [], [], [], [], [], [], [0]
+        keys, rows, ats, texts, hashes, places, counts = [], [], [], [], [], [], []
         for k, (doc, th, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
             tokens = words(text.as_py(), state["known"])
             products = scaled(tokens)
@@ -166,14 +182,30 @@ def segments(docs: DataFrame, sent, bits: int, used: list[int]) -> DataFrame:
                 rows.append(k)
                 ats.append(low)
                 texts.append(piece)
-                offsets.append(offsets[-1] + end - start)
+                counts.append(end - start)
                 keys.append(xxhash.xxh64_intdigest(piece + b"%d %d %d" % (low, th, doc if doc is not None else -1)))
         at = pa.array(rows, pa.int64())
         sk = pa.array(np.array(keys, np.uint64).view(np.int64))
-        flat = pa.StructArray.from_arrays([pa.array(np.concatenate([*hashes, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int32))], ["h", "p"])
+        h, p = np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int32)
+        owner = np.repeat(np.arange(len(counts)), np.array(counts, np.int64))
+        order = np.lexsort((h, owner))
+        h, p, owner = h[order], p[order], owner[order]
+        starts = run_starts(owner, h)
+        ps = pa.ListArray.from_arrays(pa.array(np.append(starts, len(h)), pa.int32()), pa.array(p))
+        flat = pa.StructArray.from_arrays([pa.array(h[starts].view(np.int64)), ps], ["h", "ps"])
+        offsets = np.concatenate(([0], np.cumsum(np.bincount(owner[starts], minlength=len(counts)))))
         return pa.RecordBatch.from_arrays([sk, batch.column(0).take(at), batch.column(1).take(at), pa.array(ats, pa.int32()), pa.array(texts, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], names=["sk", "doc_id", "th", "at", "tokens", "hits"])
 
-    return arrow_map(docs, of, "sk long, doc_id long, th long, at int, tokens binary, hits array<struct<h:long,p:int>>")
+    return arrow_map(docs, of, "sk long, doc_id long, th long, at int, tokens binary, hits array<struct<h:long,ps:array<int>>>")
+
+
+def meetings(found: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(sk, ik, ds): a row for each hash that a segment and an item share, with diagonals that hold all those it names."""
+    hits = found.select("sk", F.explode("hits").alias("x")).select("sk", "x.h", "x.ps").distinct()
+    named = F.array_distinct(F.flatten(F.transform("ps", lambda p: F.transform("places", lambda q: p - q))))
+    between = F.sequence(F.array_min("ps") - F.array_max("places"), F.array_max("ps") - F.array_min("places"))
+    few = F.size("ps").cast("long") * F.size("places") <= MOST_EACH
+    return hits.join(seeds.select("h", "ik", "places"), "h").select("sk", "ik", F.when(few, named).otherwise(between).alias("ds"))
 
 
 def aligned(tokens: np.ndarray, item: np.ndarray, at: int, diagonals: list[int]) -> tuple[int, int, int] | None:
@@ -201,8 +233,7 @@ def _overlaps(documents: DataFrame, benchmark: DataFrame, least: int) -> DataFra
     used = sorted(r.seed for r in seeds.select("seed").distinct().collect())  # at most one row a seed
     fine, bits = seed_filter(seeds)
     found = written(segments(docs, spark.sparkContext.broadcast(fine.tobytes()), bits, used), "seed-segments")
-    hits = found.select("sk", F.explode("hits").alias("x")).select("sk", "x.h", "x.p").distinct()
-    met = hits.join(seeds.select("h", "ik", "place"), "h").groupBy("sk", "ik").agg(F.collect_set(F.col("p") - F.col("place")).alias("diagonals"))
+    met = meetings(found, seeds).groupBy("sk", "ik").agg(F.array_distinct(F.flatten(F.collect_set("ds"))).alias("diagonals"))
     pairs = met.join(found.drop("hits"), "sk").join(items.select("ik", "item_id", F.col("text").alias("item")), "ik")
 
     def verified(batch: pa.RecordBatch) -> pa.RecordBatch:

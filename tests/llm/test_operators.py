@@ -357,6 +357,23 @@ def test_decontamination_equals_brute_force(spark):
         assert len(got) == len({(r.doc_id, r.item_id) for r in got})
 
 
+def test_repeated_words_meet_once_a_hash(spark):
+    """Rows follow segments, items and hashes, not places of one times places of the other; results are those of brute force."""
+    rnd = random.Random(23)
+    items = [(i, "is one " * 25 + prose(rnd, 2)) for i in range(4)]
+    texts = [(i, f"{prose(rnd, 9)} {'is one ' * 120} {prose(rnd, 9)}") for i in range(3)]
+    a, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    met = []
+    whole, decontaminate.meetings = decontaminate.meetings, lambda *x: met.append(whole(*x)) or met[-1]
+    try:
+        got = decontaminate.overlaps(a, b).collect()
+    finally:
+        decontaminate.meetings = whole
+    assert {(r.doc_id, r.item_id): (r.similarity, r.first_word, r.aligned) for r in got} == plain_overlaps(texts, items)
+    rows = met[0].selectExpr("size(ds) n").collect()
+    assert 0 < len(rows) <= len(items) * len(texts) * 3 * 12 and max(r.n for r in rows) <= 300
+
+
 def test_clean_tells_texts_of_one_number_apart(spark):
     rnd = random.Random(22)
     item, filler = prose(rnd, 30), prose(rnd, 120_000)
